@@ -2,8 +2,10 @@
 
 Documents are sets of distinct word shingles (64-bit hashes). Equal sets meet by a 128-bit digest. Different sets are first
 dealt to clusters that surely hold both sides of every link: tokens are dealt to m parts, and as sets with a Jaccard
-similarity of t or more differ in at most h = (1-t)/(1+t)(|x|+|y|) tokens, at least m-h parts are equal. Parts of one or two
-tokens say little, so a set leaves them out while it has at most e = m-h-1 of them: one larger part must then be equal still.
+similarity of t or more differ in at most h = (1-t)/(1+t)(|x|+|y|) tokens, at least m-h parts are equal. Parts of one
+token or none say little, and a pair of which one side has at most e = m-h-1 of those still has a larger part in common. So only larger
+parts are emitted; a set with more than e small ones emits its larger parts under another dealing too, and so on, and one that
+has too many under every dealing emits the small parts of the last one as well.
 Within a cluster a signature tree (OR-combined token bitmaps and size ranges) is joined with itself by dual traversal, which
 drops node pairs whose largest possible overlap is too small; what remains is counted exactly on the whole sets. Links within
 a component that is known already are not counted again, so a group of k near copies costs about k counts.
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from driftwork.llm import _shared as S
 from driftwork.llm import _text as T
 
-SHARDS = 1 << 20
+#: Dealings of the tokens to parts that a set may need.
+SEEDS = 16
 #: Members of a cluster that one task joins at once.
 BLOCK = 1024
 #: Documents in clusters up to which their ids are broadcast (8 bytes each); beyond, the texts are shuffled to them.
@@ -94,28 +97,34 @@ def _parts(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, classes: np.ndar
             n = sizes[sets]
             which = np.repeat(np.arange(len(sets)), n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[sets][which]
-            k = T.mix(key[at] + np.uint64(0x9E37 * (int(b) + 1)))
-            part = ((k >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-            slot = which * m + part
-            order = np.argsort(slot, kind="stable")
-            slot, k = slot[order], k[order]
-            start = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-            total = np.add.reduceat(T.mix(k ^ _KEY), start)
-            count = np.diff(np.append(start, len(slot)))
-            slot = slot[start]
-            owner, part = slot // m, slot % m
-            small = m - np.bincount(owner, count > 2, len(sets)).astype(np.int64)
-            loose = small > e  # such a set emits its small parts too, the empty ones as well
-            keep = (count > 2) | loose[owner]
-            sig = T.mix(total + T.mix(part.astype(np.uint64) * _KEY + np.uint64(int(b) << 32)) + count.astype(np.uint64))
-            found.append(sig[keep])
-            who.append(sets[owner[keep]])
-            if loose.any():
-                there = np.zeros((len(sets), m), bool)
-                there[owner, part] = True
-                o, p = np.nonzero(~there & loose[:, None])
-                found.append(T.mix(T.mix(p.astype(np.uint64) * _KEY + np.uint64(int(b) << 32))))
-                who.append(sets[o])
+            tokens, todo = key[at], np.arange(len(sets))
+            for seed in range(SEEDS):
+                salt = T.mix(np.array([(b << 8) + seed + 1], np.uint64))[0]
+                k = T.mix(tokens ^ salt)
+                slot = which * m + ((k >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
+                order = np.argsort(slot, kind="stable")
+                slot, k = slot[order], k[order]
+                start = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+                total = np.add.reduceat(T.mix(k ^ _KEY), start)
+                count = np.diff(np.append(start, len(slot)))
+                slot = slot[start]
+                owner, part = slot // m, slot % m
+                sig = T.mix(total + T.mix(part.astype(np.uint64) * _KEY + salt) + count.astype(np.uint64))
+                loose = m - np.bincount(owner, count > 1, len(todo)).astype(np.int64) > e
+                keep = (count > 1) | (loose[owner] & (seed == SEEDS - 1))
+                found.append(sig[keep])
+                who.append(sets[todo[owner[keep]]])
+                if not loose.any():
+                    break
+                if seed == SEEDS - 1:  # the empty parts too
+                    there = np.zeros((len(todo), m), bool)
+                    there[owner, part] = True
+                    o, p = np.nonzero(~there & loose[:, None])
+                    found.append(T.mix(T.mix(p.astype(np.uint64) * _KEY + salt)))
+                    who.append(sets[todo[o]])
+                stay = loose[which]
+                tokens, which = tokens[stay], (np.cumsum(loose) - 1)[which[stay]]
+                todo = todo[loose]
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(found), np.concatenate(who)
