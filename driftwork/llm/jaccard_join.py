@@ -165,7 +165,7 @@ def _sketch(size: int, percent: int, shards: int):
             full = np.flatnonzero(n > 0)
             order, new, head = _stars((d1[full], d2[full], n[full]), ids[full])
             rows = full[order]
-            yield _rows(d1[rows[~new]] % np.uint64(shards), _SAME, ids[rows[~new]], ids[rows[head[~new]]])
+            yield _rows(T.mix(ids[rows[~new]].astype(np.uint64)) % np.uint64(shards), _SAME, ids[rows[~new]], ids[rows[head[~new]]])
             lead = rows[new]
             sort = np.argsort(d1[lead] % np.uint64(shards), kind="stable")
             yield from packed(_DIGEST, d1[lead][sort], np.stack([d2[lead], ids[lead].view(np.uint64), n[lead].astype(np.uint64)])[:, sort])
