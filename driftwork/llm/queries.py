@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftwork.llm import _shared as S
 
@@ -13,6 +14,22 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(S.table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op8_jaccard_join,)}
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwork.llm.decontaminate import contamination
+
+    found = contamination(S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwork.llm.language_id import fit, with_language
+
+    docs = S.table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    rows = with_language(docs, fit(docs, ~held), keep=["doc_id"])
+    return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_language_id, op8_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
