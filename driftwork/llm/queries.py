@@ -14,6 +14,24 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(S.table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwork.llm.lm_scoring import scored, train
+
+    docs = S.table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    model = train(docs, ~held)
+    return scored(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwork.llm.toxicity import fit, toxicity
+
+    docs, labels = S.table(spark, sf_dir, "documents"), S.table(spark, sf_dir, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    rows = toxicity(docs, fit(docs, labels, ~held), keep=["doc_id"])
+    return rows.select("doc_id", held.alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic").alias("predicted"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftwork.llm.decontaminate import contamination
 
@@ -30,6 +48,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_language_id, op8_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_toxicity, op5_decontaminate, op6_language_id, op8_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
