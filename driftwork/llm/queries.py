@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from driftwork.llm import _shared as S
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from driftwork.llm.token_shards import read_shards, write_shards
+
+    shards = write_shards(S.table(spark, sf_dir, "documents"), S.scratch(spark, "shards"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
+    return read_shards(spark, shards.collect())  # a row for each file
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftwork.llm.jaccard_join import jaccard_join
 
@@ -23,6 +32,14 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from driftwork.llm.bpe_codec import digests
+
+    return digests(S.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftwork.llm.toxicity import fit, toxicity
 
@@ -48,6 +65,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_toxicity, op5_decontaminate, op6_language_id, op8_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_bpe_codec, op4_toxicity, op5_decontaminate, op6_language_id, op8_jaccard_join, op10_token_shards)}
 
 ORACLES: dict[str, str] = {}
