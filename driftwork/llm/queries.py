@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from driftwork.llm import _shared as S
 
 
+def op7_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwork.llm.vector_join import vector_links
+
+    return vector_links(S.table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +71,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_bpe_codec, op4_toxicity, op5_decontaminate, op6_language_id, op8_jaccard_join, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_bpe_codec, op4_toxicity, op5_decontaminate, op6_language_id, op7_vector_join, op8_jaccard_join, op10_token_shards)}
 
 ORACLES: dict[str, str] = {}
