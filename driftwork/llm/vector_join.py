@@ -4,7 +4,8 @@ Vectors are scaled to unit length, so a cosine of c or more is a squared distanc
 rotation spreads each vector's length evenly) and cut into blocks of dimensions. Within that budget at least one block's squared
 distance is at most the budget's proportional share, so a range join of every block under its share finds all pairs. Each block's
 join deals vectors to grid cells over the block's first dimensions, of side twice the block's radius: a vector is at home in one cell and a guest
-in the others that its ball reaches. Blocks of vectors within a cell are joined by matrix products over the block's dimensions only;
+in the later ones that its ball reaches, so every pair meets in one cell. Those at home in a cell are joined with each other and with the
+guests, tile by tile, by matrix products over the block's dimensions only;
 pairs within the share are verified with the whole original vectors in double precision. A pair counts in the first block that finds it.
 
 Equal vectors are one class with its number, so copies are never paired. Links are counted, not listed: each task adds up the links of
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 from driftwork.llm import _shared as S
 
 #: Blocks of dimensions, and dimensions of a block's grid.
-BLOCKS, GRID = 4, 2
+BLOCKS, GRID = 4, 3
 #: Vectors of a cell (guests too) that one task joins at once, and rows of a product.
-SLOT, TILE = 16384, 1024
+SLOT, TILE = 16384, 512
 #: Candidate pairs verified at once.
 PAIRS = 50_000
 
@@ -64,7 +65,9 @@ def _deal(threshold: float):
                     reach = np.abs(x[:, lo : lo + g] / side - home - (near > 0)) * side <= radius
                     for mask in range(1 << g):
                         step = np.array([(mask >> d) & 1 for d in range(g)])
-                        use = np.flatnonzero((reach | (step == 0)).all(1))
+                        # the home, and later cells only: the first dimension that differs goes up
+                        later = np.ones(len(x), bool) if not mask else near[:, step.argmax()] > 0
+                        use = np.flatnonzero((reach | (step == 0)).all(1) & later)
                         cell = home[use] + near[use] * step
                         key = np.full(len(use), n * 64 + k, np.int64)
                         for d in range(g):
@@ -84,35 +87,52 @@ def _solve(threshold: float):
         y = x @ rotation(n)
         parts = limits(n)
         share = [2 * (1 - threshold) * (d - c) / n + 1e-9 for c, d in parts]
-        z = np.ascontiguousarray(y[:, slice(*parts[block])], np.float32)
-        norm = (z * z).sum(1)
+        z = y[:, slice(*parts[block])]
+        norm = (z * z).sum(1)[:, None]
+        # one product gives the squared distances
+        ahead = np.hstack([z, norm, np.ones_like(norm)]).astype(np.float32)
+        behind = np.hstack([-2 * z, np.ones_like(norm), norm]).astype(np.float32).T
         count, edges, held = np.zeros(len(ids), np.int64), [], 0
-        same = lo == hi
-        for i in range(0, len(left), TILE):
-            a = left[i : i + TILE]
-            for j in range(i if same else 0, len(right), TILE):
-                b = right[j : j + TILE]
-                p, q = np.nonzero(norm[a][:, None] + norm[b][None] - 2 * (z[a] @ z[b].T) <= np.float32(share[block] + 1e-4))
-                p, q = a[p], b[q]
-                if same:
-                    p, q = p[p < q], q[p < q]
-                # both are in the home cells of either; the pair is counted in that of the smaller id
-                keep = np.where(ids[p] < ids[q], home[p], home[q])
-                p, q = p[keep], q[keep]
-                for f in range(0, len(p), PAIRS):
-                    u, v = p[f : f + PAIRS], q[f : f + PAIRS]
-                    far = [((y[u, c:d] - y[v, c:d]) ** 2).sum(1) > share[k] for k, (c, d) in enumerate(parts[: block + 1])]
-                    first = ~far[block] & np.logical_and.reduce([*far[:block], np.ones(len(u), bool)])
-                    u, v = u[first], v[first]
-                    linked = np.einsum("ij,ij->i", vectors[u], vectors[v]) / (size[u] * size[v]) >= threshold
-                    u, v = u[linked], v[linked]
-                    np.add.at(count, u, numbers[v])
-                    np.add.at(count, v, numbers[u])
-                    edges.append(np.stack([ids[u], ids[v]]))
-                    held += len(u)
-                    if held > 1_000_000:
-                        edges = [np.stack(S.contracted(*np.concatenate(edges, axis=1)))]
-                        held = len(edges[0][0])
+
+        def meet(p, q):
+            nonlocal edges, held
+            for f in range(0, len(p), PAIRS):
+                u, v = p[f : f + PAIRS], q[f : f + PAIRS]
+                far = [((y[u, c:d] - y[v, c:d]) ** 2).sum(1) > share[k] for k, (c, d) in enumerate(parts[: block + 1])]
+                first = ~far[block] & np.logical_and.reduce([*far[:block], np.ones(len(u), bool)])
+                u, v = u[first], v[first]
+                linked = np.einsum("ij,ij->i", vectors[u], vectors[v]) / (size[u] * size[v]) >= threshold
+                u, v = u[linked], v[linked]
+                np.add.at(count, u, numbers[v])
+                np.add.at(count, v, numbers[u])
+                edges.append(np.stack([ids[u], ids[v]]))
+                held += len(u)
+                if held > 1_000_000:
+                    edges = [np.stack(S.contracted(*np.concatenate(edges, axis=1)))]
+                    held = len(edges[0][0])
+
+        def join(some, others, once):
+            """Pairs between some and others; once: they are the same, and each pair is wanted once."""
+            limit = np.float32(share[block] + 1e-4)
+            columns = np.ascontiguousarray(behind[:, others])
+            for i in range(0, len(some), TILE):
+                a = some[i : i + TILE]
+                rows = ahead[a]
+                for j in range(i if once else 0, len(others), TILE):
+                    near = np.flatnonzero(rows @ columns[:, j : j + TILE] <= limit)
+                    if len(near):
+                        b = others[j : j + TILE]
+                        p, q = a[near // len(b)], b[near % len(b)]
+                        keep = p < q if once else slice(None)
+                        meet(p[keep], q[keep])
+
+        if lo == hi:
+            own = left[home[left]]
+            join(own, own, True)
+            join(own, left[~home[left]], False)
+        else:
+            join(left[home[left]], right, False)
+            join(right[home[right]], left[~home[left]], False)
         return count, edges
 
     return solve
@@ -127,13 +147,14 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     component, equal vectors among them count as copies. Other columns are not read.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).where("vec_id is not null")
+    kind_of = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind_of).alias("embedding")).where("vec_id is not null")
     good = "embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
     rows = rows.withColumn("good", F.coalesce(F.expr(good), F.lit(False)))
     # the key of a class: adding 0.0 makes both zeros one
-    keyed = rows.where("good").select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0)).alias("embedding")).withColumn("class", F.xxhash64("embedding"))
+    keyed = rows.where("good").select("vec_id", F.transform("embedding", lambda x: x + F.lit(0).cast(kind_of[6:-1])).alias("embedding"))
     classes, class_path = S.written(keyed.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("number")), "classes")
-    kind = "cell long, block int, home boolean, vec_id long, embedding array<double>, number long"
+    kind = "cell long, block int, home boolean, vec_id long, embedding " + kind_of + ", number long"
     dealt, dealt_path = S.written(classes.select("vec_id", "embedding", "number").mapInArrow(_deal(threshold), kind), "cells")
     slots = dealt.groupBy("cell").count().select("cell", F.ceil(F.col("count") / SLOT).cast("int").alias("slots"))
     found = dealt.join(slots, "cell").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("slots")).cast("int"))
@@ -176,7 +197,7 @@ def _groups(threshold: float):
             number = batch.column(8).to_numpy(zero_copy_only=False)
             lists = batch.column(7)
             at = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False)
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(float)
             change = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))) if len(cell) else []
             for i, j in zip(change, np.append(change[1:], len(cell)), strict=True):
                 key = (cell[i], lo[i], hi[i])
