@@ -101,6 +101,14 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def hash_spans(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans that begin at these places (the first at 0) and reach to the next."""
+    length = np.diff(np.append(begin, len(data)))
+    part = _BYTE[data]
+    part *= powers(int(length.max(initial=1)) + 1)[np.arange(len(data)) - np.repeat(begin, length)]
+    return mix(np.add.reduceat(part, begin) + length.astype(np.uint64))
+
+
 def hash_word(word: str | bytes) -> int:
     """The hash that Words gives one word (already in lower case)."""
     data = np.frombuffer(word.encode() if isinstance(word, str) else word, np.uint8)

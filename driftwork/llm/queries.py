@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwork.llm import _shared as S
+from driftwork.llm import chat_format as _chat
+from driftwork.llm import license_scan as _license
 
 
 def op7_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +16,12 @@ def op7_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(S.table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwork.llm.chat_format import chat_format
+
+    return chat_format(S.table(spark, sf_dir, "conversations"))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +54,13 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(S.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwork.llm.license_scan import license_scan
+
+    found = license_scan(S.table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftwork.llm.toxicity import fit, toxicity
 
@@ -71,6 +86,6 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_bpe_codec, op4_toxicity, op5_decontaminate, op6_language_id, op7_vector_join, op8_jaccard_join, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_bpe_codec, op3_license_scan, op4_toxicity, op5_decontaminate, op6_language_id, op7_vector_join, op8_jaccard_join, op9_chat_format, op10_token_shards)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_license_scan": _license.ORACLE, "op9_chat_format": _chat.ORACLE}

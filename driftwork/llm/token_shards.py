@@ -31,6 +31,8 @@ BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Pieces of text that a worker keeps with their ids.
 CACHE_PIECES = 600_000
+#: Bytes of text encoded together.
+ENCODE_BYTES = 6 << 20
 
 _ENTRY, _INDEX, _FOOTER, _MARK = struct.Struct("<BBI"), struct.Struct("<8sQIIQ"), struct.Struct("<QQQQQQII8s"), b"DWTOKEN1"
 _FLIP = 1 << 63
@@ -139,9 +141,30 @@ class Shard:
         return out
 
 
-#: Texts of these characters only are cut here as the library cuts them before it encodes piece by piece; others go to it whole.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e¡-±´-¸º»¿-ɏ]*")
-_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Texts of these characters only (ASCII without apostrophes, Latin letters) are cut here as the library's byte-level splitter cuts
+#: them, and their pieces encoded once; other texts go to the library whole.
+_PLAIN = re.compile("[\t\n\r\x20-\x26\x28-\x7eÀ-ÖØ-öø-ɏ]*")
+_LETTER, _DIGIT, _BLANK, _OTHER = range(4)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_KINDS[48:58] = _DIGIT
+_KINDS[[9, 10, 13, 32]] = _BLANK
+
+
+def pieces(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the splitter's pieces of a block of such texts begin: runs of letters, digits or others with one space before them, and
+    what else there is of blanks, of which the last before a piece stands alone unless it is that space."""
+    n = len(data)
+    kind = _KINDS[data]
+    begin = np.zeros(n, bool)
+    begin[at[:-1][at[:-1] < n]] = True
+    text = begin.copy()
+    begin[1:] |= kind[1:] != kind[:-1]
+    after = np.flatnonzero(begin & ~text & (kind != _BLANK))
+    after = after[kind[after - 1] == _BLANK]
+    begin[after - 1] = True
+    begin[after[data[after - 1] == 32]] = False
+    return np.flatnonzero(begin)
 
 
 class Encoder:
@@ -154,21 +177,41 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.known: dict[int, np.ndarray] = {}
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, np.uint8)
+        begin = pieces(data, at)
+        if not len(begin):
+            return [b""] * len(texts)
+        end = np.append(begin[1:], len(data))
+        keys, first, which = np.unique(T.hash_spans(data, begin), return_index=True, return_inverse=True)
+        found, keys = [], keys.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.known]
+        if len(self.known) + len(new) > CACHE_PIECES:  # only what these texts need stays
+            self.known = {k: self.known[k] for k in keys if k in self.known}
+        words = [joined[begin[first[i]] : end[first[i]]].decode() for i in new]
+        kind = f"<u{self.width}"
+        for i, e in zip(new, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.known[keys[i]] = np.array(e.ids, kind)
+        found = [self.known[k] for k in keys]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        stock, start = np.concatenate(found), np.cumsum(size) - size
+        each = size[which]
+        total = np.concatenate([[0], np.cumsum(each)])
+        ids = stock[np.repeat(start[which] - total[:-1], each) + np.arange(total[-1])]
+        limit = total[np.searchsorted(begin, at)]
+        return [ids[i:j].tobytes() for i, j in zip(limit, limit[1:], strict=False)]
 
     def encode(self, texts: list[str], end: int | None) -> list[bytes]:
         tail = b"" if end is None else end.to_bytes(self.width, "little")
-        cut = [_CUT.findall(t) if _PLAIN.fullmatch(t) and not any(a in t for a in self.added) else None for t in texts]
-        whole = [i for i, p in enumerate(cut) if p is None]
-        every = set().union(*(p for p in cut if p))
-        new = list(every - self.known.keys())
-        if len(self.known) + len(new) > CACHE_PIECES:  # only what these texts need stays
-            self.known = {p: self.known[p] for p in every if p in self.known}
-        kind = f"<u{self.width}"
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, kind).tobytes()
-        rest = dict(zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True))
-        return [(np.array(rest[i].ids, kind).tobytes() if p is None else b"".join(map(self.known.__getitem__, p))) + tail for i, p in enumerate(cut)]
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(a in t for a in self.added) for t in texts]
+        quick = iter(self._plain([t for t, p in zip(texts, plain, strict=True) if p]))
+        rest = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [(next(quick) if p else np.array(next(rest).ids, f"<u{self.width}").tobytes()) + tail for p in plain]
 
 
 def write_shards(docs: DataFrame, folder: str, path: str, end: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,13 +224,11 @@ def write_shards(docs: DataFrame, folder: str, path: str, end: int | None = 0, i
 
     def run(batches):
         out = encoder = None
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                encoder = encoder or Encoder(path)
-                out = out or Writer(encoder.width)
-                for d, v in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()], end), strict=True):
-                    out.add(d, v)
+        for batch, _, _ in T.blocks(batches, size=ENCODE_BYTES):
+            encoder = encoder or Encoder(path)
+            out = out or Writer(encoder.width)
+            for d, v in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()], end), strict=True):
+                out.add(d, v)
         if out:
             name = f"{folder}/shard-{key_of(out.keys[0]).hex()}-{key_of(out.keys[-1]).hex()}.tok"
             S.put_file(name, out.finish())
