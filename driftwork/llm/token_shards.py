@@ -29,8 +29,8 @@ from driftwork.llm import _text as T
 BLOCK_BYTES = 64 << 10
 #: Bits of the Bloom filter for each key, and its hash functions.
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Pieces of text that a worker keeps with their ids.
-CACHE_PIECES = 600_000
+#: Pieces of text that a worker keeps with their ids (about 25 bytes each), and pieces joined to one text for the library.
+CACHE_PIECES, JOINED = 3_000_000, 2000
 #: Bytes of text encoded together.
 ENCODE_BYTES = 6 << 20
 
@@ -177,7 +177,41 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[int, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.stock = np.empty(0, f"<u{self.width}")
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Encode pieces and keep them under their keys."""
+        kind, found = f"<u{self.width}", [None] * len(words)
+        # a blank and letters: joined, the library parts them again and says which ids are whose
+        simple = [i for i, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
+        groups = [simple[k : k + JOINED] for k in range(0, len(simple), JOINED)]
+        for group, e in zip(groups, self.library.encode_batch(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            whose = np.array(e.word_ids)
+            limit = np.searchsorted(whose, np.arange(len(group) + 1))
+            if not len(whose) or whose[-1] != len(group) - 1 or (np.diff(whose) < 0).any():
+                continue
+            ids = np.array(e.ids, kind)
+            for i, lo, hi in zip(group, limit.tolist(), limit[1:].tolist(), strict=False):
+                found[i] = ids[lo:hi]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, e in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = np.array(e.ids, kind)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self.start = np.concatenate([self.start, len(self.stock) + np.cumsum(size) - size])
+        self.stock = np.concatenate([self.stock, *found])
+        self.keys, self.size = np.concatenate([self.keys, keys]), np.concatenate([self.size, size])
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.start, self.size = self.keys[order], self.start[order], self.size[order]
+
+    def _missing(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.arange(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.flatnonzero(self.keys[at] != keys)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         raw = [t.encode() for t in texts]
@@ -189,17 +223,14 @@ class Encoder:
             return [b""] * len(texts)
         end = np.append(begin[1:], len(data))
         keys, first, which = np.unique(T.hash_spans(data, begin), return_index=True, return_inverse=True)
-        found, keys = [], keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if len(self.known) + len(new) > CACHE_PIECES:  # only what these texts need stays
-            self.known = {k: self.known[k] for k in keys if k in self.known}
-        words = [joined[begin[first[i]] : end[first[i]]].decode() for i in new]
-        kind = f"<u{self.width}"
-        for i, e in zip(new, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[keys[i]] = np.array(e.ids, kind)
-        found = [self.known[k] for k in keys]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        stock, start = np.concatenate(found), np.cumsum(size) - size
+        new = self._missing(keys)
+        if len(self.keys) + len(new) > CACHE_PIECES:
+            self._forget()
+            new = np.arange(len(keys))
+        if len(new):
+            self._learn(keys[new], [joined[i:j].decode() for i, j in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+        at_key = np.searchsorted(self.keys, keys)
+        size, start, stock = self.size[at_key], self.start[at_key], self.stock
         each = size[which]
         total = np.concatenate([[0], np.cumsum(each)])
         ids = stock[np.repeat(start[which] - total[:-1], each) + np.arange(total[-1])]
