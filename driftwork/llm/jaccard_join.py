@@ -5,7 +5,9 @@ dealt to clusters that surely hold both sides of every link: tokens are dealt to
 similarity of t or more differ in at most h = (1-t)/(1+t)(|x|+|y|) tokens, at least m-h parts are equal. Parts of one
 token or none say little, and a pair of which one side has at most e = m-h-1 of those still has a larger part in common. So only larger
 parts are emitted; a set with more than e small ones emits its larger parts under another dealing too, and so on, and one that
-has too many under every dealing emits the small parts of the last one as well.
+has too many under every dealing emits the small parts of the last one as well. Tokens that a bounded sample of the texts shows to be common
+(passages that many documents share) do not count for a part's size; what is in the sample moves work, never results, since a part
+is small or not by its content alone.
 Within a cluster a signature tree (OR-combined token bitmaps and size ranges) is joined with itself by dual traversal, which
 drops node pairs whose largest possible overlap is too small; what remains is counted exactly on the whole sets. Links within
 a component that is known already are not counted again, so a group of k near copies costs about k counts.
@@ -16,6 +18,7 @@ only documents outside the largest component of their cluster meet the other blo
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -28,6 +31,8 @@ from driftwork.llm import _text as T
 
 #: Dealings of the tokens to parts that a set may need.
 SEEDS = 16
+#: Texts of the sample, from how many of them on a token is common, and common tokens at most (8 bytes each).
+SAMPLE, COMMON, MOST_COMMON = 3000, 4, 500_000
 #: Members of a cluster that one task joins at once.
 BLOCK = 1024
 #: Documents in clusters up to which their ids are broadcast (8 bytes each); beyond, the texts are shuffled to them.
@@ -72,25 +77,34 @@ class Scheme:
         self.upto(int(sizes.max(initial=1)))
         return np.searchsorted(np.array(self.low), sizes, "right") - 1
 
-    def parts(self, b: int) -> tuple[int, int]:
-        """(m, e) of class b: number of parts, and how many small ones a set may leave out. m = 0: no differing sets can link."""
-        small = self.low[b + 1] - 1
+    def parts(self, b: int) -> tuple[int, int, int]:
+        """(m, e, s) of class b: number of parts; how many small ones a set may leave out; up to how many tokens a part is small.
+
+        One token is small where the share of such parts (by a Poisson law) lets m settle; else only the empty ones are, which always does.
+        m = 0: no differing sets can link.
+        """
+        low, small = self.low[b], self.low[b + 1] - 1
         large = int(small / self.t)
         h = int((1 - self.t) / (1 + self.t) * (small + large))
         if h < 1:
-            return 0, 0
-        e = 2 + h // 5
-        return h + 1 + e, e
+            return 0, 0, 0
+        for s in (1, 0):
+            for e in range(2, 3 + max(6, h // 3)):
+                m = h + 1 + e
+                p = math.exp(-low / m) * (1 + low / m * s)
+                if e >= m * p + 2 * math.sqrt(m * p):
+                    return m, e, s
+        return h + 2, 1, 0
 
 
-def _parts(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, classes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+def _parts(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, classes: np.ndarray, scheme: Scheme, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signature, text number) of the parts that each set emits under its own size class and the one below."""
     found, who = [], []
     first = np.searchsorted(doc, np.arange(len(sizes) + 1))
     for below in (0, 1):
         wanted = classes - below
         for b in np.unique(wanted[(wanted >= 0) & (sizes > 0)]):
-            m, e = scheme.parts(int(b))
+            m, e, small = scheme.parts(int(b))
             if not m:
                 continue
             sets = np.flatnonzero((wanted == b) & (sizes > 0))
@@ -98,20 +112,23 @@ def _parts(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, classes: np.ndar
             which = np.repeat(np.arange(len(sets)), n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[sets][which]
             tokens, todo = key[at], np.arange(len(sets))
+            counts = np.ones(len(tokens), np.int64)
+            if len(common):
+                counts[common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens] = 0
             for seed in range(SEEDS):
                 salt = T.mix(np.array([(b << 8) + seed + 1], np.uint64))[0]
                 k = T.mix(tokens ^ salt)
                 slot = which * m + ((k >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
                 order = np.argsort(slot, kind="stable")
-                slot, k = slot[order], k[order]
+                slot, k, own = slot[order], k[order], counts[order]
                 start = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
                 total = np.add.reduceat(T.mix(k ^ _KEY), start)
-                count = np.diff(np.append(start, len(slot)))
+                size, count = np.diff(np.append(start, len(slot))), np.add.reduceat(own, start)
                 slot = slot[start]
                 owner, part = slot // m, slot % m
-                sig = T.mix(total + T.mix(part.astype(np.uint64) * _KEY + salt) + count.astype(np.uint64))
-                loose = m - np.bincount(owner, count > 1, len(todo)).astype(np.int64) > e
-                keep = (count > 1) | (loose[owner] & (seed == SEEDS - 1))
+                sig = T.mix(total + T.mix(part.astype(np.uint64) * _KEY + salt) + size.astype(np.uint64))
+                loose = m - np.bincount(owner, count > small, len(todo)).astype(np.int64) > e
+                keep = (count > small) | (loose[owner] & (seed == SEEDS - 1))
                 found.append(sig[keep])
                 who.append(sets[todo[owner[keep]]])
                 if not loose.any():
@@ -123,7 +140,7 @@ def _parts(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, classes: np.ndar
                     found.append(T.mix(T.mix(p.astype(np.uint64) * _KEY + salt)))
                     who.append(sets[todo[o]])
                 stay = loose[which]
-                tokens, which = tokens[stay], (np.cumsum(loose) - 1)[which[stay]]
+                tokens, counts, which = tokens[stay], counts[stay], (np.cumsum(loose) - 1)[which[stay]]
                 todo = todo[loose]
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -154,7 +171,7 @@ def _stars(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, n
     return order, new, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
 
 
-def _sketch(size: int, percent: int, shards: int):
+def _sketch(size: int, percent: int, shards: int, common: np.ndarray):
     def run(batches):
         scheme = Scheme(percent)
 
@@ -173,7 +190,7 @@ def _sketch(size: int, percent: int, shards: int):
             held[lead] = True
             sizes = np.where(held, n, 0)
             sets = held[doc]
-            sig, who = _parts(key[sets], doc[sets], sizes, scheme.of(np.maximum(n, 1)), scheme)
+            sig, who = _parts(key[sets], doc[sets], sizes, scheme.of(np.maximum(n, 1)), scheme, common)
             order, new, head = _stars((sig,), ids[who])
             a, b = ids[who[order[head[~new]]]], ids[who[order[~new]]]
             if len(a):
@@ -215,6 +232,18 @@ def _joined(parts):
     return (*(np.concatenate([p[k] for p in parts]) for k in range(5)), np.concatenate([p[5] + s for p, s in zip(parts, shift, strict=False)]), None)
 
 
+def _common(size: int):
+    """The tokens of a small sample that many of its texts have."""
+
+    def run(batches):
+        found = [shingles(T.Words(data, at), size)[1] for _, data, at in T.blocks(batches)]
+        keys, count = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+        order = np.argsort(-count, kind="stable")[:MOST_COMMON]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[order[count[order] >= COMMON]].view(np.int64))], names=["token"])
+
+    return run
+
+
 def _meet(batches):
     """A shard's digests and signatures: the smallest document of each meets the others."""
     digests, sigs = [], []
@@ -415,7 +444,9 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     shards = S.partitions(spark) * 4
-    met, met_path = S.written(rows.mapInArrow(_sketch(shingle, percent, shards), _OUT).repartition(S.partitions(spark), "shard").mapInArrow(_meet, _OUT).drop("x", "y", "shard"), "sketch")
+    common = np.array([r.token for r in rows.limit(SAMPLE).mapInArrow(_common(shingle), "token long").collect()], np.int64).view(np.uint64)
+    common.sort()
+    met, met_path = S.written(rows.mapInArrow(_sketch(shingle, percent, shards, common), _OUT).repartition(S.partitions(spark), "shard").mapInArrow(_meet, _OUT).drop("x", "y", "shard"), "sketch")
     same = met.where(f"kind = {_SAME}").select("a", "b")
     pairs = met.where(f"kind = {_PAIR}").select("a", "b")
     cluster, cluster_path = S.components(pairs)
