@@ -215,7 +215,7 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         raw = [t.encode() for t in texts]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        at = np.concatenate([[0], np.cumsum(np.array([len(x) for x in raw], np.int64))]).astype(np.int64)
         joined = b"".join(raw)
         data = np.frombuffer(joined, np.uint8)
         begin = pieces(data, at)
