@@ -51,7 +51,7 @@ class FrameSource(DataSource):
     def schema(self):
         return schema.FRAMES
 
-    def reader(self, _schema):
+    def reader(self, schema):
         return _Frames(self.options)
 
 
@@ -74,7 +74,7 @@ class MetaSource(DataSource):
     def schema(self):
         return schema.VIDEO_META
 
-    def reader(self, _schema):
+    def reader(self, schema):
         return _Meta(self.options)
 
 
