@@ -22,8 +22,6 @@ from driftwork.llm import _text as T
 #: Bound of the training sample: texts of a language, and languages.
 PER_LANGUAGE = 500
 LANGUAGES = 64
-#: Characters of a training text; prediction always reads whole texts.
-TRAIN_CHARS = 20_000
 FEATURES = 1 << 14
 
 #: Language families by ISO 639-1 code; a code that is not here is a family of its own.
@@ -88,21 +86,27 @@ def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: float =
     return w.astype(np.float32)
 
 
+def _features(batches):
+    """(id, lang, features, weights) of whole texts: at most FEATURES numbers each, whatever a text's length."""
+    for batch, data, at in T.blocks(batches):
+        found, weights = [], []
+        for lo, hi in zip(at, at[1:], strict=False):
+            feature, use = trigrams(data[lo:hi], np.array([0, hi - lo]))
+            count = np.bincount(feature, use, FEATURES)
+            found.append(np.flatnonzero(count))
+            v = np.sqrt(count[found[-1]])
+            weights.append(v / max(np.linalg.norm(v), 1e-9))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=["id", "lang", "found", "weights"])
+
+
 class Model:
     """Machines as columns of one weight table: each separates class p (positive) from class q."""
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
+        """rows: (features, weights) of unit length of each training text."""
         self.langs = sorted(set(langs))
         self.groups = sorted({family(x) for x in self.langs})
         self.of = [self.groups.index(family(x)) for x in self.langs]
-        data, at = T.raw(pa.array(texts, pa.large_string()))
-        rows = []
-        for lo, hi in zip(at, at[1:], strict=False):
-            feature, use = trigrams(data[lo:hi], np.array([0, hi - lo]))
-            count = np.bincount(feature, use, FEATURES)
-            found = np.flatnonzero(count)
-            v = np.sqrt(count[found])
-            rows.append((found, v / max(np.linalg.norm(v), 1e-9)))
         y = np.array([self.langs.index(v) for v in langs])
         z = np.array(self.of)[y] if len(y) else y
         self.family_pairs = list(itertools.combinations(range(len(self.groups)), 2))
@@ -160,9 +164,10 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
         ids += [r.id for r in found]
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
-    got = rows.join(F.broadcast(wanted), "id", "left_semi").where(F.col("lang").isin(langs)).select("id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).toPandas()
-    got = got.drop_duplicates().sort_values(["lang", "id", "text"]).groupby("lang").head(2 * PER_LANGUAGE)
-    return Model(list(got.text), list(got.lang))
+    some = rows.join(F.broadcast(wanted), "id", "left_semi").where(F.col("lang").isin(langs)).select("id", "lang", "text")
+    got = some.mapInArrow(_features, "id string, lang string, found array<int>, weights array<double>").toPandas()
+    got = got.assign(key=[np.asarray(w).tobytes() for w in got.weights]).sort_values(["lang", "id", "key"]).groupby("lang").head(2 * PER_LANGUAGE)
+    return Model([(np.asarray(f, np.int64), np.asarray(w)) for f, w in zip(got.found, got.weights, strict=True)], list(got.lang))
 
 
 _SCHEMA = "lang_pred string, score double"
