@@ -53,6 +53,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_text(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, str]:
+    """The columns keep with the text, and the text's name there: a text that is kept anyway crosses to Python once."""
+    if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string":
+        return docs.select(*keep), text_col
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")), "__text"
+
+
 def local_path(url: str) -> str | None:
     """The path of a mounted shared folder, None where it needs a remote filesystem."""
     if url.startswith("file:"):

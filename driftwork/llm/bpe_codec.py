@@ -19,7 +19,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from driftwork.llm import _shared as S
 
 #: Words that a worker keeps, and characters of text prepared together.
 CACHE_WORDS, BLOCK_CHARS = 600_000, 3_000_000
@@ -342,9 +343,9 @@ def _scan(docs, path, keep, text_col, more, what):
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                found = [what(*x) for x in worker.run([t or "" for t in batch.column(len(kept)).to_pylist()])]
+                found = [what(*x) for x in worker.run([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])]
                 columns = [pa.array([x[k] for x in found], kinds[f[1]]) for k, f in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *columns], names=[*kept, *(f[0] for f in fields)])
 
-    rows = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
+    rows, text = S.with_text(docs, kept, text_col)
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), more]))

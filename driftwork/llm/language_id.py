@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwork.llm import _shared as S
 from driftwork.llm import _text as T
 
 #: Bound of the training sample: texts of a language, and languages.
@@ -181,12 +182,12 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", keep: l
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.columns if keep is None else keep
-    rows = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
+    rows, text = S.with_text(docs, kept, text_col)
 
     def run(batches):
         m = shared.value
         names = np.array([*m.langs, "und"], object)
-        for batch, data, at in T.blocks(batches, "__text"):
+        for batch, data, at in T.blocks(batches, text):
             x = data | 32
             plain = (x >= 97) & (x <= 122)
             letter = T.by_text(plain.astype(np.int64), at) > 0
