@@ -177,33 +177,45 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.library.get_vocab()
+        # a byte-level token has a character for each of its bytes
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self._forget()
 
     def _forget(self) -> None:
         self.keys, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.stock = np.empty(0, f"<u{self.width}")
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """Encode pieces and keep them under their keys."""
-        kind, found = f"<u{self.width}", [None] * len(words)
-        # a blank and letters: joined, the library parts them again and says which ids are whose
-        simple = [i for i, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
-        groups = [simple[k : k + JOINED] for k in range(0, len(simple), JOINED)]
-        for group, e in zip(groups, self.library.encode_batch(["".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            whose = np.array(e.word_ids)
-            limit = np.searchsorted(whose, np.arange(len(group) + 1))
-            if not len(whose) or whose[-1] != len(group) - 1 or (np.diff(whose) < 0).any():
+    def _learn(self, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """Encode the pieces data[begin:end] and keep them under their keys."""
+        kind, size = f"<u{self.width}", end - begin
+        # a blank and letters: joined, the library parts them again, and the ids' bytes tell whose they are
+        simple = (size > 1) & (data[begin] == 32) & (_KINDS[data[np.minimum(begin + 1, len(data) - 1)]] == _LETTER)
+        some, alone = np.flatnonzero(simple), [np.flatnonzero(~simple)]
+        limit = np.concatenate([[0], np.cumsum(size[some])]).astype(np.int64)
+        joined = data[np.repeat(begin[some] - limit[:-1], size[some]) + np.arange(limit[-1])].tobytes()
+        cuts = [*range(0, len(some), JOINED), len(some)]
+        groups = [slice(i, j) for i, j in zip(cuts, cuts[1:], strict=False) if i < j]
+        ids, sizes, order = [], [], []
+        for g, e in zip(groups, self.library.encode_batch_fast([joined[limit[g.start] : limit[g.stop]].decode() for g in groups], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, kind)
+            ends, want = np.cumsum(self.bytes_of[found]), limit[g.start + 1 : g.stop + 1] - limit[g.start]
+            last = np.searchsorted(ends, want)
+            if not len(ends) or ends[-1] != want[-1] or (ends[last] != want).any():
+                alone.append(some[g])
                 continue
-            ids = np.array(e.ids, kind)
-            for i, lo, hi in zip(group, limit.tolist(), limit[1:].tolist(), strict=False):
-                found[i] = ids[lo:hi]
-        rest = [i for i, x in enumerate(found) if x is None]
-        for i, e in zip(rest, self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-            found[i] = np.array(e.ids, kind)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.start = np.concatenate([self.start, len(self.stock) + np.cumsum(size) - size])
-        self.stock = np.concatenate([self.stock, *found])
-        self.keys, self.size = np.concatenate([self.keys, keys]), np.concatenate([self.size, size])
+            ids.append(found)
+            sizes.append(np.diff(last, prepend=-1))
+            order.append(some[g])
+        rest = np.concatenate(alone)
+        for e in self.library.encode_batch_fast([data[i:j].tobytes().decode() for i, j in zip(begin[rest].tolist(), end[rest].tolist(), strict=True)], add_special_tokens=False):
+            ids.append(np.array(e.ids, kind))
+            sizes.append([len(ids[-1])])
+        sizes, keys = np.concatenate(sizes).astype(np.int64), keys[np.concatenate([*order, rest])]
+        self.start = np.concatenate([self.start, len(self.stock) + np.cumsum(sizes) - sizes])
+        self.stock = np.concatenate([self.stock, *ids])
+        self.keys, self.size = np.concatenate([self.keys, keys]), np.concatenate([self.size, sizes])
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.start, self.size = self.keys[order], self.start[order], self.size[order]
 
@@ -216,8 +228,7 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         raw = [t.encode() for t in texts]
         at = np.concatenate([[0], np.cumsum(np.array([len(x) for x in raw], np.int64))]).astype(np.int64)
-        joined = b"".join(raw)
-        data = np.frombuffer(joined, np.uint8)
+        data = np.frombuffer(b"".join(raw), np.uint8)
         begin = pieces(data, at)
         if not len(begin):
             return [b""] * len(texts)
@@ -228,7 +239,7 @@ class Encoder:
             self._forget()
             new = np.arange(len(keys))
         if len(new):
-            self._learn(keys[new], [joined[i:j].decode() for i, j in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            self._learn(keys[new], data, begin[first[new]], end[first[new]])
         at_key = np.searchsorted(self.keys, keys)
         size, start, stock = self.size[at_key], self.start[at_key], self.stock
         each = size[which]
