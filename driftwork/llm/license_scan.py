@@ -1,8 +1,13 @@
-"""License scan: lines and whole texts against licence templates by the Dice coefficient over word bigrams, in SQL functions only.
+"""License scan: lines, whole texts and passages against licence templates by the Dice coefficient over word bigrams, in SQL functions only.
 
 A text is put in lower case (A-Z), everything but a-z, 0-9 and line ends becomes a blank, and its lines, and the whole text where it has
 several, are sets of distinct bigrams of words. A template is a candidate only for sets whose size lies within the bounds that its own
 size and the threshold allow: t/(2-t) to (2-t)/t of it. All happens within the row: nothing is shuffled or exploded.
+
+Passages find a notice that is wrapped within a longer text or stands inside a longer line. They are runs of consecutive lines within the
+same bounds, and runs of words from every start that have at least the template's number of distinct bigrams (a shorter one would only
+leave out the words that differ); both have at most (2-t)/t times the template's bigrams, repeats counted. Only texts that hold
+t/(2-t) of a template's bigrams are searched for it, since no passage of another can match.
 """
 
 from __future__ import annotations
@@ -34,15 +39,74 @@ TEMPLATES = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _bigrams(text: str) -> list[str]:
+def _pairs(text: str) -> list[str]:
     words = re.findall("[a-z0-9]+", text.translate(str.maketrans(_UPPER, _LOWER)))
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def _bigrams(text: str) -> list[str]:
+    return sorted(set(_pairs(text)))
+
+
+def _words(line: Column) -> Column:
+    return F.filter(F.split(line, " "), lambda w: w != "")
+
+
+def _adjacent(words: Column) -> Column:
+    """The bigrams of a list of words, in its order, repeats included."""
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once, since a lambda's argument is."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _passages(lines: Column, x: Column, t: float) -> Column:
+    """(start, end, dice) of passages that match the template x, by places of bigrams: every run of lines, and the shortest run of words from each start."""
+
+    def of(lined: Column, gram: Column) -> Column:
+        # a bigram of the template has a mark
+        marked = F.transform(gram, lambda g: F.when(F.array_contains(x["grams"], g), F.concat(F.lit("*"), g)).otherwise(g))
+        ends = F.aggregate(lined, F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.size(w))))
+
+        def run(g: Column, start: Column, n: Column) -> Column:
+            common = F.size(F.filter(g, lambda v: v.startswith("*")))
+            return F.struct(start.alias("start"), (start + n - 1).alias("end"), (2.0 * common / (F.size(g) + x["n"])).alias("dice"))
+
+        def runs(b: Column, ends: Column) -> Column:
+            reach = F.transform(ends, lambda s, a: F.transform(F.filter(F.slice(ends, a + 2, x["span"] + 1), lambda e: (e - s - 1).between(x["least"], x["span"])), lambda e: F.struct((s + 1).alias("start"), (e - s - 1).alias("n"))))
+            return F.transform(F.flatten(reach), lambda r: _bound(F.array_distinct(F.slice(b, r["start"], r["n"])), lambda g: run(g, r["start"], r["n"])))
+
+        def windows(b: Column) -> Column:
+            # a start at another bigram is no better than the next one, except where the text ends
+            starts = F.filter(F.transform(b, lambda g, k: F.when(g.startswith("*") | (k >= F.size(b) - x["span"]), k + 1)), lambda k: k.isNotNull())
+            return F.flatten(F.transform(starts, lambda k: _bound(F.slice(b, k, x["span"]), lambda part: _bound(F.array_distinct(part), lambda d: window(k, part, d)))))
+
+        def window(k: Column, part: Column, d: Column) -> Column:
+            # the distinct bigrams of the words up to any end are the first ones of d
+            places = F.filter(F.transform(d, lambda g, p: F.when(g.startswith("*"), p + 1)), lambda p: p.isNotNull())
+            scored = F.transform(F.when(F.size(d) >= x["n"], places).otherwise(F.slice(places, 1, 0)), lambda p, r: F.struct((2.0 * (r + 1) / (F.greatest(p, x["n"]) + x["n"])).alias("dice"), F.greatest(p, x["n"]).alias("m")))
+            fit = F.filter(scored, lambda v: v["dice"] >= t - 1e-12)
+            return F.transform(F.slice(fit, 1, 1), lambda v: F.struct(k.alias("start"), (k - 1 + F.array_position(part, F.element_at(d, v["m"])).cast("int")).alias("end"), F.array_max(F.transform(fit, lambda u: u["dice"])).alias("dice")))
+
+        found = _bound(marked, lambda b: F.concat(_bound(ends, lambda e: runs(b, e)), windows(b)))
+        return F.array_sort(F.filter(found, lambda v: v["dice"] >= t - 1e-12))
+
+    return _bound(F.filter(F.transform(lines, _words), lambda w: F.size(w) > 0), lambda lined: of(lined, _adjacent(F.flatten(lined))))
+
+
+def _apart(found: Column) -> Column:
+    """The most passages (sorted by start) of which no two overlap."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("last"))
+    return F.aggregate(found, none, lambda a, v: F.when(v["start"] > a["last"], F.struct((a["n"] + 1).alias("n"), v["end"].alias("last"))).otherwise(F.struct(a["n"].alias("n"), F.least(a["last"], v["end"]).alias("last"))), lambda a: a["n"])
 
 
 def license_scan(docs: DataFrame, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_units (lines, or the whole text, that match), licenses (distinct names, sorted), best_dice.
+    """A row for each row of docs: doc_id, n_units (lines, or the whole text, that match, and further passages), licenses (distinct names, sorted), best_dice.
 
-    Every template within the threshold counts for its unit. Null and empty texts, and units of fewer than two words, match nothing: 0 units,
+    Every template within the threshold counts for its unit. Further passages are, for each template, those that can lie apart from
+    each other beyond the number of lines and whole texts that match it. Null and empty texts, and units of fewer than two words, match nothing: 0 units,
     an empty array, 0.0. Repeated rows give a row each; other columns are not read; an empty table gives no row.
     """
     t = Fraction(threshold)
@@ -50,14 +114,14 @@ def license_scan(docs: DataFrame, threshold: str = "0.8", id_col: str = "doc_id"
     for name, text in TEMPLATES.items():
         grams = _bigrams(text)
         least, most = t / (2 - t) * len(grams), (2 - t) / t * len(grams)
-        rows.append(F.struct(F.lit(name).alias("name"), F.lit(-(-least.numerator // least.denominator)).alias("least"), F.lit(int(most)).alias("most"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")))
+        rows.append(F.struct(F.lit(name).alias("name"), F.lit(-(-least.numerator // least.denominator)).alias("least"), F.lit(int(most)).alias("most"), F.lit(len(grams)).alias("n"), F.lit(int((2 - t) / t * len(_pairs(text)))).alias("span"), F.array(*map(F.lit, grams)).alias("grams")))
     templates = F.array(*rows)
     smallest = min(-(-(t / (2 - t) * len(_bigrams(x))).numerator // (t / (2 - t) * len(_bigrams(x))).denominator) for x in TEMPLATES.values())
 
+    every = F.array(*map(F.lit, sorted({g for x in TEMPLATES.values() for g in _bigrams(x)})))
+
     def grams(line: Column) -> Column:
-        words = F.filter(F.split(line, " "), lambda w: w != "")
-        # bound once each, since a lambda's argument is evaluated once
-        return F.flatten(F.transform(F.array(words), lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))))
+        return _bound(_words(line), lambda w: F.array_distinct(_adjacent(w)))
 
     def found(gram: Column) -> Column:
         fits = F.filter(templates, lambda x: F.size(gram).between(x["least"], x["most"]))
@@ -67,13 +131,22 @@ def license_scan(docs: DataFrame, threshold: str = "0.8", id_col: str = "doc_id"
     plain = F.regexp_replace(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _UPPER, _LOWER), "[^a-z0-9\n]+", " ")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(plain, "\n").alias("lines"))
     units = F.when(F.size("lines") > 1, F.concat("lines", F.array(F.array_join("lines", " ")))).otherwise(F.col("lines"))
-    base = base.select("doc_id", F.filter(F.transform(units, grams), lambda g: F.size(g) >= smallest).alias("units"))
-    base = base.select("doc_id", F.filter(F.transform("units", found), lambda m: F.size(m) > 0).alias("hits"))
+    base = base.select("doc_id", "lines", F.transform(units, grams).alias("units"))
+    near = _bound(F.array_intersect(F.element_at("units", -1), every), lambda g: F.filter(templates, lambda x: F.size(F.array_intersect(g, x["grams"])) >= x["least"]))
+    base = base.select("doc_id", "lines", near.alias("near"), F.filter(F.transform(F.filter("units", lambda g: F.size(g) >= smallest), found), lambda m: F.size(m) > 0).alias("hits"))
+
+    def searched(x: Column) -> Column:
+        units = F.size(F.filter("hits", lambda u: F.exists(u, lambda m: m["name"] == x["name"])))
+        return _bound(_passages(F.col("lines"), x, float(t)), lambda v: F.struct(x["name"].alias("name"), F.array_max(F.transform(v, lambda p: p["dice"])).alias("dice"), F.greatest(_apart(v) - units, F.lit(0)).alias("more")))
+
+    base = base.select("doc_id", "hits", F.filter(F.transform("near", searched), lambda m: m["dice"].isNotNull()).alias("passages"))
+    names = F.concat(F.transform(F.flatten("hits"), lambda m: m["name"]), F.transform("passages", lambda m: m["name"]))
+    dice = F.concat(F.transform(F.flatten("hits"), lambda m: m["dice"]), F.transform("passages", lambda m: m["dice"]))
     return base.select(
         "doc_id",
-        F.size("hits").cast("long").alias("n_units"),
-        F.array_sort(F.array_distinct(F.transform(F.flatten("hits"), lambda m: m["name"]))).alias("licenses"),
-        F.coalesce(F.array_max(F.transform(F.flatten("hits"), lambda m: m["dice"])), F.lit(0.0)).alias("best_dice"),
+        (F.size("hits") + F.aggregate("passages", F.lit(0), lambda a, m: a + m["more"])).cast("long").alias("n_units"),
+        F.array_sort(F.array_distinct(names)).alias("licenses"),
+        F.coalesce(F.array_max(dice), F.lit(0.0)).alias("best_dice"),
     )
 
 
@@ -81,7 +154,7 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-#: The same by unnesting, over the view documents; for ids that do not repeat.
+#: Lines and whole texts by unnesting, without further passages, over the view documents; for ids that do not repeat.
 ORACLE = f"""
 WITH template(name, body) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in TEMPLATES.items())}),
 unit AS (

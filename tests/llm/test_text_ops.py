@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -133,6 +134,56 @@ def test_license(spark):
     assert got[2][1:] == (1, ["mit"], 1.0) and got[4][2] == ["mit-text"] and got[3][2] == []
 
 
+def test_license_passages(spark, lower):
+    names = ["apache-2.0-header", "gpl-3.0-header", "mit-text"]
+    wrapped = ["Some prose before it,\nof two lines.\n" + "\n".join(textwrap.wrap(license_scan.TEMPLATES[n], 76)) + "\nand much more prose after it\nthat goes on." for n in names]
+    mit = license_scan.TEMPLATES["mit"]
+    inside = f"see notes below. {mit} Contact the authors for more."
+    texts = [*wrapped, inside, f"{inside}\n{mit}\n{inside}", "\n".join([wrapped[2]] * 3), "see notes released under the mit licence by them"]
+    rng = np.random.default_rng(4)
+    pool = [license_scan.TEMPLATES[n].split() for n in ("mit", "apache-2.0", "cc-by-nc-4.0", "all-rights-reserved", "gpl-3.0")]
+    for _ in range(60):  # notices with words left out or put in, wrapped anywhere
+        w = ["prose"] * rng.integers(0, 6)
+        for k in rng.integers(0, len(pool), 2):
+            part = [v for v in pool[k] if rng.random() > 0.06]
+            part.insert(rng.integers(0, len(part) + 1), rng.choice(["new", "", "the"]))
+            w += [*part, *["end", "of", "it"][: rng.integers(0, 4)]]
+        texts.append("".join(v + rng.choice([" ", " ", " ", "\n"]) for v in w))
+
+    def pairs(x):
+        w = words("[a-z0-9]+", x, lower)
+        return [*zip(w, w[1:], strict=False)]
+
+    def brute(text):
+        out = {}
+        lines = [words("[a-z0-9]+", x, lower) for x in text.split("\n")]
+        flat = pairs(text)
+        for name, body in license_scan.TEMPLATES.items():
+            all_, best = pairs(body), 0
+            t, span = set(all_), len(all_) * 3 // 2
+            sets = [set(flat), *(set(zip(x, x[1:], strict=False)) for x in lines)]
+            for a in range(len(lines)):
+                for b in range(a + 1, len(lines) + 1):
+                    w = [v for x in lines[a:b] for v in x]
+                    if len(w) - 1 <= span:
+                        sets.append(set(zip(w, w[1:], strict=False)))
+            for a in range(len(flat)):
+                for b in range(a + 1, min(len(flat), a + span) + 1):
+                    if len(g := set(flat[a:b])) >= len(t):
+                        sets.append(g)
+            best = max(2 * len(g & t) / (len(g) + len(t)) for g in sets)
+            if best >= 0.8 - 1e-12:
+                out[name] = best
+        return out
+
+    got = license_scan.license_scan(docs(spark, texts)).orderBy("doc_id").collect()
+    for r, text in zip(got, texts, strict=True):
+        wanted = brute(text)
+        assert (list(r.licenses), r.best_dice) == (sorted(wanted), pytest.approx(max(wanted.values(), default=0.0))), text
+    assert all(n in r.licenses and r.best_dice == 1 for n, r in zip(names, got, strict=False))
+    assert [(r.n_units, list(r.licenses)) for r in got[3:7]] == [(1, ["mit"]), (3, ["mit"]), (3, ["mit-text"]), (0, [])]
+
+
 def test_decontaminate(spark, lower):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "short one"), (10, "short one"), (3, None), (4, "..."), (None, "quick brown"), (5, "beta gamma delta epsilon zeta eta theta iota kappa lambda")]
