@@ -3,8 +3,8 @@
 A text is its counts of hashed byte trigrams, in lower case, with every run of other than letters as one blank; the counts are scaled to
 unit length. The first level is linear support vector machines for the language families (one against one, decided by votes
 and margins); within the family, one-versus-one linear support vector machines separate its languages. All machines are
-trained by dual coordinate descent on the driver, over a bounded sample of labelled rows: at most PER_LANGUAGE texts of a
-language, those with the smallest hash of the id, for at most LANGUAGES languages (the most frequent). Prediction is a scan.
+trained by dual coordinate descent on the driver, over a sample of labelled rows: every language that they have, and at most
+PER_LANGUAGE texts of each, those with the smallest hash of the id. Prediction is a scan.
 """
 
 from __future__ import annotations
@@ -14,15 +14,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwork.llm import _shared as S
 from driftwork.llm import _text as T
 
-#: Bound of the training sample: texts of a language, and languages.
+#: Bound of the training sample: texts of a language.
 PER_LANGUAGE = 500
-LANGUAGES = 64
 FEATURES = 1 << 14
 
 #: Language families by ISO 639-1 code; a code that is not here is a family of its own.
@@ -112,26 +111,29 @@ class Model:
         z = np.array(self.of)[y] if len(y) else y
         self.family_pairs = list(itertools.combinations(range(len(self.groups)), 2))
         self.lang_pairs = [(p, q) for p, q in itertools.combinations(range(len(self.langs)), 2) if self.of[p] == self.of[q]]
-        sides = [*((z == p, z == q) for p, q in self.family_pairs), *((y == p, y == q) for p, q in self.lang_pairs)]
-        self.weights = np.stack([svm([rows[i] for i in np.flatnonzero(p | q)], np.where(p[p | q], 1.0, -1.0)) for p, q in sides], axis=1) if sides else np.zeros((FEATURES + 1, 0), np.float32)
+        sides = [*((z, p, q) for p, q in self.family_pairs), *((y, p, q) for p, q in self.lang_pairs)]
+        self.weights = np.zeros((FEATURES + 1, len(sides)), np.float32)
+        for k, (of, p, q) in enumerate(sides):
+            p, q = of == p, of == q
+            self.weights[:, k] = svm([rows[i] for i in np.flatnonzero(p | q)], np.where(p[p | q], 1.0, -1.0))
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language number, score) of each text of a block."""
         n = len(at) - 1
         feature, use = trigrams(data, at)
         slot = np.repeat(np.arange(n, dtype=np.int64) * FEATURES, np.diff(at)) + feature
-        margin = np.empty((n, self.weights.shape[1]), np.float64)
-        step = 256
+        lang, score = np.zeros(n, int), np.zeros(n)
+        step, first = 256, len(self.family_pairs)
         for lo in range(0, n, step):
             hi = min(n, lo + step)
             part = slice(at[lo], at[hi])
             x = np.sqrt(np.bincount(slot[part] - lo * FEATURES, use[part], (hi - lo) * FEATURES).astype(np.float32).reshape(hi - lo, FEATURES))
             norm = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-            margin[lo:hi] = (x @ self.weights[:-1]) / norm + self.weights[-1]
-        first = len(self.family_pairs)
-        group, p1 = self._vote(margin[:, :first], self.family_pairs, len(self.groups), None)
-        lang, p2 = self._vote(margin[:, first:], self.lang_pairs, len(self.langs), np.array(self.of)[None] == group[:, None])
-        return lang, p1 * p2
+            margin = ((x @ self.weights[:-1]) / norm + self.weights[-1]).astype(np.float64)
+            group, p1 = self._vote(margin[:, :first], self.family_pairs, len(self.groups), None)
+            lang[lo:hi], p2 = self._vote(margin[:, first:], self.lang_pairs, len(self.langs), np.array(self.of)[None] == group[:, None])
+            score[lo:hi] = p1 * p2
+        return lang, score
 
     @staticmethod
     def _vote(margin, pairs, classes, allowed):
@@ -158,14 +160,11 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     rows = docs.where(learn) if learn is not None else docs
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     # ids first, without texts; partial top-k in each partition, then the few texts
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    ids = []
-    for lang in langs:
-        found = rows.where(F.col("lang") == lang).select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(PER_LANGUAGE).collect()
-        ids += [r.id for r in found]
-    spark = docs.sparkSession
-    wanted = spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
-    some = rows.join(F.broadcast(wanted), "id", "left_semi").where(F.col("lang").isin(langs)).select("id", "lang", "text")
+    top = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    ranked = rows.select("id", "lang", F.row_number().over(top).alias("rank")).where(f"rank <= {PER_LANGUAGE}")
+    ids = sorted({r.id for r in ranked.select("id").collect() if r.id is not None})
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "id string")
+    some = rows.join(F.broadcast(wanted), "id", "left_semi").select("id", "lang", "text")
     got = some.mapInArrow(_features, "id string, lang string, found array<int>, weights array<double>").toPandas()
     got = got.assign(key=[np.asarray(w).tobytes() for w in got.weights]).sort_values(["lang", "id", "key"]).groupby("lang").head(2 * PER_LANGUAGE)
     return Model([(np.asarray(f, np.int64), np.asarray(w)) for f, w in zip(got.found, got.weights, strict=True)], list(got.lang))

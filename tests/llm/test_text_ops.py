@@ -279,6 +279,16 @@ def test_language(spark):
     assert {r.lang_pred for r in none} == {"und"}
 
 
+def test_more_than_64_languages(spark):
+    langs = [f"x{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(70)]
+    rows = [(i, " ".join(f"{lang}{lang[::-1]}" for _ in range(4 + i % 3)), lang) for i, lang in enumerate(langs * 3)]
+    rows += [(1000 + i, t, lang) for i, (_, t, lang) in enumerate(rows[:140])]  # the last ones are the rarest
+    d = spark.createDataFrame([r for r in rows if r[2] < "xci" or r[0] < 210], "doc_id long, text string, lang string")
+    model = language_id.fit(d)
+    assert model.langs == langs
+    assert all(r.lang == r.lang_pred for r in language_id.with_language(d, model).collect())
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     plain = [f"word{k}" for k in range(300)]
