@@ -70,3 +70,14 @@ def test_pipeline(spark):
     assert all(r.text == texts[r.doc_id] for r in cut.collect() if not before[r.doc_id])
     assert tokens.count() == cut.count() and "n_tokens" in tokens.columns
     assert bpe_codec is not None
+
+
+def test_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b = "one two three four five six seven eight", "some other words that nothing else here has at all"
+    rows = [(1, a), (1, a), (2, a), (2, a), (3, b), (3, None), (4, None), (None, a), (None, a), (5, "alone")]
+    d = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each_group(spark, d, SF)
+    assert got.columns == d.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == [(0, a), (0, a), (1, a), (3, b), (4, ""), (5, "alone")]
