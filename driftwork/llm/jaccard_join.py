@@ -192,10 +192,8 @@ def _sketch(size: int, percent: int, shards: int, common: np.ndarray):
             sets = held[doc]
             sig, who = _parts(key[sets], doc[sets], sizes, scheme.of(np.maximum(n, 1)), scheme, common)
             order, new, head = _stars((sig,), ids[who])
-            a, b = ids[who[order[head[~new]]]], ids[who[order[~new]]]
-            if len(a):
-                a, b = np.unique(np.stack([a, b]), axis=1)
-                yield _rows(T.mix(b.astype(np.uint64)) % np.uint64(shards), _PAIR, a, b)
+            b, a = S.contracted(ids[who[order[~new]]], ids[who[order[head[~new]]]])
+            yield _rows(T.mix(b.astype(np.uint64)) % np.uint64(shards), _PAIR, a, b)
             lead = order[new]
             sort = np.argsort(sig[lead] % np.uint64(shards), kind="stable")
             yield from packed(_SIG, sig[lead][sort], ids[who[lead]][sort].view(np.uint64)[None])
@@ -245,7 +243,8 @@ def _common(size: int):
 
 
 def _meet(batches):
-    """A shard's digests and signatures: the smallest document of each meets the others."""
+    """A shard's digests and signatures: the smallest document of each meets the others. What they join leaves as a star forest, at most
+    one row for a document, however many signatures it shares and with however many others."""
     digests, sigs = [], []
     for batch in batches:
         kind = batch.column(1).to_numpy()
@@ -262,12 +261,8 @@ def _meet(batches):
         parts.clear()
         ids = value[-2 if kind == _SAME else -1].view(np.int64)
         order, new, head = _stars((key, value[0], value[2]) if kind == _SAME else (key,), ids)
-        a, b = ids[order[head[~new]]], ids[order[~new]]
-        if len(a):
-            a, b = np.unique(np.stack([a, b]), axis=1)
-            keep = a != b
-            a, b = a[keep], b[keep]
-            yield _rows(a * 0, kind, *((b, a) if kind == _SAME else (a, b)))
+        b, a = S.contracted(ids[order[~new]], ids[order[head[~new]]])
+        yield _rows(a * 0, kind, *((b, a) if kind == _SAME else (a, b)))
 
 
 def _sets(size: int):
