@@ -44,7 +44,7 @@ BIG = 1e6
 class CleanConfig:
     """In-frame cleaning of tracker output."""
 
-    eps: float = 15.0
+    eps: float = 10.0
     objects: int = 10
     extra: int = 2
     dedup: bool = True
@@ -52,3 +52,56 @@ class CleanConfig:
     @property
     def top_k(self) -> int:
         return self.objects + self.extra
+
+
+@dataclass(frozen=True)
+class DetectorConfig:
+    """What a detector is asked for. Half precision holds on a GPU only."""
+
+    confidence: float = 0.15
+    iou: float = 0.6
+    image_size: int = 1280
+    agnostic_nms: bool = False
+    use_gpu: bool = True
+    half_precision: bool = True
+    tracker: str = "bytetrack.yaml"
+
+    def __post_init__(self):
+        if not 0.01 <= self.confidence <= 1 or not 0.01 <= self.iou <= 1:
+            raise ValueError("confidence and iou must be within 0.01..1")
+        if self.image_size < 320:
+            raise ValueError("image_size must be 320 or more")
+
+    def device(self, gpus: int) -> str:
+        """Where a worker that sees so many GPUs runs the model."""
+        return "cuda" if self.use_gpu and gpus > 0 else "cpu"
+
+    def half(self, gpus: int) -> bool:
+        return self.half_precision and self.device(gpus) == "cuda"
+
+
+@dataclass(frozen=True)
+class RunConfig:
+    """Settings of a whole run: what is read and written, and how it is drawn."""
+
+    model_path: str = ""
+    video_path: str = ""
+    raw_path: str = "output/output_tracks.csv"
+    tracks_path: str = "output/output_tracks_reid.csv"
+    interpolated_path: str = "output/output_tracks_reid_interp.csv"
+    use_existing: bool = False
+    overwrite_raw: bool = True
+    interpolate: bool = True
+    trails: bool = False
+    trail_length: int = 30
+
+    def __post_init__(self):
+        if not 1 <= self.trail_length <= 100:
+            raise ValueError("trail_length must be within 1..100")
+
+    def checked(self) -> RunConfig:
+        """Itself; an error where a run could not begin."""
+        for name in ("model_path", "video_path"):
+            if not getattr(self, name):
+                raise ValueError(f"{name} is not set")
+        return self

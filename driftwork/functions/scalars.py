@@ -54,6 +54,6 @@ def percent(done: Column, total: Column) -> Column:
 
 
 def colour_of(number: int) -> tuple[int, int, int]:
-    """A stable (blue, green, red), each 50..255, from the low 32 bits of an id."""
+    """A stable (blue, green, red) from the low 32 bits of an id. The generator, its seed and the range 50..255."""
     rng = random.Random(number & 0xFFFFFFFF)
     return tuple(rng.randint(50, 255) for _ in range(3))

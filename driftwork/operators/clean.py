@@ -37,10 +37,17 @@ def dedup_leaders(points: DataFrame, eps: float) -> DataFrame:
 
     def fold(held, p):
         near = lambda c: scalars.distance32(p["x"] - c["lx"], p["y"] - c["ly"]) <= F.lit(eps).cast("float")
-        at = F.array_position(F.transform(held, near), True)
-        better = lambda c: F.struct(c["lx"].alias("lx"), c["ly"].alias("ly"), *(F.when(p["conf"] > c["conf"], p[k]).otherwise(c[k]).alias(k) for k in ("x", "y", "conf", "track_id")))
         lead = F.struct(p["x"].alias("lx"), p["y"].alias("ly"), p["x"].alias("x"), p["y"].alias("y"), p["conf"].alias("conf"), p["track_id"].alias("track_id"))
-        return F.when(at == 0, F.concat(held, F.array(lead))).otherwise(F.transform(held, lambda c, i: F.when(i == at - 1, better(c)).otherwise(c)))
+
+        def put(at):
+            """The clusters with p in the one at this place; 0: a new one."""
+            old = F.get(held, at - 1)
+            better = F.struct(old["lx"].alias("lx"), old["ly"].alias("ly"), *(p[k].alias(k) for k in ("x", "y", "conf", "track_id")))
+            stays = F.when(p["conf"] > old["conf"], F.concat(F.slice(held, 1, at - 1), F.array(better), F.slice(held, at + 1, F.size(held)))).otherwise(held)
+            return F.when(at == 0, F.concat(held, F.array(lead))).otherwise(stays)
+
+        # an array of one binds the place, so that it is found once for each point
+        return F.get(F.transform(F.array(F.array_position(F.transform(held, near), True).cast("int")), put), 0)
 
     clusters = nested.withColumn("c", F.aggregate("dets", F.array().cast(kind), fold))
     rows = clusters.select("video_id", "frame", F.posexplode("c").alias("ord", "p"))

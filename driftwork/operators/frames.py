@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwork.config import ReidConfig
 from driftwork.functions import scalars
 
 
@@ -33,6 +34,11 @@ def checked_start_frames(detections: DataFrame, objects: int) -> DataFrame:
     return starts.select("video_id", F.coalesce("start_frame", F.raise_error(F.lit(f"no frame with at least {objects} detections")).cast("long")).alias("start_frame"))
 
 
+def frame_totals(frames: DataFrame) -> DataFrame:
+    """Number of frames of each video, whether or not anything was found in them; no frame at all is an error of the run."""
+    return frames.groupBy("video_id").agg(F.count_distinct("frame").alias("frames"))
+
+
 def last_frames(detections: DataFrame) -> DataFrame:
     return detections.groupBy("video_id").agg(F.max("frame").alias("last_frame"))
 
@@ -66,6 +72,18 @@ def candidates(tracks: DataFrame, detections: DataFrame, max_move: float) -> Dat
     return pairs.withColumn("cost", scalars.distance(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where(F.col("cost") <= max_move).select("video_id", "frame", "id", "ord", "cost")
 
 
+def damped_candidates(states: DataFrame, detections: DataFrame, config: ReidConfig = ReidConfig(predictor="damped_velocity")) -> DataFrame:
+    """Pairs of a track's state (video_id, frame, id, x, y, vx, vy, miss) and a detection of that frame which the damped predictor would
+    weigh against each other, with their cost: distance from the damped prediction within a gate that grows with speed, and a price for turning."""
+    steps, speed = scalars.damped_steps(F.col("miss"), config.damping), scalars.distance(F.col("vx"), F.col("vy"))
+    reach = scalars.gate(speed, config.base_gate, config.gate_speed, config.min_gate, config.max_gate)
+    active = states.where(F.col("miss") <= config.max_miss).select("video_id", "frame", "id", F.col("x").alias("lx"), F.col("y").alias("ly"), "vx", "vy", (F.col("x") + F.col("vx") * steps).alias("px"), (F.col("y") + F.col("vy") * steps).alias("py"), reach.alias("reach"))
+    pairs = active.join(detections.select("video_id", "frame", "ord", "x", "y"), ["video_id", "frame"])
+    pairs = pairs.withColumn("off", scalars.distance(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where("off <= reach")
+    turn = scalars.direction_cost(F.col("vx"), F.col("vy"), F.col("x") - F.col("lx"), F.col("y") - F.col("ly"))
+    return pairs.select("video_id", "frame", "id", "ord", (F.col("off") + turn * F.col("reach") * config.direction_weight).alias("cost"))
+
+
 def crowded_pairs(tracks: DataFrame, limit: float = 60.0) -> DataFrame:
     """Pairs of tracks of a frame nearer than limit (an analysis; no tracker uses it)."""
     a = tracks.select("video_id", "frame", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))

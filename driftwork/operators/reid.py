@@ -5,16 +5,15 @@ last_position: the last match. Both only look at frames with detections, with on
 damped with each missed frame, a gate that grows with speed, a price for turning, and retirement after too many misses; every frame
 counts, empty ones too.
 
-The recurrence can't be a window function. State is small (some numbers for each object), a group holds one video, so videos are the
-parallelism; the same step function serves batch and stream.
+The recurrence can't be a window function. State is small (some numbers for each object) and is carried along a video's sorted
+rows, so videos are the parallelism; the same step function serves batch and stream.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,67 +71,118 @@ class Tracker:
         return [(int(i), float(points[j, 0]), float(points[j, 1])) for i, j in zip(ids, at, strict=True)]
 
     def _damped(self, points):
-        c = self.config
-        rows = np.flatnonzero(self.miss <= c.max_miss)
-        ids = at = np.empty(0, int)
-        if len(points) and len(rows):
-            cost = np.full((len(rows), len(points)), BIG, np.float32)
-            for r, i in enumerate(rows):
-                vx, vy = self.velocity[i]
-                speed = math.hypot(vx, vy)
-                steps = (1 - c.damping ** (self.miss[i] + 1)) / (1 - c.damping)
-                gate = max(c.min_gate, min(c.base_gate + c.gate_speed * speed, c.max_gate))
-                for j, (x, y) in enumerate(points):
-                    off = math.hypot(x - (self.last[i, 0] + vx * steps), y - (self.last[i, 1] + vy * steps))
-                    if off > gate:
-                        continue
-                    dx, dy = x - self.last[i, 0], y - self.last[i, 1]
-                    length, turn = math.hypot(dx, dy), 0.0
-                    if speed >= 1 and length >= 1:
-                        turn = 1 - (vx * dx + vy * dy) / (speed * length)
-                    cost[r, j] = off + turn * gate * c.direction_weight
-            ids, at = self._matched(rows, cost)
-        hit = np.zeros(len(self.miss), bool)
-        hit[ids] = True
-        moved = points[at] - self.last[ids] if len(ids) else np.empty((0, 2))
-        self.velocity[ids] = (1 - c.velocity_gain) * self.velocity[ids] + c.velocity_gain * moved
-        if len(ids):
-            self.last[ids] = points[at]
+        c, ids, at = self.config, np.empty(0, int), np.empty(0, int)
+        active = np.flatnonzero(self.miss <= c.max_miss)
+        if len(points) and len(active):
+            ids, at = self._matched(active, self._damped_costs(active, points))
+        moved = points[at] - self.last[ids]
+        self.miss += 1
         self.miss[ids] = 0
-        self.miss[~hit] += 1
-        self.velocity[~hit] *= c.miss_decay
+        decayed = self.velocity * c.miss_decay
+        decayed[ids] = (1 - c.velocity_gain) * self.velocity[ids] + c.velocity_gain * moved
+        self.velocity = decayed
+        self.last[ids] = points[at]
         return [(int(i), float(points[j, 0]), float(points[j, 1])) for i, j in zip(ids, at, strict=True)]
 
+    def _damped_costs(self, active, points):
+        """(tracks, points) costs in single precision, BIG beyond a track's gate."""
+        c, last, v = self.config, self.last[active], self.velocity[active]
+        reached = last + v * ((1 - c.damping ** (self.miss[active] + 1.0)) / (1 - c.damping))[:, None]
+        speed = np.hypot(*v.T)[:, None]
+        gate = np.clip(c.base_gate + c.gate_speed * speed, c.min_gate, c.max_gate)
+        off = np.hypot(*np.moveaxis(points[None] - reached[:, None], 2, 0))
+        way = np.moveaxis(points[None] - last[:, None], 2, 0)
+        length, along = np.hypot(*way), v[:, :1] * way[0] + v[:, 1:] * way[1]
+        turn = np.where((speed < 1) | (length < 1), 0.0, 1 - along / np.maximum(speed * length, 1e-300))
+        return np.where(off <= gate, off + turn * gate * c.direction_weight, BIG).astype(np.float32)
+
+
+class Video:
+    """A video's tracker fed with its frames in order; frames without detections count where they age tracks."""
+
+    def __init__(self, config: ReidConfig):
+        self.tracker = Tracker(config)
+
+    def feed(self, frame: int, points: np.ndarray) -> list[tuple[int, float, float]]:
+        if not np.isfinite(points).all():
+            raise ValueError("coordinates must be finite numbers")
+        t = self.tracker
+        if t.started and t.config.predictor == "damped_velocity":
+            for empty in range(t.frame + 1, frame):
+                t.step(empty, points[:0])
+        return t.step(frame, points)
+
+    def end(self, video: int, strict: bool) -> None:
+        if strict and not self.tracker.started:
+            raise ValueError(f"video {video}: no frame with at least {self.tracker.config.objects} detections")
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
 
 def run_video(config: ReidConfig, video: int, frames: np.ndarray, points: np.ndarray, strict: bool = True) -> pd.DataFrame:
     """Tracks of one video from its detections, sorted by frame and order."""
-    tracker, out = Tracker(config), []
-    limit = np.flatnonzero(np.append(True, frames[1:] != frames[:-1])) if len(frames) else np.empty(0, int)
-    for k, lo in enumerate(limit):
-        hi = limit[k + 1] if k + 1 < len(limit) else len(frames)
-        if tracker.started and config.predictor == "damped_velocity":
-            for empty in range(tracker.frame + 1, int(frames[lo])):
-                tracker.step(empty, points[:0])
-        out += [(video, int(frames[lo]), *row) for row in tracker.step(int(frames[lo]), points[lo:hi])]
-    if strict and len(frames) and not tracker.started:
-        raise ValueError(f"video {video}: no frame with at least {config.objects} detections")
+    out, state = [], Video(config)
+    limit = np.append(_starts(frames), len(frames))
+    for lo, hi in zip(limit, limit[1:], strict=False):
+        out += [(video, int(frames[lo]), *row) for row in state.feed(int(frames[lo]), points[lo:hi])]
+    if len(frames):
+        state.end(video, strict)
     return pd.DataFrame(out, columns=["video_id", "frame", "id", "x", "y"])
 
 
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*out, strict=True) if out else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["video_id", "frame", "id", "x", "y"])
+
+
+def _solve(config: ReidConfig, strict: bool):
+    """Rows (video_id, frame, ord, x, y) sorted by these three: only a frame is held, and a tracker; both are carried on from batch to batch."""
+
+    def run(batches):
+        video, state, frame, held = None, None, None, []
+
+        def flush():
+            return [(video, frame, *row) for row in state.feed(frame, np.concatenate(held))] if held else []
+
+        for batch in batches:
+            videos, numbers = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            points = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4)], axis=1).astype(float)
+            limit, out = np.append(_starts(videos, numbers), len(videos)), []
+            for lo, hi in zip(limit, limit[1:], strict=False):
+                now = int(videos[lo]), int(numbers[lo])
+                if now != (video, frame):
+                    if state is not None:
+                        out += flush()
+                        held = []
+                    if now[0] != video:
+                        if state is not None:
+                            state.end(video, strict)
+                        state = Video(config)
+                    video, frame = now
+                held.append(points[lo:hi])
+            yield _rows(out)
+        if state is not None:
+            yield _rows(flush())
+            state.end(video, strict)
+
+    return run
+
+
 def reid(detections: DataFrame, config: ReidConfig = ReidConfig(), strict: bool = True) -> DataFrame:
     """tracks(video_id, frame, id, x, y) from detections(video_id, frame, ord, x, y).
 
-    A video without a start frame is an error, or has no track if not strict. Coordinates must be finite numbers.
+    A video without a start frame is an error, or has no track if not strict. Coordinates must be finite numbers. A video's rows stream
+    through one task in order; the task holds a frame and the tracker's state, not the video.
     """
-
-    def solve(key, pdf):
-        pdf = pdf.sort_values(["frame", "ord"], kind="stable")
-        points = pdf[["x", "y"]].to_numpy(float)
-        if not np.isfinite(points).all():
-            raise ValueError("coordinates must be finite numbers")
-        return run_video(config, int(key[0]), pdf.frame.to_numpy(np.int64), points, strict)
-
-    return detections.select("video_id", "frame", "ord", "x", "y").groupBy("video_id").applyInPandas(solve, _TRACKS)
+    rows = detections.select(*(F.col(c).cast("long").alias(c) for c in ("video_id", "frame", "ord")), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("video_id is not null")
+    return rows.repartition("video_id").sortWithinPartitions("video_id", "frame", "ord").mapInArrow(_solve(config, strict), _TRACKS)
 
 
 def ordered(tracks: DataFrame) -> DataFrame:

@@ -17,13 +17,19 @@ def gaps(tracks: DataFrame) -> DataFrame:
 
 
 def interpolate(tracks: DataFrame) -> DataFrame:
-    """Tracks without gaps between their first and last points: straight lines, frame by frame; observed points as they are."""
-    rows = gaps(tracks).withColumn("gap", F.coalesce(F.col("next_frame") - F.col("frame"), F.lit(1)))
+    """Tracks without gaps between their first and last points: straight lines, frame by frame; observed points as they are, those that
+    repeat a track's frame too."""
+    rows = gaps(tracks).withColumn("gap", F.greatest(F.coalesce(F.col("next_frame") - F.col("frame"), F.lit(1)), F.lit(1)))
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gap") - 1)))
     on = lambda a, b: F.when(F.col("k") == 0, F.col(a)).otherwise(F.col(a) + (F.col("k") / F.col("gap")) * (F.col(b) - F.col(a)))
     return rows.select("video_id", "id", (F.col("frame") + F.col("k")).alias("frame"), on("x", "next_x").alias("x"), on("y", "next_y").alias("y"))
 
 
+def by_frame(tracks: DataFrame) -> DataFrame:
+    """One row for each frame that has a track, with its tracks (id, x, y) from the smallest id on."""
+    return tracks.groupBy("video_id", "frame").agg(F.array_sort(F.collect_list(F.struct("id", "x", "y"))).alias("tracks"))
+
+
 def trails(tracks: DataFrame, length: int = 30) -> DataFrame:
     """Each point with the last `length` whole-pixel points of its track up to it; gaps do not shorten it."""
     window = _track().rowsBetween(-(max(1, int(length)) - 1), 0)

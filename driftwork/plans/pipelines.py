@@ -20,16 +20,16 @@ class Run:
 def offline(detections: DataFrame, meta: DataFrame, config: ReidConfig = ReidConfig(objects=10)) -> Run:
     """Constant velocity, interpolation, boxed labels; what is drawn is not interpolated."""
     found = reid.reid(detections, config)
-    return Run(found, tracks.interpolate(found), draw.draw_list(found, meta, config.objects))
+    return Run(found, tracks.interpolate(found), draw.draw_list(found, meta))
 
 
 def interactive(detections: DataFrame, meta: DataFrame, config: ReidConfig = ReidConfig(objects=19, predictor="last_position"), trail: int = 30) -> Run:
     """Last position, interpolation, plain labels with trails."""
     found = reid.reid(detections, config)
-    return Run(found, tracks.interpolate(found), draw.draw_list(found, meta, config.objects, style="plain", trail=trail))
+    return Run(found, tracks.interpolate(found), draw.draw_list(found, meta, style="plain", trail=trail))
 
 
 def online(points: DataFrame, meta: DataFrame, config: ReidConfig = ReidConfig(objects=10, predictor="damped_velocity"), cleaning: CleanConfig = CleanConfig()) -> Run:
     """Tracker output is cleaned, then matched anew by place alone; no interpolation."""
     found = reid.reid(clean.clean(points, cleaning), config)
-    return Run(found, None, draw.draw_list(found, meta, config.objects))
+    return Run(found, None, draw.draw_list(found, meta))

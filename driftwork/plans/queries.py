@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import random
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwork.config import ReidConfig
+from driftwork.functions import scalars
 from driftwork.operators import clean, draw, frames, reid, tracks
 from driftwork.plans import fixture
 from driftwork.plans.fixture import SQL, TRACKS_SQL
@@ -254,12 +257,75 @@ def _meta(spark, d):
     return videos.select("video_id", F.lit(30.0).alias("fps"), F.lit(500).alias("frame_w"), F.lit(500).alias("frame_h"), F.lit(720).cast("long").alias("total_frames"))
 
 
-@_query(f"WITH {TRACKS_SQL} SELECT video_id, frame, id, trunc(x)::INT AS cx, trunc(y)::INT AS cy, id::VARCHAR AS label, trunc(trunc(x)::INT - length(id::VARCHAR) * 9 / 2)::INT AS label_x, trunc(y)::INT - 12 AS label_y FROM tr")
+def _marks(tracks: DataFrame, spark: SparkSession, d: str, style: str, trail: int) -> DataFrame:
+    """A draw list with its nested columns as text."""
+    text = lambda c: F.concat_ws(",", *(F.col(c)[k].cast("string") for k in (("b", "g", "r") if c == "color" else ("x1", "y1", "x2", "y2"))))
+    line = F.array_join(F.transform("trail", lambda p: F.concat_ws(":", p["x"].cast("string"), p["y"].cast("string"))), " ")
+    return draw.draw_list(tracks, _meta(spark, d), style, trail).select("video_id", "frame", "id", "cx", "cy", "radius", text("color").alias("color"), "label", "label_x", "label_y", text("box").alias("box"), line.alias("trail"))
+
+
+def _colour_values(n: int) -> str:
+    """Colours of the fixture's ids, from the rule itself: a seeded generator, each part 50..255."""
+    rows = []
+    for i in range(n):
+        rng = random.Random(i)
+        rows.append(f"({i}, '{','.join(str(rng.randint(50, 255)) for _ in range(3))}')")
+    return f"(VALUES {', '.join(rows)}) c(id, color)"
+
+
+#: Anchors by the unrounded place (boxed), by whole pixels within the frame (plain); frames are 500 x 500, a character 9 x 12.
+_BOXED = f"""WITH {TRACKS_SQL}, m AS (SELECT tr.*, color, length(tr.id::VARCHAR) * 9 AS w, trunc(x - length(tr.id::VARCHAR) * 9 / 2.0)::INT AS lx, trunc(y - 12)::INT AS ly FROM tr JOIN {_colour_values(20)} USING (id))
+SELECT video_id, frame, id, trunc(x)::INT AS cx, trunc(y)::INT AS cy, 3::INT AS radius, color, id::VARCHAR AS label, lx AS label_x, ly AS label_y,
+  greatest(0, lx - 4) || ',' || greatest(0, ly - 12 - 4) || ',' || least(499, lx + w + 4) || ',' || least(499, ly + 4) AS box, '' AS trail FROM m"""
+
+_PLAIN = f"""WITH {TRACKS_SQL}, m AS (SELECT tr.*, color, length('ID: ' || tr.id) * 9 AS w, trunc(x)::INT AS cx, trunc(y)::INT AS cy,
+    string_agg(trunc(x)::INT || ':' || trunc(y)::INT, ' ') OVER l AS line, count(*) OVER l AS n FROM tr JOIN {_colour_values(20)} USING (id) WINDOW l AS (PARTITION BY video_id, tr.id ORDER BY frame ROWS 4 PRECEDING))
+SELECT video_id, frame, id, cx, cy, 3::INT AS radius, color, 'ID: ' || id AS label, greatest(0, least(cx + 5, 500 - w - 1))::INT AS label_x, greatest(14, least(cy - 5, 499))::INT AS label_y, '' AS box, CASE WHEN n > 1 THEN line ELSE '' END AS trail FROM m"""
+
+
+@_query(_BOXED)
 def draw_list(spark: SparkSession, d: str) -> DataFrame:
-    return draw.draw_list(_T(spark, d), _meta(spark, d), 20).select("video_id", "frame", "id", "cx", "cy", "label", "label_x", "label_y")
+    return _marks(_T(spark, d), spark, d, "boxed", 0)
+
+
+@_query(_PLAIN)
+def draw_list_plain(spark: SparkSession, d: str) -> DataFrame:
+    return _marks(_T(spark, d), spark, d, "plain", 5)
+
+
+@_query(f"WITH {SQL} SELECT video_id, count(DISTINCT frame) AS frames FROM fx GROUP BY ALL")
+def frame_totals(spark: SparkSession, d: str) -> DataFrame:
+    return frames.frame_totals(_D(spark, d))
+
+
+@_query(f"WITH {TRACKS_SQL} SELECT video_id, frame, string_agg(id || ':' || trunc(x)::INT, ' ' ORDER BY id) AS tracks FROM tr GROUP BY ALL")
+def tracks_by_frame(spark: SparkSession, d: str) -> DataFrame:
+    shown = F.array_join(F.transform("tracks", lambda t: F.concat_ws(":", t["id"].cast("string"), t["x"].cast("int").cast("string"))), " ")
+    return tracks.by_frame(_T(spark, d)).select("video_id", "frame", shown.alias("tracks"))
+
+
+_STATES = "SELECT video_id, frame, id, x, y, coalesce(x - lag(x) OVER w, 0) AS vx, coalesce(y - lag(y) OVER w, 0) AS vy, coalesce(frame - lag(frame) OVER w - 1, 0) AS miss FROM tr WINDOW w AS (PARTITION BY video_id, id ORDER BY frame)"
+
+
+@_query(f"""WITH {TRACKS_SQL}, s AS ({_STATES}), p AS (SELECT *, (1 - pow(0.9::DOUBLE, miss + 1)) / (1 - 0.9::DOUBLE) AS k, sqrt(vx * vx + vy * vy) AS speed FROM s WHERE miss <= 60),
+c AS (SELECT p.video_id, p.frame, p.id, fx.ord, speed, vx, vy, fx.x - p.x AS dx, fx.y - p.y AS dy, sqrt(pow(fx.x - (p.x + vx * k), 2) + pow(fx.y - (p.y + vy * k), 2)) AS dist, greatest(50, least(130 + 2 * speed, 600)) AS reach FROM p JOIN fx USING (video_id, frame)),
+a AS (SELECT *, sqrt(dx * dx + dy * dy) AS way FROM c WHERE dist <= reach)
+SELECT video_id, frame, id, ord, round(dist + 2.0::DOUBLE * reach * CASE WHEN speed < 1 OR way < 1 THEN 0 ELSE 1 - (vx * dx + vy * dy) / (speed * way) END, 5) AS cost FROM a""")
+def damped_candidates(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("video_id", "id").orderBy("frame")
+    moved = lambda c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
+    states = _T(spark, d).select("video_id", "frame", "id", "x", "y", moved("x").alias("vx"), moved("y").alias("vy"), F.coalesce(F.col("frame") - F.lag("frame").over(w) - 1, F.lit(0)).alias("miss"))
+    return frames.damped_candidates(states, _D(spark, d)).withColumn("cost", F.round("cost", 5))
+
+
+@_query(f"WITH {SQL} SELECT video_id, frame, trunc(frame / 720.0::DOUBLE * 100)::INT AS percent, CASE WHEN video_id = 0 THEN 30.0::DOUBLE ELSE video_id * 10.0::DOUBLE END AS fps FROM (SELECT DISTINCT video_id, frame FROM fx)")
+def progress_percent(spark: SparkSession, d: str) -> DataFrame:
+    rows = frames.frame_counts(_D(spark, d))
+    return rows.select("video_id", "frame", scalars.percent(F.col("frame"), F.lit(720)).alias("percent"), scalars.frames_per_second(F.col("video_id") * F.lit(10.0)).alias("fps"))
 
 
-@_query(f"WITH {TRACKS_SQL}, s AS (SELECT video_id, unnest(range(0, max(frame) + 1)) AS frame FROM fx GROUP BY video_id) SELECT s.video_id, s.frame, 'Count: ' || count(tr.id) AS text FROM s LEFT JOIN tr USING (video_id, frame) GROUP BY ALL")
+@_query(f"WITH {TRACKS_SQL}, s AS (SELECT video_id, unnest(range(0, max(frame) + 1)) AS frame FROM fx GROUP BY video_id) SELECT s.video_id, s.frame, 'Count: ' || count(tr.id) AS text, 20::INT AS x, 40::INT AS y, 1.0::DOUBLE AS scale, '0,255,0' AS color FROM s LEFT JOIN tr USING (video_id, frame) GROUP BY ALL")
 def frame_overlay(spark: SparkSession, d: str) -> DataFrame:
     p = _D(spark, d)
-    return draw.overlays(frames.spine(frames.last_frames(p).withColumn("start_frame", F.lit(0).cast("long"))), _T(spark, d))
+    rows = draw.overlays(frames.spine(frames.last_frames(p).withColumn("start_frame", F.lit(0).cast("long"))), _T(spark, d))
+    return rows.withColumn("color", F.concat_ws(",", *(F.col("color")[k].cast("string") for k in "bgr")))

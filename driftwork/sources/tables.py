@@ -39,8 +39,12 @@ def load_detections(spark: SparkSession, path: str, video_id: int = 0) -> DataFr
 
 
 def write_detections(detections: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """frame, orig_id, x, y with a header in every file."""
-    detections.select("frame", F.col("ord").alias("orig_id"), "x", "y").write.mode(mode).option("header", True).csv(path)
+    """frame, orig_id, x, y with a header in every file, by frame and order, since on loading the file's order is the detections' order.
+
+    Each video has a folder of its own, path/video_id=N, which load_detections reads.
+    """
+    rows = detections.select("video_id", "frame", F.col("ord").alias("orig_id"), "x", "y")
+    rows.orderBy("video_id", "frame", "orig_id").write.partitionBy("video_id").mode(mode).option("header", True).csv(path)
 
 
 def write_tracker(points: DataFrame, path: str) -> None:

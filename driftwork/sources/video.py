@@ -1,18 +1,23 @@
 """Videos as Spark data sources over a pluggable decoder, and detection over a pluggable model.
 
-A decoder is named "module:object"; it has probe(path) -> (fps, width, height, frames) and read(path, first, stop) -> images as bytes, in order.
-No decoder and no model come with this package.
+Trackers and video writers are pluggable too. A decoder is named "module:object"; it has probe(path) -> (fps, width, height, frames) and read(path, first, stop) -> images as bytes, in order.
+No decoder, model, tracker or writer comes with this package.
 """
 
 from __future__ import annotations
 
 import importlib
+import json
 from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from driftwork import schema
+from driftwork.config import DetectorConfig
 
 
 def _decoder(name: str):
@@ -33,7 +38,8 @@ class _Frames(DataSourceReader):
 
     def partitions(self):
         total = int(_decoder(self.decoder).probe(self.path)[3] or 0)
-        return [_Range(i, min(i + self.size, total)) for i in range(0, total, self.size)] or [_Range(0, 0)]
+        size = self.size or max(1, total)
+        return [_Range(i, min(i + size, total)) for i in range(0, total, size)] or [_Range(0, 0)]
 
     def read(self, partition):
         if partition.stop > partition.first:
@@ -42,7 +48,7 @@ class _Frames(DataSourceReader):
 
 
 class FrameSource(DataSource):
-    """format("driftwork_frames") with options path, decoder, video_id, frames_per_partition; partitions are ranges of frames."""
+    """format("driftwork_frames") with options path, decoder, video_id, frames_per_partition; partitions are ranges of frames, 0: the whole video."""
 
     @classmethod
     def name(cls):
@@ -78,9 +84,10 @@ class MetaSource(DataSource):
         return _Meta(self.options)
 
 
-def frames(spark: SparkSession, path: str, decoder: str, video_id: int = 0) -> DataFrame:
+def frames(spark: SparkSession, path: str, decoder: str, video_id: int = 0, frames_per_partition: int = 256) -> DataFrame:
+    """frames(video_id, frame, image); frames_per_partition 0 keeps the video in one partition, in order, as trackers and writers want it."""
     spark.dataSource.register(FrameSource)
-    return spark.read.format("driftwork_frames").options(path=path, decoder=decoder, video_id=str(video_id)).load()
+    return spark.read.format("driftwork_frames").options(path=path, decoder=decoder, video_id=str(video_id), frames_per_partition=str(frames_per_partition)).load()
 
 
 def video_meta(spark: SparkSession, path: str, decoder: str, video_id: int = 0) -> DataFrame:
@@ -88,18 +95,86 @@ def video_meta(spark: SparkSession, path: str, decoder: str, video_id: int = 0)
     return spark.read.format("driftwork_video").options(path=path, decoder=decoder, video_id=str(video_id)).load()
 
 
-def detect(images: DataFrame, load: Callable[[], Callable], confidence: float = 0.15, iou: float = 0.6) -> DataFrame:
-    """boxes(video_id, frame, boxes) of frames. load() makes a model once in each worker; it maps a list of images, with confidence and iou, to
-    lists of (x1, y1, x2, y2, conf, track_id or None)."""
-    import pandas as pd
+_NAMES = ("x1", "y1", "x2", "y2", "conf", "track_id")
+_BOXES = "video_id long, frame long, boxes array<struct<x1:float,y1:float,x2:float,y2:float,conf:float,track_id:int>>"
+
+
+def _gpus() -> int:
+    """GPUs that Spark assigned to this task."""
+    context = TaskContext.get()
+    found = context.resources().get("gpu") if context else None
+    return len(found.addresses) if found else 0
+
+
+def _settings(config: DetectorConfig) -> dict:
+    """What a model is called with; the device is the worker's."""
+    return {"confidence": config.confidence, "iou": config.iou, "image_size": config.image_size, "agnostic_nms": config.agnostic_nms, "device": config.device(_gpus()), "half": config.half(_gpus())}
+
+
+def _boxes(found: list | None) -> list[dict]:
+    return [dict(zip(_NAMES, b, strict=True)) for b in found or []]
+
+
+def detect(images: DataFrame, load: Callable[[], Callable], config: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """boxes(video_id, frame, boxes) of frames. load() makes a model once in each worker; it maps a list of images, with the settings of config as
+    keywords (confidence, iou, image_size, agnostic_nms, device, half), to lists of (x1, y1, x2, y2, conf, track_id or None)."""
 
     def run(batches: Iterator) -> Iterator:
-        model = None
+        model, settings = _MODELS.get(load), _settings(config)
         for pdf in batches:
-            model = model or load()
-            found = model(list(pdf.image), confidence=confidence, iou=iou)
-            names = ("x1", "y1", "x2", "y2", "conf", "track_id")
-            yield pd.DataFrame({"video_id": pdf.video_id, "frame": pdf.frame, "boxes": [[dict(zip(names, b, strict=True)) for b in boxes or []] for boxes in found]})
+            model = model or _MODELS.setdefault(load, load())
+            yield pd.DataFrame({"video_id": pdf.video_id, "frame": pdf.frame, "boxes": [_boxes(b) for b in model(list(pdf.image), **settings)]})
 
-    box = ", ".join([*(f"{n}:float" for n in ("x1", "y1", "x2", "y2", "conf")), "track_id:int"])
-    return images.mapInPandas(run, f"video_id long, frame long, boxes array<struct<{box.replace(', ', ',')}>>")
+    return images.mapInPandas(run, _BOXES)
+
+
+#: Models of this worker; a worker that serves several tasks loads each once.
+_MODELS: dict = {}
+
+
+def track(images: DataFrame, start: Callable[[str], Callable], config: DetectorConfig = DetectorConfig(), in_order: bool = False) -> DataFrame:
+    """boxes(video_id, frame, boxes) of frames by a detector that tracks: every frame has a row, empty ones too.
+
+    start(config.tracker) makes a fresh tracker for each video; it is called with one image after the other, in frame order, with the settings
+    as for detect, and keeps its state from frame to frame. in_order: the frames of a video already lie in one partition, in order
+    (frames(..., frames_per_partition=0)), so that no image is shuffled.
+    """
+    rows = images.select("video_id", "frame", "image")
+    rows = rows if in_order else rows.repartition("video_id").sortWithinPartitions("video_id", "frame")
+
+    def run(batches: Iterator) -> Iterator:
+        video, tracker, settings = None, None, _settings(config)
+        for pdf in batches:
+            found = []
+            for v, image in zip(pdf.video_id, pdf.image, strict=True):
+                if tracker is None or v != video:
+                    video, tracker = v, start(config.tracker)
+                found.append(_boxes(tracker(image, **settings)))
+            yield pd.DataFrame({"video_id": pdf.video_id, "frame": pdf.frame, "boxes": found})
+
+    return rows.mapInPandas(run, _BOXES)
+
+
+def write_videos(images: DataFrame, marks: DataFrame, overlays: DataFrame, meta: DataFrame, start: Callable) -> None:
+    """Write each video of images with its marks (a draw list) and overlays, frames in order, whatever was found in them.
+
+    start(video_id, fps, frame_w, frame_h) makes a video's writer; write(image, marks, texts) gets each frame with lists of rows as dicts, close()
+    ends it. A task that fails half-way runs again, so start must begin the file anew.
+    """
+    lists = lambda df, name: df.groupBy("video_id", "frame").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*(c for c in df.columns if c not in ("video_id", "frame")))))).alias(name))
+    drawn = lists(marks, "marks").join(lists(overlays, "texts"), ["video_id", "frame"], "full")
+    rows = images.select("video_id", "frame", "image").join(drawn, ["video_id", "frame"], "left").join(F.broadcast(meta.select("video_id", "fps", "frame_w", "frame_h")), "video_id")  # a row for each video
+    rows = rows.repartition("video_id").sortWithinPartitions("video_id", "frame")
+
+    def run(part: Iterator) -> None:
+        video, writer = None, None
+        for r in part:
+            if writer is None or r.video_id != video:
+                if writer is not None:
+                    writer.close()
+                video, writer = r.video_id, start(r.video_id, r.fps, r.frame_w, r.frame_h)
+            writer.write(bytes(r.image), *(json.loads(x) if x else [] for x in (r.marks, r.texts)))
+        if writer is not None:
+            writer.close()
+
+    rows.foreachPartition(run)

@@ -15,17 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftwork.config import ReidConfig
-from driftwork.operators.reid import _TRACKS, Tracker
+from driftwork.operators.reid import _TRACKS, Video
 
 
 def reid_stream(frames: DataFrame, config: ReidConfig = ReidConfig()) -> DataFrame:
     """tracks from a stream of frames(video_id, frame, dets array<struct<ord, x, y, ...>>), in append mode.
 
-    For damped_velocity every frame must come, since missing ones age the tracks; frames that are skipped within a micro-batch count as empty.
+    Coordinates must be finite numbers, as in the batch. For damped_velocity every frame must come, since missing ones age the tracks; frames that are skipped within a micro-batch count as empty.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker, seen = pickle.loads(state.get[0]) if state.exists else (Tracker(config), None)
+        video, seen = pickle.loads(state.get[0]) if state.exists else (Video(config), None)
         rows = pd.concat(list(batches)).sort_values("frame", kind="stable")
         out = []
         for frame, dets in zip(rows.frame, rows.dets, strict=True):
@@ -33,12 +33,9 @@ def reid_stream(frames: DataFrame, config: ReidConfig = ReidConfig()) -> DataFra
             if seen is not None and frame <= seen:
                 continue
             points = np.array([(d["x"], d["y"]) for d in sorted(dets, key=lambda d: d["ord"])], float).reshape(-1, 2)
-            if config.predictor == "damped_velocity" and tracker.started:
-                for empty in range(tracker.frame + 1, frame):
-                    tracker.step(empty, points[:0])
-            out += [(int(key[0]), frame, *row) for row in tracker.step(frame, points)]
+            out += [(int(key[0]), frame, *row) for row in video.feed(frame, points)]
             seen = frame
-        state.update((pickle.dumps((tracker, seen)),))
+        state.update((pickle.dumps((video, seen)),))
         yield pd.DataFrame(out, columns=["video_id", "frame", "id", "x", "y"]).astype({"video_id": "int64", "frame": "int64", "id": "int32", "x": float, "y": float})
 
     return frames.groupBy("video_id").applyInPandasWithState(step, _TRACKS, "tracker binary", "append", GroupStateTimeout.NoTimeout)

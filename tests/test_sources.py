@@ -1,14 +1,18 @@
 """CSV binding, sinks, frame source, detector, stream equal to batch."""
 
+import time
+
 import fake_video
 import pytest
 
-from driftwork.config import ReidConfig
-from driftwork.operators import clean, frames
+from driftwork.config import DetectorConfig, ReidConfig, RunConfig
+from driftwork.operators import clean, draw, frames
 from driftwork.operators.reid import reid
+from driftwork.operators.tracks import trails
 from driftwork.plans import fixture
-from driftwork.sources import tables, video
+from driftwork.sources import progress, tables, video
 from driftwork.streaming.reid_stream import reid_stream
+from driftwork.streaming.trail_stream import trail_stream
 
 
 def load(spark, tmp_path, text):
@@ -34,9 +38,10 @@ def test_missing_file(spark, tmp_path):
 
 
 def test_round_trip(spark, tmp_path):
-    d = spark.createDataFrame([(0, 2, 0, 1e7, 0.1), (0, 1, 0, 1.0, 2.0)], "video_id long, frame long, ord long, x double, y double")
-    tables.write_detections(d.coalesce(1), str(tmp_path / "out"))
-    assert sorted(map(tuple, tables.load_detections(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, d.collect()))
+    d = spark.createDataFrame([(0, 2, 0, 1e7, 0.1), (0, 1, 0, 1.0, 2.0), (3, 1, 0, 5.0, 5.0), *((0, 7, k, float(-k), 1.0) for k in range(50))], "video_id long, frame long, ord long, x double, y double")
+    tables.write_detections(d.repartition(5), str(tmp_path / "out"))
+    got = [r for v in (0, 3) for r in tables.load_detections(spark, str(tmp_path / "out" / f"video_id={v}"), v).collect()]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, d.collect()))
 
 
 def test_frames_and_detector(spark):
@@ -48,6 +53,73 @@ def test_frames_and_detector(spark):
     assert [(p.frame, p.x, p.y, p.track_id) for p in points][:2] == [(1, 2.0, 2.0, -1), (3, 4.0, 2.0, -1)] and len(points) == 5
 
 
+def test_tracker_keeps_its_state(spark):
+    for images, whole in ((video.frames(spark, "any", "fake_video:decoder", 3, 4), False), (video.frames(spark, "any", "fake_video:decoder", 3, 0), True)):
+        got = {r.frame: [b.track_id for b in r.boxes] for r in video.track(images, fake_video.start, in_order=whole).collect()}
+        assert got == {k: [k + 1] if k % 3 else [] for k in range(10)}
+
+
+def test_device_and_half():
+    assert DetectorConfig().device(1) == "cuda" and DetectorConfig().half(1) and not DetectorConfig().half(0)
+    assert DetectorConfig(use_gpu=False).device(1) == "cpu" and not DetectorConfig(half_precision=False).half(1)
+    for bad in ({"confidence": 0.0}, {"iou": 1.1}, {"image_size": 100}):
+        with pytest.raises(ValueError):
+            DetectorConfig(**bad)
+    with pytest.raises(ValueError):
+        RunConfig(trail_length=0)
+    with pytest.raises(ValueError, match="video_path"):
+        RunConfig(model_path="m").checked()
+
+
+def test_video_is_written_in_order(spark, tmp_path):
+    images = video.frames(spark, "any", "fake_video:decoder", 3, 4)
+    meta = video.video_meta(spark, "any", "fake_video:decoder", 3)
+    tracks = spark.createDataFrame([(3, 2, 0, 1.0, 2.0), (3, 2, 1, 5.0, 6.0)], "video_id long, frame long, id int, x double, y double")
+    folder = str(tmp_path)
+    video.write_videos(images, draw.draw_list(tracks, meta), draw.overlays(images, tracks), meta, lambda *a: fake_video.Writer(folder, *a))
+    lines = (tmp_path / "3").read_text().split("\n")
+    assert lines[0] == "(30.0, 64, 48)" and lines[1] == "0 [] ['Count: 0']" and lines[3] == "2 ['0', '1'] ['Count: 2']" and len(lines) == 11
+
+
+def test_progress(spark, tmp_path):
+    rows, seen = progress.observed(spark.range(5).selectExpr("id as frame"))
+    rows.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 5, "last_frame": 4} and progress.percent_of(1, 0) == 0 and progress.percent_of(2, 3) == 66
+    told = []
+    listener = progress.StreamProgress(lambda *a: told.append(a), 5, "watched")
+    spark.streams.addListener(listener)
+    try:
+        spark.range(5).write.parquet(str(tmp_path / "in"))
+        q = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").queryName("watched").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        for _ in range(100):
+            if told and told[-1][1] == 5:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told[0] == ("watched", 0, 5) and told[-1] == ("watched", 5, 5)
+
+
+def test_trails_of_a_stream(spark, tmp_path):
+    t = fixture.tracks(spark, "/root/testdata/sf0.001").selectExpr("video_id", "frame", "cast(id as int) as id", "x", "y")
+    for part, where in enumerate(("frame < 300", "frame >= 300")):
+        t.where(where).coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = trail_stream(stream, 4).writeStream.format("memory").queryName("trails").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    key = lambda rows: sorted((r.video_id, r.id, r.frame, [tuple(p) for p in r.trail]) for r in rows)
+    assert key(spark.table("trails").collect()) == key(trails(t, 4).collect())
+
+
+def test_stream_rejects_what_is_no_place(spark, tmp_path):
+    kind = "video_id long, frame long, dets array<struct<ord:long,x:double,y:double>>"
+    spark.createDataFrame([(0, 0, [(0, float("nan"), 1.0)])], kind).write.parquet(str(tmp_path / "in"))
+    q = reid_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), ReidConfig(objects=1)).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="finite"):
+        q.awaitTermination(60)
+
+
 @pytest.mark.parametrize("predictor", ["constant_velocity", "damped_velocity"])
 def test_stream_is_batch(spark, tmp_path, predictor):
     d = fixture.detections(spark, "/root/testdata/sf0.001")

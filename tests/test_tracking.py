@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from driftwork.config import ReidConfig
+from driftwork.functions import scalars
 from driftwork.operators import clean, draw, frames, reid, tracks
 from driftwork.operators.assignment import assign
 from driftwork.operators.reid import Tracker, run_video
@@ -118,13 +119,73 @@ def test_interpolation(spark):
     assert trail == {0: 1, 1: 2, 4: 2}
 
 
+def test_repeated_frames_of_a_track(spark):
+    t = spark.createDataFrame([(0, 0, 1, 0.0, 0.0), (0, 0, 1, 2.0, 0.0), (0, 2, 1, 4.0, 4.0)], "video_id long, frame long, id int, x double, y double")
+    got = sorted((r.frame, r.x) for r in tracks.interpolate(t).collect())
+    assert len(got) == 4 and [g for g in got if g[0] != 1] == [(0, 0.0), (0, 2.0), (2, 4.0)]
+
+
 def test_draw_list(spark):
-    t = spark.createDataFrame([(0, 0, 3, 10.7, -3.7)], "video_id long, frame long, id int, x double, y double")
+    t = spark.createDataFrame([(0, 0, 3, 10.7, -3.7), (0, 1, 450, 3.2, 11.5), (0, 2, 0, 99.9, 99.9)], "video_id long, frame long, id int, x double, y double")
     meta = spark.createDataFrame([(0, 30.0, 100, 100, 1)], "video_id long, fps double, frame_w int, frame_h int, total_frames long")
-    r = draw.draw_list(t, meta, 10).first()
-    assert (r.cx, r.cy, r.label, r.label_y) == (10, -3, "3", -15) and r.box.y1 == 0
-    assert draw.draw_list(t, meta, 10, style="plain", trail=5).first().label == "ID: 3"
-    assert draw.overlays(t.select("video_id", (t.frame + 1).alias("frame")), t).first().text == "Count: 0"
+    r, s, u = draw.draw_list(t, meta).orderBy("frame").collect()
+    # anchors are cut towards zero after the offset: 10.7 - 4.5, -3.7 - 12, 11.5 - 12
+    assert (r.cx, r.cy, r.label, r.label_x, r.label_y, r.radius) == (10, -3, "3", 6, -15, 3) and tuple(r.box) == (2, 0, 19, -11)
+    assert (s.label_x, s.label_y, tuple(s.box)) == (-10, 0, (0, 0, 21, 4)) and tuple(s.color) == scalars.colour_of(450)
+    assert tuple(u.color) == (148, 244, 157) and u.box.x2 == 99
+    r, s, u = draw.draw_list(t, meta, style="plain", trail=5).orderBy("frame").collect()
+    assert (r.label, r.label_x, r.label_y, r.box) == ("ID: 3", 15, 14, None) and (u.label_x, u.label_y) == (100 - 45 - 1, 94)
+    o = draw.overlays(t.select("video_id", (t.frame + 1).alias("frame")).where("frame = 3"), t).first()
+    assert (o.text, o.x, o.y, o.scale, tuple(o.color)) == ("Count: 0", 20, 40, 1.0, (0, 255, 0))
+
+
+def exhaustive(cost):
+    """Most matches first, then least cost, by trying every injection of rows into columns (or none)."""
+    best = None
+    n, m = cost.shape
+    for cols in itertools.product(range(-1, m), repeat=n):
+        used = [c for c in cols if c >= 0]
+        if len(set(used)) == len(used) and all(cost[r, c] < 1e6 for r, c in enumerate(cols) if c >= 0):
+            key = (-len(used), sum(cost[r, c] for r, c in enumerate(cols) if c >= 0))
+            if best is None or key < best[0]:
+                best = (key, cols)
+    return best[1]
+
+
+@pytest.mark.parametrize("predictor", ["constant_velocity", "last_position", "damped_velocity"])
+def test_steps_as_by_trying_all(predictor):
+    rng = np.random.default_rng(11)
+    for objects in (3, 4):
+        config = ReidConfig(objects=objects, predictor=predictor, max_move=45)
+        t = Tracker(config)
+        path = [rng.random((objects + 1, 2)) * 100] + [rng.random((rng.integers(0, 6), 2)) * 100 for _ in range(25)]
+        t.step(0, path[0])
+        last, before = t.last.copy(), [None] * objects
+        v, miss = np.zeros((objects, 2)), [0] * objects
+        for k, points in enumerate(path[1:], 1):
+            cost = np.full((objects, len(points)), 1e6)
+            for i in range(objects):
+                for j, p in enumerate(points):
+                    if predictor == "damped_velocity":
+                        scale = sum(0.9**q for q in range(miss[i] + 1))
+                        off, speed = np.linalg.norm(p - last[i] - v[i] * scale), np.linalg.norm(v[i])
+                        gate, way = min(max(130 + 2 * speed, 50), 600), p - last[i]
+                        turn = 0 if speed < 1 or np.linalg.norm(way) < 1 else 1 - v[i] @ way / (speed * np.linalg.norm(way))
+                        cost[i, j] = off + turn * gate * 2 if off <= gate else 1e6
+                    else:
+                        ahead = last[i] - before[i] if predictor == "constant_velocity" and before[i] is not None else 0
+                        off = np.linalg.norm(p - last[i] - ahead)
+                        cost[i, j] = off if off <= 45 else 1e6
+            cols = exhaustive(cost)
+            wanted = [(i, *points[c]) for i, c in enumerate(cols) if c >= 0]
+            assert t.step(k, points) == [(i, float(x), float(y)) for i, x, y in wanted]
+            for i, c in enumerate(cols):
+                if c >= 0:
+                    v[i] = 0.3 * v[i] + 0.7 * (points[c] - last[i])
+                    before[i], last[i], miss[i] = last[i].copy(), points[c], 0
+                else:
+                    v[i] *= 0.95
+                    miss[i] += 1
 
 
 def test_batch_reid_and_checks(spark):
@@ -133,3 +194,20 @@ def test_batch_reid_and_checks(spark):
     with pytest.raises(Exception, match="no frame with at least 2"):
         frames.checked_start_frames(d, 2).collect()
     assert reid.reid(d, ReidConfig(objects=2), strict=False).count() == 0
+    bad = spark.createDataFrame([(0, 0, 0, float("inf"), 0.0)], d.schema)
+    with pytest.raises(Exception, match="finite"):
+        reid.reid(bad, ReidConfig(objects=1)).collect()
+    assert reid.reid(d.limit(0)).count() == 0 and frames.frame_totals(d).first().frames == 3
+
+
+def test_batches_within_a_frame(spark):
+    """A frame and a video may span Arrow batches."""
+    rows = [(v, f, k, float(100 * k + f), float(v)) for v in (0, 1) for f in range(6) for k in range(5)]
+    d = spark.createDataFrame(rows, "video_id long, frame long, ord long, x double, y double")
+    config = ReidConfig(objects=5)
+    wanted = sorted(map(tuple, reid.reid(d, config).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert sorted(map(tuple, reid.reid(d, config).collect())) == wanted and len(wanted) == 60
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
