@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,27 +16,39 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir; a local one where that is unset and the master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[[^,]*(,\d+)?\])?$", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share; the master is {master}")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="driftwork-")
     return _OWN[app]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/driftwork-{tag}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder in the shared one. It is deleted when the driver ends, if drop() has not done so: a result may read it until then."""
+    path = f"{shared_dir(spark)}/driftwork-{tag}-{uuid.uuid4().hex[:12]}"
+    store, at = _hadoop(spark, path)
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return path
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables of the shared folder that nothing needs any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        store, at = _hadoop(spark, path)
+        store.delete(at, True)
 
 
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
@@ -45,6 +58,15 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def seats(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n parts a number that repartition(n, number) deals to a task of its own."""
+    found = spark.range(max(64, 16 * n)).select("id", F.expr(f"pmod(hash(id), {n})").alias("k")).groupBy("k").agg(F.min("id").alias("id")).collect()
+    out = np.arange(n) + max(64, 16 * n)  # a part that none of these falls on shares a task
+    for r in found:
+        out[r.k] = r.id
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

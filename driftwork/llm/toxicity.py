@@ -1,19 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Every count is a continuation count, made for each class: an expression counts by how many different words it follows there, a bigram by
-how many it follows there, and neither more than the number of the class's texts that hold it. Passages that are copied many times
-thus count once, and so do the words of a single odd text. Expressions are words and their stems (the first 7, 6, 5 and 4 bytes).
-
-The two models share one vocabulary and one chain of backoff: bigram, word, ever shorter stems, and below those what both classes have
-in common. Each level's discount is RARE and the count that both classes share; what is discounted is dealt to the classes as the next
-level says. Rare expressions thus are what their stems are, and those that both classes use get nearly the same probability from
-either. A text's evidence is the difference of its two log-likelihoods over its distinct bigrams, divided by their number and, to
-judge long texts as well, by the root of that; a logistic curve over both, fitted on labelled texts that were kept out of the counts,
+Each class (toxic, ordinary) has an interpolated Kneser-Ney model of its own over one vocabulary. Every count is a continuation count: a
+bigram counts by how many different words it follows in the class, a word by how many, and neither more than the number of the
+class's texts that hold it. Passages that are copied many times thus count once, and so do the words of a single odd text.
+
+A word is reached from the root through its stems (the first 4, 5, 6 and 7 bytes): its probability is the product of those of each step, a
+node given the one above; a bigram's is interpolated with its word's. Each class discounts its counts by DISCOUNT and, further, by what both
+classes have in common (SHARED times, and twice its root); what it discounts is dealt out by a distribution that the classes share, the
+modified Kneser-Ney one of all discounted counts, which in turn falls back on an equal share of the known steps and one unknown. So rare expressions are what their stems are, and what both classes use, or neither knows, gets nearly the same
+probability from either. Each of these is a distribution that sums to 1.
+
+A text's evidence is the difference of its log-likelihoods under the two models over its distinct bigrams, beyond what is usual, divided by
+their number and, to judge long texts as well, by the root of that; a logistic curve over both, fitted on labelled texts that were kept out of the counts,
 turns it into a score.
 
 Learning reads a bounded sample: at most PER_CLASS labelled texts of each class, those with the smallest hash of the id; as many ordinary
-as toxic ones are counted, since continuation counts of unequal samples do not compare. Counts are made in Spark; the driver
-gets the most frequent words and bigrams, never texts.
+as toxic ones are counted, since continuation counts of unequal samples do not compare. Everything in it counts: nothing is cut by
+frequency. Counts are made and stored by tasks, as sorted hash arrays that scorers map; the driver gets sums.
 """
 
 from __future__ import annotations
@@ -25,18 +28,20 @@ from pyspark.sql import functions as F
 
 from driftwork.llm import _shared as S
 from driftwork.llm import _text as T
+from driftwork.llm.hash_arrays import Tables, added, discounts, runs
 
 #: Bound of the training sample, a class.
 PER_CLASS = 6000
-#: Discount of the counts: a class's words and bigrams that follow no more different words say nothing.
-RARE = 4
-STEMS = (7, 6, 5, 4)
-#: Words and bigrams at most (the most frequent), so that the model is bounded however long the texts are.
-MOST = 400_000
+STEMS = (4, 5, 6, 7)
+#: What a class discounts: of a word's or stem's count, of a bigram's, and, of either, times what both classes have.
+DISCOUNT, PAIR_DISCOUNT, SHARED = 6, 12, 2
+#: Bytes of sample text that a part of the model is made of.
+PART = 4 << 20
 #: Every so many sample texts are kept for the logistic curve.
 CURVE = 4
 
-BEGIN = 1
+BEGIN, ROOT = 1, 2
+CLASSES = ("toxic", "ordinary")
 
 
 def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -74,113 +79,189 @@ class Block:
         return out
 
 
-def _pairs(batches):
-    """(x, u, w, t, o): the trigrams of a block of the sample that stand first for their bigram in a text, and whether a toxic and an
-    ordinary text has them."""
-    for batch, data, at in T.blocks(batches, size=3 << 20):
-        b = Block(data, at)
-        toxic = _marks(batch)[b.doc]
-        _, at, inverse = np.unique(T.mix(b.x) + pair_key(b.u, b.w), return_index=True, return_inverse=True)
-        if len(at):
+def _trigrams(parts: int, seats: np.ndarray):
+    """Packs the distinct trigrams of a block (each text's first of a bigram), and which classes have them, for the part of their bigram."""
+
+    def run(batches):
+        for batch, data, at in T.blocks(batches, size=3 << 20):
+            b = Block(data, at)
+            if not len(b.w):
+                continue
+            toxic = _marks(batch)[b.doc]
+            _, first, inverse = np.unique(T.mix(b.x) + pair_key(b.u, b.w), return_index=True, return_inverse=True)
             t, n = np.bincount(inverse, toxic), np.bincount(inverse)
-            yield pa.RecordBatch.from_arrays([*(pa.array(k[at].view(np.int64)) for k in (b.x, b.u, b.w)), pa.array((t > 0).astype(np.int64)), pa.array((t < n).astype(np.int64))], names=["x", "u", "w", "t", "o"])
+            part = (pair_key(b.u[first], b.w[first]).view(np.int64) % parts).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            rows = np.zeros(len(order), [("x", "<u8"), ("u", "<u8"), ("w", "<u8"), ("f", "u1")])
+            rows["x"], rows["u"], rows["w"] = (k[first][order] for k in (b.x, b.u, b.w))
+            rows["f"] = (2 * (t > 0) + (t < n))[order]
+            cuts = runs(part[order])
+            yield pa.RecordBatch.from_arrays([pa.array(seats[[part[order[i]] for i, _ in cuts]]), pa.array([rows[i:j].tobytes() for i, j in cuts], pa.binary())], names=["seat", "rows"])
+
+    return run
 
 
 def _marks(batch) -> np.ndarray:
     return batch.column(batch.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _expressions(batches):
-    """(e, p, u, t, o) of a block: expression, the next stem of it, the word before (0: any), and how many toxic and ordinary texts have that."""
+def _nodes(batches):
+    """Of a block, its distinct words with their stems, and each word's and stem's number of toxic and ordinary texts; a stem's row has w = 0."""
     for batch, data, at in T.blocks(batches, size=3 << 20):
         b = Block(data, at)
-        if not len(b.w):
-            continue
-        toxic, stems = _marks(batch), b.stems(np.arange(len(b.w)))
-        chain = [b.w, *(stems[k] for k in STEMS), np.zeros_like(b.w)]
-        # the next stem that the word is long enough for
-        above = [chain[-1]]
-        for c in chain[-2:0:-1]:
-            above.append(np.where(c > 0, c, above[-1]))
-        above = above[::-1]
-        for e, p in zip(chain[:-1], above, strict=True):
-            there = np.flatnonzero(e)
-            for u in (b.u[there], np.zeros(len(there), np.uint64)):
-                _, at, inverse = np.unique(pair_key(u, e[there]), return_index=True, return_inverse=True)
-                held = np.unique(inverse * np.int64(batch.num_rows) + b.doc[there])
-                which, bad = held // batch.num_rows, toxic[held % batch.num_rows]
-                t, n = np.bincount(which, bad), np.bincount(which)
-                yield pa.RecordBatch.from_arrays([*(pa.array(k.view(np.int64)) for k in (e[there][at], p[there][at], u[at])), pa.array(t.astype(np.int64)), pa.array((n - t).astype(np.int64))], names=["e", "p", "u", "t", "o"])
-
-
-def discounted(counts: np.ndarray) -> np.ndarray:
-    """What is taken off counts of (toxic, ordinary): RARE, twice what both have, and twice its root."""
-    common = counts.min(1, keepdims=True)
-    return np.minimum(counts, RARE + 2 * common + 2 * np.sqrt(common))
-
-
-def _ratio(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Log-ratio of the classes for counts, where what is discounted is dealt out by the log-ratio of the level below."""
-    less = discounted(counts)
-    kept, rest = counts - less, less.sum(1) + 1
-    share = 1 / (1 + np.exp(-below))
-    return np.log(kept[:, 0] + rest * share) - np.log(kept[:, 1] + rest * (1 - share))
+        toxic = _marks(batch)
+        words, some, inverse = np.unique(b.w, return_index=True, return_inverse=True)
+        stems = b.stems(some)
+        chain = [words, *stems.values()]
+        for level, nodes in enumerate(chain):
+            distinct, first, which = np.unique(nodes, return_index=True, return_inverse=True)
+            held = np.unique(which.reshape(-1)[inverse.reshape(-1)] * np.int64(batch.num_rows) + b.doc)
+            node, bad = held // batch.num_rows, toxic[held % batch.num_rows]
+            t = np.bincount(node, bad, len(distinct)).astype(np.int64)
+            n = np.bincount(node, minlength=len(distinct))
+            keep = np.flatnonzero(distinct)
+            way = [k[first[keep]].view(np.int64) if not level else np.zeros(len(keep), np.int64) for k in chain]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (distinct[keep].view(np.int64), *way, t[keep], (n - t)[keep]))], names=["key", "w", *(f"s{k}" for k in STEMS), "t", "o"])
+
+
+def kept(n: np.ndarray, discount: int) -> np.ndarray:
+    """What a class keeps of its counts (2, n) after its discount; the rest goes to what the classes share."""
+    common = n.min(0)
+    return np.maximum(n - discount - SHARED * common - np.ceil(2 * np.sqrt(common)).astype(np.int64), 0)
+
+
+#: The same in SQL, of counts t and o.
+_KEPT = {c: f"cast(greatest({c} - {DISCOUNT} - {SHARED} * least(t, o) - ceil(2 * sqrt(least(t, o))), 0) as long)" for c in "to"}
+_LEFT = f"(t + o - {_KEPT['t']} - {_KEPT['o']})"
+
+_WORDS, _CONTEXTS = range(2)
+_COUNTS = "kind byte, key long, " + ", ".join(f"n{i} long" for i in range(4))
+
+
+def _rows(kind: int, keys: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBatch:
+    n = len(keys)
+    counts = [*counts, *[np.zeros(n, np.int64)] * (4 - len(counts))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(keys.view(np.int64)), *(pa.array(np.asarray(c, np.int64)) for c in counts)], names=["kind", "key", *(f"n{i}" for i in range(4))])
+
+
+def _merge(tables: Tables):
+    """Adds up a part's bigrams and writes them; passes on what they say of words and of contexts."""
+
+    def run(batches):
+        kind = [("x", "<u8"), ("u", "<u8"), ("w", "<u8"), ("f", "u1")]
+        held: dict[int, list] = {}
+        for batch in batches:
+            for seat, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.setdefault(seat, []).append(np.frombuffer(raw.as_buffer(), kind))
+        for seat in sorted(held):
+            rows = np.concatenate(held.pop(seat))
+            _, at, t, o = added(T.mix(rows["x"]) + pair_key(rows["u"], rows["w"]), rows["f"] >> 1, rows["f"] & 1)
+            u, w = rows["u"][at], rows["w"][at]
+            keys, at, t, o = added(pair_key(u, w), (t > 0).astype(np.int64), (o > 0).astype(np.int64))
+            u, w = u[at], w[at]
+            tables.put("pairs", int(keys[0].view(np.int64) % tables.shards), keys, [t, o], low=1)
+            k, _, wt, wo = added(w, (t > 0).astype(np.int64), (o > 0).astype(np.int64))
+            yield _rows(_WORDS, k, [wt, wo])
+            k, _, *sums = added(u, t, o, *kept(np.stack([t, o]), PAIR_DISCOUNT))
+            yield _rows(_CONTEXTS, k, sums)
+
+    return run
+
+
+def _write(tables: Tables, table: str, columns: int):
+    """Writes the rows (key, counts) of a task's shards."""
+
+    def run(batches):
+        held = [np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns + 1)]) for batch in batches]
+        rows = np.concatenate([np.empty((columns + 1, 0), np.int64), *held], axis=1)
+        shard = rows[0] % tables.shards
+        rows = rows[:, np.lexsort((rows[0].view(np.uint64), shard))]
+        done = runs(rows[0] % tables.shards)
+        for i, j in done:
+            tables.put(table, int(rows[0, i] % tables.shards), rows[0, i:j].view(np.uint64), list(rows[1:, i:j]))
+        yield pa.RecordBatch.from_arrays([pa.array([len(done)])], names=["n"])
+
+    return run
+
+
+class Signed(Tables):
+    """Tables whose shards Spark can tell too: pmod(key, shards)."""
+
+    def shard(self, keys: np.ndarray) -> np.ndarray:
+        return keys.view(np.int64) % self.shards
+
+
+def _stored(rows: DataFrame, tables: Tables, table: str, columns: list[str]) -> None:
+    dealt = rows.select("key", *columns).repartition(tables.shards, F.expr(f"pmod(key, {tables.shards})"))
+    dealt.mapInArrow(_write(tables, table, len(columns)), "n long").agg(F.sum("n")).collect()
 
 
 class Model:
-    """Log-likelihood ratios of expressions and of bigrams, by their hashes."""
-
-    def __init__(self, nodes: np.ndarray, parents: np.ndarray, counts: np.ndarray, ends: np.ndarray, pair_counts: np.ndarray):
-        """nodes sorted, with the next stem of each and counts (n, 2: toxic, ordinary); ends (m, 2) of bigrams with theirs."""
-        self.nodes, self.ratio = nodes, np.zeros(len(nodes))
-        if len(nodes):
-            up = np.minimum(np.searchsorted(nodes, parents), len(nodes) - 1)
-            up = np.where(nodes[up] == parents, up, -1)
-            for _ in range(len(STEMS) + 1):  # the shortest stems are right first
-                self.ratio = _ratio(counts.astype(float), np.where(up >= 0, self.ratio[up], 0.0))
-        self.pairs = pair_key(ends[:, 0], ends[:, 1])
-        order = np.argsort(self.pairs)
-        self.pairs = self.pairs[order]
-        self.pair_ratio = _ratio(pair_counts.astype(float), self.of(ends[:, 1]))[order]
-        self.curve = np.zeros(3)
-
-    def _at(self, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Positions in a sorted table, -1 where a key is not there."""
-        if not len(table):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return np.where(table[at] == keys, at, -1)
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        at = self._at(self.nodes, keys)
-        return np.where(at >= 0, self.ratio[at] if len(self.ratio) else 0.0, 0.0)
+    """Two models in tables of one folder, and the curve from evidence to a score.
+
+    pairs: bigrams' counts (toxic, ordinary). contexts: of a word as context, the sums of its bigrams' counts and of what is kept of them. nodes: of a
+    word or stem its counts; of the nodes below it the sums of their counts, of what is kept of them, and how many have 1, 2 and more that is not.
+    """
+
+    def __init__(self, tables: Tables | None, sizes: list[int] = [0] * 4):
+        """sizes: how many nodes have 1, 2, 3 and 4 discounted counts."""
+        self.tables, self.d = tables, discounts(*sizes)
+        #: The usual evidence of a bigram in ordinary texts (the classes keep unequal shares), and the curve's weights.
+        self.usual, self.curve = 0.0, np.zeros(3)
+
+    def shared(self, n: np.ndarray, total: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The probability of a step that the classes share: modified Kneser-Ney by what they discount."""
+        below = 1 / (sizes.sum(0) + 1)
+        rest = self.d[1] * sizes[0] + self.d[2] * sizes[1] + self.d[3] * sizes[2]
+        return np.where(total > 0, (np.maximum(n - self.d[np.minimum(n, 3)], 0) + rest * below) / np.maximum(total, 1), below)
+
+    @staticmethod
+    def own(own_kept: np.ndarray, total: np.ndarray, sum_kept: np.ndarray, below) -> list[np.ndarray]:
+        """Each class's probability: what it keeps of its counts, and the rest of its total as below says."""
+        return [np.where(t > 0, (k + (t - s) * b) / np.maximum(t, 1), b) for k, t, s, b in zip(own_kept, total, sum_kept, below, strict=True)]
+
+    def steps(self, chain: list[np.ndarray]) -> list[np.ndarray]:
+        """The classes' probabilities of words, each given by its nodes from the root down (0: none at that level)."""
+        q = [np.ones(len(chain[0])) for _ in CLASSES]
+        keys, at = np.unique(np.concatenate([np.array([ROOT], np.uint64), *chain]), return_inverse=True)
+        found, at = np.stack(self.tables.find("nodes", keys, 9)), at.reshape(-1)
+        parent, known, place = np.full(len(chain[0]), at[0]), np.ones(len(chain[0]), bool), 1
+        for c in chain:
+            node, here = at[place : place + len(c)], known & (c > 0)
+            place += len(c)
+            n, above = found[:2, node], found[:, parent]
+            mine = kept(n, DISCOUNT)
+            both = self.shared((n - mine).sum(0), (above[2:4] - above[4:6]).sum(0), above[6:9])
+            q = [np.where(here, x * p, x) for x, p in zip(q, self.own(mine, above[2:4], above[4:6], [both, both]), strict=True)]
+            known &= (c == 0) | (n.sum(0) > 0)
+            parent = np.where(here, node, parent)
+        return q
+
+    def probabilities(self, u: np.ndarray, w: np.ndarray, q: list[np.ndarray]) -> list[np.ndarray]:
+        """The classes' probabilities of words after others; q: those of the words alone."""
+        keys, at = np.unique(pair_key(u, w), return_inverse=True)
+        n = np.stack(self.tables.find("pairs", keys, 2))[:, at.reshape(-1)]
+        keys, at = np.unique(u, return_inverse=True)
+        above = np.stack(self.tables.find("contexts", keys, 4))[:, at.reshape(-1)]
+        return self.own(kept(n, PAIR_DISCOUNT), above[:2], above[2:4], q)
 
     def evidence(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of log-likelihood ratios, number) of each text's distinct bigrams."""
+        """(difference of the log-likelihoods, number) of each text's distinct bigrams."""
         b = Block(data, at)
-        if not len(b.w):
+        if not len(b.w) or self.tables is None:
             return np.zeros(len(at) - 1), b.n
         words, some, inverse = np.unique(b.w, return_index=True, return_inverse=True)
-        where = self._at(self.nodes, words)
-        value = np.where(where >= 0, self.ratio[where] if len(self.ratio) else 0.0, np.nan)
-        stems = b.stems(some)
-        for k in STEMS:
-            todo = np.flatnonzero(np.isnan(value))
-            where = self._at(self.nodes, stems[k][todo])
-            value[todo[where >= 0]] = self.ratio[where[where >= 0]]
-        value = np.nan_to_num(value)[inverse]
-        if len(self.pairs):
-            where = self._at(self.pairs, pair_key(b.u, b.w))
-            value[where >= 0] = self.pair_ratio[where[where >= 0]]
-        return T.by_text(value, b.first), b.n
+        q = self.steps([*b.stems(some).values(), words])
+        toxic, ordinary = self.probabilities(b.u, b.w, [x[inverse] for x in q])
+        return T.by_text(np.log(toxic) - np.log(ordinary), b.first), b.n
 
     def score(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_features(total, n) @ self.curve, -40, 40)))
-
+        return 1 / (1 + np.exp(-np.clip(self.features(total, n) @ self.curve, -40, 40)))
 
-def _features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
-    n = np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), 20 * total / n, total / np.sqrt(n)], axis=1)
+    def features(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
+        n = np.maximum(n, 1)
+        more = total - self.usual * n
+        return np.stack([np.ones(len(n)), 20 * more / n, more / np.sqrt(n)], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -196,10 +277,40 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return b
 
 
+def _count(texts: DataFrame, spark) -> Model:
+    """The two models of texts(text, toxic)."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART))
+    tables = Signed(S.scratch(spark, "classes"), parts)
+    merged = texts.mapInArrow(_trigrams(parts, S.seats(spark, parts)), "seat long, rows binary").repartition(parts, "seat").mapInArrow(_merge(tables), _COUNTS)
+    found, path = S.written(merged, "toxic")
+    added_up = lambda kind, n: found.where(f"kind = {kind}").groupBy("key").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(n)))
+    _stored(added_up(_CONTEXTS, 4), tables, "contexts", [f"n{i}" for i in range(4)])
+    levels = ["w", *(f"s{k}" for k in STEMS)]
+    nodes = texts.mapInArrow(_nodes, ", ".join(["key long", *(f"{k} long" for k in levels), "t long", "o long"]))
+    held, held_path = S.written(nodes.groupBy("key").agg(*(F.max(k).alias(k) for k in levels), F.sum("t").alias("dt"), F.sum("o").alias("do")), "toxic")
+    # each step of a word's way: from the root through its stems to itself
+    way = F.concat(F.array(F.lit(ROOT).cast("long")), F.filter(F.array(*levels[1:]), lambda x: x != 0), F.array("w"))
+    steps = added_up(_WORDS, 2).join(held.where("w <> 0").drop("key"), F.col("key") == F.col("w")).withColumn("way", way)
+    steps = steps.select(F.explode(F.arrays_zip(F.slice("way", 1, F.size("way") - 1).alias("up"), F.slice("way", 2, F.size("way") - 1).alias("key"))).alias("e"), "n0", "n1")
+    steps = steps.groupBy("e.up", "e.key").agg(F.sum("n0").alias("t"), F.sum("n1").alias("o")).join(held.select("key", "dt", "do"), "key")
+    edges, edge_path = S.written(steps.select("up", "key", F.least("t", "dt").alias("t"), F.least("o", "do").alias("o")), "steps")
+    sums = {"t": "t", "o": "o", "kt": _KEPT["t"], "ko": _KEPT["o"]} | {f"b{k}": f"cast({_LEFT} {test} as long)" for k, test in ((1, "= 1"), (2, "= 2"), (3, "> 2"))}
+    down = edges.groupBy(F.col("up").alias("key")).agg(*(F.sum(F.expr(e)).alias(f"d{c}") for c, e in sums.items()))
+    columns = ["t", "o", *(f"d{c}" for c in sums)]
+    both = edges.select("key", "t", "o").unionByName(down, allowMissingColumns=True).groupBy("key").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns))
+    _stored(both, tables, "nodes", columns)
+    sizes = edges.agg(*(F.coalesce(F.sum(F.expr(f"cast({_LEFT} = {k} as long)")), F.lit(0)) for k in (1, 2, 3, 4))).first()
+    S.drop(spark, path, held_path, edge_path)
+    return Model(tables, list(sizes))
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from the texts that labels mark 0 or 1, of ids for which learn (over `doc_id`) holds; a doc marked twice has the larger mark.
+    """Learn from the texts that labels mark 0 or 1, of ids for which learn (over `doc_id`) holds.
 
-    Without any mark of a class the model knows nothing and every score is the share of toxic marks, or 0.
+    A doc marked twice has the larger mark; of rows that repeat a doc_id the largest text counts, once; null ids and marks are left out, a null
+    text is empty. Other columns are not read. Without any mark of a class the model knows nothing and every score is near 0, or near 1
+    where all marks are 1.
     """
     spark = docs.sparkSession
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -210,22 +321,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     counted[0] = [i for k, i in enumerate(ids[0]) if k % CURVE][: len(counted[1])]
     there = set(counted[0]) | set(counted[1])
     sample = spark.createDataFrame([(i, c, i not in there) for c in (0, 1) for i in ids[c]], "doc_id long, toxic int, curve boolean")  # 2 * PER_CLASS rows at most
-    texts, texts_path = S.written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic", "curve"), "sample")
-    both, held = (F.sum("t").alias("t"), F.sum("o").alias("o")), (F.sum("t").alias("dt"), F.sum("o").alias("do"))
-    least = [F.least(c, "d" + c).alias(c) for c in "to"]
-    read = texts.where("not curve").select("text", "toxic")
-    found, found_path = S.written(read.mapInArrow(_expressions, "e long, p long, u long, t long, o long").groupBy("e", "p", "u").agg(*both), "toxic")
-    # an expression follows so many different words, and is in so many texts
-    follows = found.where("u <> 0").groupBy("e").agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in "to"))
-    most = F.desc(F.col("t") + F.col("o"))
-    nodes = follows.join(found.where("u = 0").groupBy("e").agg(F.max("p").alias("p"), *held), "e").select("e", "p", *least).where(f"greatest(t, o) > {RARE}").orderBy(most, "e").limit(MOST).toPandas()
-    seen = read.mapInArrow(_pairs, "x long, u long, w long, t long, o long").groupBy("x", "u", "w").agg(F.max("t").alias("t"), F.max("o").alias("o")).groupBy("u", "w").agg(*both)
-    two = seen.join(found.select("u", F.col("e").alias("w"), F.col("t").alias("dt"), F.col("o").alias("do")), ["u", "w"]).where(f"u <> {BEGIN}").select("u", "w", *least).where(f"greatest(t, o) > {RARE}").orderBy(most, "u", "w").limit(MOST).toPandas()
-    S.drop(spark, found_path)
-    hashes = nodes.e.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    model = Model(hashes[order], nodes.p.to_numpy(np.int64).view(np.uint64)[order], nodes[["t", "o"]].to_numpy(np.int64)[order], two[["u", "w"]].to_numpy(np.int64).view(np.uint64).reshape(-1, 2), two[["t", "o"]].to_numpy(np.int64))
-    seen = with_evidence(texts.where("curve"), model, ["toxic"]).toPandas()
+    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts, texts_path = S.written(some.groupBy("doc_id", "toxic", "curve").agg(F.max("text").alias("text")).select("text", "toxic", "curve"), "sample")
+    model = _count(texts.where("not curve").select("text", "toxic"), spark) if ids[0] and ids[1] else Model(None)
+    seen = with_evidence(texts.where("curve"), model, ["toxic"]).toPandas()  # a quarter of the sample, numbers only
     S.drop(spark, texts_path)
     y = seen.toxic.to_numpy(float)
     if not len(y) or y.min() == y.max():
@@ -233,7 +332,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
         return model
     # the sample's classes count as much as among all marks
     weight = np.where(y > 0, number[1] / y.sum(), number[0] / (len(y) - y.sum()))
-    model.curve = logistic(_features(seen.total.to_numpy(), seen.n_tokens.to_numpy()), y, weight * len(y) / weight.sum())
+    total, n = seen.total.to_numpy(), seen.n_tokens.to_numpy()
+    model.usual = float(np.median((total / np.maximum(n, 1))[y == 0]))
+    model.curve = logistic(model.features(total, n), y, weight * len(y) / weight.sum())
     return model
 
 

@@ -311,6 +311,81 @@ def test_toxicity(spark):
     assert {r.toxic for r in toxicity.toxicity(d, blank).collect()} == {0}
 
 
+def test_toxic_distributions(spark, lower):
+    """Each class's steps, and its bigrams after a word, sum to 1 with what is unknown, and equal direct computation."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}{c}" for a in ("mild", "vile", "so") for b in ("ness", "", "ly") for c in ("x", "yz", "")]
+    texts = [(" ".join(rng.choice(vocabulary[9 * (i % 2) : 18 + 9 * (i % 2)], 40)) + f" {rng.choice(vocabulary)} vile so" * (i % 2), int(i % 2)) for i in range(80)]
+    m = toxicity._count(spark.createDataFrame(texts, "text string, toxic int"), spark)
+    seen = [set(), set()]  # (x, u, w) of the first time that a text has (u, w)
+    held = [defaultdict(set), defaultdict(set)]  # texts that hold a word or stem
+    for i, (t, y) in enumerate(texts):
+        w = ["<s>", "<s>", *words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t, lower)]
+        had = set()
+        for x, u, v in zip(w, w[1:], w[2:]):
+            if (u, v) not in had:
+                had.add((u, v))
+                seen[1 - y].add((x, u, v))
+            for k in (4, 5, 6, 7, 99):
+                if k == 99 or len(v) >= k:
+                    held[1 - y][v[:k], k].add(i)
+    pairs = [Counter((u, v) for _, u, v in s) for s in seen]
+    types = [Counter(v for _, v in p) for p in pairs]
+    ways = {v: [("", 0), *((v[:k], k) for k in (4, 5, 6, 7) if len(v) >= k), (v, 99)] for v in {*types[0], *types[1]}}
+    edges = [Counter(), Counter()]
+    for c in (0, 1):
+        for v, n in types[c].items():
+            for e in zip(ways[v], ways[v][1:]):
+                edges[c][e] += n
+    every = sorted({*edges[0], *edges[1]})
+    n = {e: [min(edges[c][e], len(held[c][e[1]])) for c in (0, 1)] for e in every}
+
+    def kept(a, b, d):
+        return max(a - d - 2 * min(a, b) - math.ceil(2 * math.sqrt(min(a, b))), 0)
+
+    kept_of = {e: [kept(*x, toxicity.DISCOUNT), kept(*x[::-1], toxicity.DISCOUNT)] for e, x in n.items()}
+    left = {e: sum(n[e]) - sum(kept_of[e]) for e in every}
+    d = lm_scoring.discounts(*(sum(x == k for x in left.values()) for k in (1, 2, 3, 4)))
+
+    def step(c, e):
+        below = [f for f in every if f[0] == e[0]]
+        b = sum(left[f] for f in below)
+        share = (max(left.get(e, 0) - d[min(left.get(e, 0), 3)], 0) + sum(d[min(left[f], 3)] for f in below) / (len(below) + 1)) / b
+        total = sum(n[f][c] for f in below)
+        return (kept_of.get(e, (0, 0))[c] + (total - sum(kept_of[f][c] for f in below)) * share) / total if total else share
+
+    some = sorted(ways)
+    data = " ".join(some).encode()
+    b = toxicity.Block(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    names = [data[i:j].decode() for i, j in zip(b.begin, b.end)]
+    q = m.steps([*b.stems(np.arange(len(b.w))).values(), b.w])
+    for c in (0, 1):
+        assert all(math.isclose(x, math.prod(step(c, e) for e in zip(ways[v], ways[v][1:])), rel_tol=1e-9) for v, x in zip(names, q[c]))
+        for up in {e[0] for e in every}:
+            assert math.isclose(sum(step(c, e) for e in every if e[0] == up) + step(c, (up, ("?", -1))), 1)
+    u = next(u for (u, _), k in pairs[0].items() if k > toxicity.PAIR_DISCOUNT + 1)
+    p = m.probabilities(np.full(len(b.w), b.w[names.index(u)]), b.w, q)
+    assert any(not math.isclose(x, y) for x, y in zip(p[0], q[0]))
+    for c in (0, 1):
+        total = sum(k for (a, _), k in pairs[c].items() if a == u)
+        mine = {v: kept(pairs[c][u, v], pairs[1 - c][u, v], toxicity.PAIR_DISCOUNT) for v in names}
+        assert all(math.isclose(x, (mine[v] + (total - sum(mine.values())) * y) / total if total else y, rel_tol=1e-9) for v, x, y in zip(names, p[c], q[c]))
+
+
+def test_rare_expressions_lean_on_their_stems(spark):
+    """A word that only one text has counts through its stem."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join([*rng.choice([f"plain{k}" for k in range(40)], 30), *([f"vilest{i}", f"vilest{i}b"] if i % 2 else [f"kinder{i}"])])) for i in range(160)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    m = toxicity.fit(d, spark.createDataFrame([(i, i % 2) for i, _ in rows] * 2, "doc_id long, toxic int"))
+    new = docs(spark, ["plain1 plain2 vilestnew plain3", "plain1 plain2 kindernew plain3"])
+    a, b = (r.toxic_score for r in toxicity.toxicity(new, m).orderBy("doc_id").collect())
+    assert a > 0.5 > b
+    again = toxicity.fit(d.unionByName(d), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert [r.toxic_score for r in toxicity.toxicity(new, again).orderBy("doc_id").collect()] == [a, b]
+    assert toxicity.toxicity(docs(spark).limit(0), m).count() == 0
+
+
 def test_digest_of_ids(spark):
     public = pytest.importorskip("public_tokenizers")
     r = bpe_codec.digests(docs(spark, ["ab"]), public.path("word_bpe_49k.json"), ["doc_id"]).first()
