@@ -136,7 +136,9 @@ class Tables:
 
 def runs(x: np.ndarray) -> list[tuple[int, int]]:
     """(first, stop) of the runs of equal values."""
-    start = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+    if not len(x):
+        return []
+    start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
     return list(zip(start.tolist(), np.append(start[1:], len(x)).tolist(), strict=True))
 
 
