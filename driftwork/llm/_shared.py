@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
 
@@ -75,11 +76,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_text(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, str]:
-    """The columns keep with the text, and the text's name there: a text that is kept anyway crosses to Python once."""
-    if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string":
-        return docs.select(*keep), text_col
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")), "__text"
+class Carried:
+    """Columns of a table on their way through a Python scan under private names, so that names can't clash, and the text, which crosses once.
+
+    rows: the columns as __0, __1, ... with the text; text: its name there. A column that has the name of a result is replaced by it.
+    """
+
+    def __init__(self, docs: DataFrame, keep: list[str] | None, text_col: str, results: str):
+        taken = {r.split()[0].lower() for r in results.split(", ")}
+        wanted = range(len(docs.columns)) if keep is None else [docs.columns.index(k) for k in keep]
+        wanted = [i for i in wanted if docs.columns[i].lower() not in taken]
+        at = docs.columns.index(text_col)
+        named = docs.toDF(*(f"__{i}" for i in range(len(docs.columns))))
+        self.text = f"__{at}" if at in wanted and docs.schema[at].dataType.simpleString() == "string" else "__text"
+        self.kept, self.results = [f"__{i}" for i in wanted], results
+        self.names = [*(docs.columns[i] for i in wanted), *(r.split()[0] for r in results.split(", "))]
+        self.rows = named.select(*self.kept, *([] if self.text in self.kept else [F.col(f"__{at}").cast("string").alias("__text")]))
+
+    def scan(self, run) -> DataFrame:
+        """The rows that run makes of Arrow batches: the kept columns, in order, and the results."""
+        made = StructType([*self.rows.select(*self.kept).schema, *StructType.fromDDL(self.results)])
+        return self.rows.mapInArrow(run, made).toDF(*self.names)
+
+    def batch(self, batch: pa.RecordBatch, results: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(self.kept))), *results], names=[*self.kept, *self.names[len(self.kept) :]])
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "rows"}
 
 
 def local_path(url: str) -> str | None:

@@ -21,9 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from driftwork.llm import _shared as S
+from driftwork.llm import _text as T
 
 #: Words that a worker keeps, and characters of text prepared together.
 CACHE_WORDS, BLOCK_CHARS = 600_000, 3_000_000
+#: Bytes of whole texts whose results make one Arrow batch.
+BLOCK_BYTES = 1 << 20
 
 #: Texts of these characters only take the short way: no compositions, no numbers beyond 0-9, no unusual blanks.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-±´-¸º»¿-ɏ]*")
@@ -322,7 +325,8 @@ def encoded(docs: DataFrame, path: str, keep: list[str] | None = None, text_col:
     """The columns keep of docs (default: all) with bpe_ids (array of int) and bpe_text (its decoding), in one scan.
 
     Null and empty texts, and texts of blanks, have no ids. Strings of the file's special tokens in a text are those tokens, as in the library.
-    Repeated rows give a row each; columns of docs named bpe_ids or bpe_text must not be kept.
+    Repeated rows give a row each; columns of docs named bpe_ids or bpe_text are replaced; an empty table gives no row. Texts are taken whole,
+    a block of BLOCK_BYTES at a time; one longer text makes a block of its own.
     """
     return _scan(docs, path, keep, text_col, "bpe_ids array<int>, bpe_text string", lambda ids, text: (np.frombuffer(ids, "<i4"), text.decode()))
 
@@ -334,18 +338,14 @@ def digests(docs: DataFrame, path: str, keep: list[str], text_col: str = "text")
 
 def _scan(docs, path, keep, text_col, more, what):
     shared = docs.sparkSession.sparkContext.broadcast(Codec(path))
-    kept = docs.columns if keep is None else keep
-    fields = [x.split() for x in more.split(", ")]
+    rows = S.Carried(docs, keep, text_col, more)
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    kinds = [kinds[x.split()[1]] for x in more.split(", ")]
 
     def run(batches):
         worker = Worker(shared.value)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                found = [what(*x) for x in worker.run([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])]
-                columns = [pa.array([x[k] for x in found], kinds[f[1]]) for k, f in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), *columns], names=[*kept, *(f[0] for f in fields)])
-
-    rows, text = S.with_text(docs, kept, text_col)
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), more]))
+        for batch, _, _ in T.blocks(batches, rows.text, BLOCK_BYTES):
+            found = [what(*x) for x in worker.run([t or "" for t in batch.column(batch.schema.get_field_index(rows.text)).to_pylist()])]
+            yield rows.batch(batch, [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)])
+
+    return rows.scan(run)

@@ -176,13 +176,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with the removal spans cut from their texts (again while the cut text still holds a window); all columns stay."""
+    """docs with the removal spans cut from their texts (again while the cut text still holds a window); all columns and rows stay.
+
+    Null and empty texts stay as they are, and so does every text where the benchmark is empty; items without words or with a null id are
+    ignored; repeated rows are cut alike. Columns may have any names, equal ones too.
+    """
     files = query_blocks(benchmark, window, item_col, item_text)
     place = docs.columns.index(text_col)
+    named = docs.toDF(*(f"__{i}" for i in range(len(docs.columns))))
 
     def run(batches):
         find = Searcher(files)
-        for batch, data, at in T.blocks(batches, text_col, SHARD_BYTES):
+        for batch, data, at in T.blocks(batches, f"__{place}", SHARD_BYTES):
             left, texts, rows = None, None, np.arange(batch.num_rows)
             while True:
                 words, start, stop, span_at, hits, _ = find.scan(data, at)
@@ -200,4 +205,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text
                 data, at = T.raw(pa.array(left, pa.large_binary()))
             yield batch if texts is None else batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return named.mapInArrow(run, named.schema).toDF(*docs.columns)

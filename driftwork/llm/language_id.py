@@ -156,37 +156,38 @@ class Model:
 
 
 def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Machines from the sample of rows where learn holds and text and language are not null."""
+    """Machines from the sample of rows where learn holds and id, text and language are not null.
+
+    Of rows that share an id the one with the largest language and text counts, once; other columns are not read; no rows, no language.
+    """
     rows = docs.where(learn) if learn is not None else docs
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     # ids first, without texts; partial top-k in each partition, then the few texts
     top = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ranked = rows.select("id", "lang", F.row_number().over(top).alias("rank")).where(f"rank <= {PER_LANGUAGE}")
     ids = sorted({r.id for r in ranked.select("id").collect() if r.id is not None})
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "id string")
-    some = rows.join(F.broadcast(wanted), "id", "left_semi").select("id", "lang", "text")
-    got = some.mapInArrow(_features, "id string, lang string, found array<int>, weights array<double>").toPandas()
-    got = got.assign(key=[np.asarray(w).tobytes() for w in got.weights]).sort_values(["lang", "id", "key"]).groupby("lang").head(2 * PER_LANGUAGE)
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "id string")  # PER_LANGUAGE ids of a language at most
+    # of rows that share an id the largest counts
+    some = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.max(F.struct("lang", "text")).alias("r")).select("id", "r.lang", "r.text")
+    got = some.mapInArrow(_features, "id string, lang string, found array<int>, weights array<double>").toPandas().sort_values(["lang", "id"])
     return Model([(np.asarray(f, np.int64), np.asarray(w)) for f, w in zip(got.found, got.weights, strict=True)], list(got.lang))
 
 
-_SCHEMA = "lang_pred string, score double"
-
-
 def with_language(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (default: all) with lang_pred and score, in one scan.
 
     lang_pred is one of the learned languages; `und` with score 0 where the text is null or has no letter, or where nothing was
-    learned. score is the product of the levels' mean logistic margins (0 to 1). Equal texts get equal results.
+    learned. score is the product of the levels' mean logistic margins (0 to 1). Ties of votes and margins go to the first code. Equal texts get
+    equal results; repeated rows give a row each; columns of docs named lang_pred or score are replaced; an empty table gives no row. A text is
+    read whole, however long.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.columns if keep is None else keep
-    rows, text = S.with_text(docs, kept, text_col)
+    rows = S.Carried(docs, keep, text_col, "lang_pred string, score double")
 
     def run(batches):
         m = shared.value
         names = np.array([*m.langs, "und"], object)
-        for batch, data, at in T.blocks(batches, text):
+        for batch, data, at in T.blocks(batches, rows.text):
             x = data | 32
             plain = (x >= 97) & (x <= 122)
             letter = T.by_text(plain.astype(np.int64), at) > 0
@@ -194,6 +195,6 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", keep: l
                 letter[i] = bool(_LETTER.search(data[at[i] : at[i + 1]].tobytes().decode()))
             lang, score = m.predict(data, at) if m.langs else (np.zeros(batch.num_rows, int), np.zeros(batch.num_rows))
             known = letter & bool(m.langs)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(names[np.where(known, lang, len(m.langs))], pa.string()), pa.array(np.where(known, score, 0.0))], names=[*kept, "lang_pred", "score"])
+            yield rows.batch(batch, [pa.array(names[np.where(known, lang, len(m.langs))], pa.string()), pa.array(np.where(known, score, 0.0))])
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema), _SCHEMA]))
+    return rows.scan(run)

@@ -81,7 +81,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftwork.llm.language_id import fit, with_language
 
     docs = S.table(spark, sf_dir, "documents")
-    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     rows = with_language(docs, fit(docs, ~held), keep=["doc_id"])
     return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 

@@ -7,8 +7,9 @@ After the blocks: the sparse index (first key, offset, bytes, entries and ids be
 footer of fixed size with their places, the counts and a mark. A lookup asks the filter, finds the block by binary search, and
 reads that block only.
 
-Documents are dealt by ranges of their ids, so shards follow each other; each is written under another name and renamed, so a
-task that runs twice leaves one whole file.
+Documents are dealt by ranges of their ids, and a task closes a shard and begins the next whenever it has SHARD_BYTES, so that it holds no
+more than one; shards follow each other by part and number. Each is written under another name and renamed, so a task that runs
+twice leaves one whole file.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from driftwork.llm import _shared as S
 from driftwork.llm import _text as T
 
 BLOCK_BYTES = 64 << 10
+#: Bytes of a shard's data from which the next one begins.
+SHARD_BYTES = 64 << 20
 #: Bits of the Bloom filter for each key, and its hash functions.
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Pieces of text that a worker keeps with their ids (about 25 bytes each), and pieces joined to one text for the library.
@@ -257,32 +261,41 @@ class Encoder:
 
 
 def write_shards(docs: DataFrame, folder: str, path: str, end: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode whole texts, append the end id to each document, and write shards; returns (file, first, last, n_docs, n_ids) by shard.
+    """Encode whole texts, append the end id to each document, and write shards; returns (file, part, number, first, last, n_docs, n_ids) by shard.
 
-    Rows with a null id have no key and are left out; a null text is empty; equal ids keep a row each. Other columns are not read.
+    Rows with a null id have no key and are left out; a null text is empty; equal ids keep a row each, by text, and may reach into the next
+    shard. Other columns are not read; an empty table gives no shard.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
 
     def run(batches):
         out = encoder = None
+        part, number = TaskContext.get().partitionId(), 0
+
+        def close():
+            name = f"{folder}/shard-{part:06}-{number:06}.tok"
+            S.put_file(name, out.finish())
+            return pa.RecordBatch.from_pylist([{"file": name, "part": part, "number": number, "first": out.keys[0], "last": out.keys[-1], "n_docs": len(out.keys), "n_ids": out.ids}])
+
         for batch, _, _ in T.blocks(batches, size=ENCODE_BYTES):
             encoder = encoder or Encoder(path)
-            out = out or Writer(encoder.width)
             for d, v in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()], end), strict=True):
+                out = out or Writer(encoder.width)
                 out.add(d, v)
+                if out.offset + out.size >= SHARD_BYTES:
+                    yield close()
+                    out, number = None, number + 1
         if out:
-            name = f"{folder}/shard-{key_of(out.keys[0]).hex()}-{key_of(out.keys[-1]).hex()}.tok"
-            S.put_file(name, out.finish())
-            yield pa.RecordBatch.from_pylist([{"file": name, "first": out.keys[0], "last": out.keys[-1], "n_docs": len(out.keys), "n_ids": out.ids}])
+            yield close()
 
     dealt = rows.repartitionByRange(S.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.mapInArrow(run, "file string, first long, last long, n_docs long, n_ids long")
+    return dealt.mapInArrow(run, "file string, part long, number long, first long, last long, n_docs long, n_ids long")
 
 
 def read_shards(spark: SparkSession, shards: list, with_ids: bool = False) -> DataFrame:
     """Rows of the files, given as rows of write_shards(): doc_id, start (ids of all documents before), n_tokens, ids_crc32, and the ids if wanted."""
-    shards = sorted(shards, key=lambda r: (r.first, r.last, r.file))
+    shards = sorted(shards, key=lambda r: (r.part, r.number))
     starts = np.concatenate([[0], np.cumsum([r.n_ids for r in shards])]).tolist()
     files = spark.createDataFrame([(r.file, s) for r, s in zip(shards, starts, strict=False)], "file string, base long")
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids

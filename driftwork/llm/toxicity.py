@@ -338,29 +338,36 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     return model
 
 
-def with_evidence(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns keep with total (log-likelihood ratio), n_tokens and score, in one scan."""
+def with_evidence(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """The columns keep of docs (default: all) with total (log-likelihood ratio), n_tokens (distinct bigrams) and score, in one scan.
+
+    A null text is empty and has no evidence; columns of docs named like a result are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows, text = S.with_text(docs, keep, text_col)
+    rows = S.Carried(docs, keep, text_col, "total double, n_tokens long, score double")
 
     def run(batches):
         m = shared.value
-        for batch, data, at in T.blocks(batches, text):
+        for batch, data, at in T.blocks(batches, rows.text):
             total, n = m.evidence(data, at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(total), pa.array(n.astype(np.int64)), pa.array(m.score(total, n))], names=[*keep, "total", "n_tokens", "score"])
+            yield rows.batch(batch, [pa.array(total), pa.array(n.astype(np.int64)), pa.array(m.score(total, n))])
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "total double", "n_tokens long", "score double"]))
+    return rows.scan(run)
 
 
 def toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns keep of docs (default: all) with toxic_score (0 to 1) and toxic (1 from 0.5 on).
+    """The columns keep of docs (default: all) with toxic_score (0 to 1) and toxic (1 from 0.5 on), in one scan.
 
-    Null and empty texts have no evidence and get the curve's value there. Equal texts get equal scores; repeated rows give
-    a row each; columns of docs named total, n_tokens or score do not clash.
+    Null and empty texts have no evidence and get the curve's value there. Equal texts get equal scores; repeated rows give a row each; columns of
+    docs named toxic_score or toxic are replaced, others may have any name. An empty table gives no row.
     """
-    keep = docs.columns if keep is None else keep
-    place = [f"__{k}" for k in range(len(keep))]
-    rows, text = S.with_text(docs, keep, text_col)
-    rows = rows.toDF(*place, *rows.columns[len(place) :])
-    found = with_evidence(rows, model, place, place[keep.index(text)] if text in keep else text)
-    return found.select(*(F.col(p).alias(c) for c, p in zip(keep, place, strict=True)), F.col("score").alias("toxic_score"), (F.col("score") >= 0.5).cast("int").alias("toxic"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = S.Carried(docs, keep, text_col, "toxic_score double, toxic int")
+
+    def run(batches):
+        m = shared.value
+        for batch, data, at in T.blocks(batches, rows.text):
+            score = m.score(*m.evidence(data, at))
+            yield rows.batch(batch, [pa.array(score), pa.array((score >= 0.5).astype(np.int32))])
+
+    return rows.scan(run)

@@ -386,6 +386,68 @@ def test_rare_expressions_lean_on_their_stems(spark):
     assert toxicity.toxicity(docs(spark).limit(0), m).count() == 0
 
 
+def test_names_that_clash(spark):
+    """Columns named like results are replaced, others come through, whatever they are called."""
+    public = pytest.importorskip("public_tokenizers")
+    d = spark.createDataFrame([(1, "the first", 5, "a", "b", 7, 8, 9, 10, "p", 11, 12)], "doc_id long, text string, score int, lang_pred string, Toxic string, total int, n_tokens int, __before int, __0 int, bpe_text string, __text int, toxic_score int")
+    model = language_id.fit(d.selectExpr("doc_id", "text", "'en' lang"))
+    got = language_id.with_language(d, model)
+    assert got.columns == [*(c for c in d.columns if c not in ("score", "lang_pred")), "lang_pred", "score"]
+    r = got.first()
+    assert (r["lang_pred"], r["Toxic"], r["total"], r["__before"], r["__0"], r["__text"]) == ("en", "b", 7, 9, 10, 11)
+    r = toxicity.toxicity(d, toxicity.Model(None)).first()
+    assert r.asDict().keys() == {*d.columns, "toxic"} - {"Toxic"} and (r["score"], r["total"], r["n_tokens"], r["toxic"]) == (5, 7, 8, 1)
+    r = bpe_codec.encoded(d, public.path("word_bpe_49k.json")).first()
+    assert (r["bpe_text"], r["n_tokens"], r["__text"]) == ("the first", 8, 11)
+    r = decontaminate.decontaminated(d, spark.createDataFrame([(1, "first")], "item_id long, text string")).first()
+    assert (r["text"], r["__before"], r["__0"]) == ("the ", 9, 10)
+    twice = d.select("doc_id", "text", "total", "total")
+    assert decontaminate.decontaminated(twice, spark.createDataFrame([], "item_id long, text string")).columns == twice.columns
+    assert language_id.with_language(twice, model).count() == 1
+
+
+def test_empty_tables_and_repeats(spark):
+    public = pytest.importorskip("public_tokenizers")
+    none, twice = docs(spark).limit(0), docs(spark).unionByName(docs(spark))
+    assert license_scan.license_scan(none).count() == 0 and license_scan.license_scan(twice).count() == 2 * len(TEXTS)
+    model = language_id.fit(none)
+    assert language_id.with_language(none, model).count() == 0 and model.langs == []
+    assert language_id.fit(twice).langs == ["en"] and len(language_id.with_language(twice, language_id.fit(twice)).distinct().collect()) == len(TEXTS)
+    marks = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.toxicity(none, toxicity.fit(none, marks)).count() == 0
+    assert {r.toxic for r in toxicity.toxicity(twice, toxicity.fit(twice, marks)).collect()} == {0}
+    assert decontaminate.decontaminated(none, spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+    rows = bpe_codec.encoded(twice, public.path("word_bpe_49k.json"), ["doc_id"]).collect()
+    assert len(rows) == 2 * len(TEXTS) and len({(r.doc_id, tuple(r.bpe_ids)) for r in rows}) == len(TEXTS)
+    twice_scored = lm_scoring.scored(twice, lm_scoring.train(twice)).collect()
+    assert len(twice_scored) == 2 * len(TEXTS) and len({(r.doc_id, r.score) for r in twice_scored}) == len(TEXTS)
+
+
+def test_long_texts_in_blocks(spark, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    d = spark.createDataFrame([(i, f"text number {i} " * (20000 if i == 3 else 2)) for i in range(7)], "doc_id long, text string")
+    path = public.path("word_bpe_49k.json")
+    whole = sorted(map(tuple, bpe_codec.digests(d, path, ["doc_id"]).collect()))
+    monkeypatch.setattr(bpe_codec, "BLOCK_BYTES", 64)
+    assert sorted(map(tuple, bpe_codec.digests(d, path, ["doc_id"]).collect())) == whole
+
+
+def test_shards_roll_over(spark, tmp_path, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    d = spark.createDataFrame([(i // 3, f"text {i} " * 40) for i in range(60)], "doc_id long, text string")
+    read = lambda name: sorted(map(tuple, token_shards.read_shards(spark, token_shards.write_shards(d, f"file://{tmp_path}/{name}", path).collect()).collect()))
+    whole = read("a")
+    monkeypatch.setattr(token_shards, "SHARD_BYTES", 700)
+    assert read("b") == whole and len(list((tmp_path / "b").iterdir())) > 3 * len(list((tmp_path / "a").iterdir()))
+
+
+def test_chat_of_many_turns(spark):
+    turns = [(1, k, "user", f"turn {k}") for k in range(3000)] + [(2, k, "user", f"turn {k}") for k in range(2999)]
+    got = chat_format.chat_format(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.conv_id, r.n_turns) for r in got] == [(1, 3000)]
+
+
 def test_digest_of_ids(spark):
     public = pytest.importorskip("public_tokenizers")
     r = bpe_codec.digests(docs(spark, ["ab"]), public.path("word_bpe_49k.json"), ["doc_id"]).first()

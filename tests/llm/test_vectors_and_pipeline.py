@@ -81,3 +81,62 @@ def test_one_row_of_each_group(spark):
     got = corpus_pipeline.one_of_each_group(spark, d, SF)
     assert got.columns == d.columns
     assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == [(0, a), (0, a), (1, a), (3, b), (4, ""), (5, "alone")]
+
+
+def test_stages_on_odd_tables(spark):
+    """Clashing names, extra columns of any type, nulls and empty tables, through every stage."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = base.selectExpr("*", "-7L as `__before`", "1 as score", "'x' as lang_pred", "2 as toxic", "3L as component_id", "map('a', doc_id) as count", "4 as c0", "'t' as `__text`", "5 as total", "6 as n_tokens", "array(1) as row")
+    blank = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "s", 0), (-2, "\n \n", None, None, None)], base.schema)
+    odd = odd.unionByName(blank, allowMissingColumns=True)
+    plain = base.unionByName(blank)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got, _ = S.written(stage(spark, odd, SF), f"test-{name}")
+        want, _ = S.written(stage(spark, plain, SF), f"test-{name}")
+        assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+        if k < 4:
+            assert got.columns == odd.columns
+            assert got.where("doc_id >= 0 and (`__before` <> -7 or score <> 1 or lang_pred <> 'x' or toxic <> 2 or c0 <> 4 or `__text` <> 't' or total <> 5 or n_tokens <> 6 or count['a'] <> doc_id)").count() == 0
+        assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark):
+    import pytest
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "yarn", "x"
+
+            class getConf:  # noqa: N801
+                get = staticmethod(lambda key: None)
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        S.shared_dir(Cluster)
+    for master in ("local", "local[4]", "local[*]", "local[2,3]"):
+        Cluster.sparkContext.master = master
+        assert S.shared_dir(Cluster).startswith("file:/")
+    Cluster.sparkContext.master = "local-cluster[3,2,1024]"
+    Cluster.sparkContext.applicationId = "y"
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        S.shared_dir(Cluster)
+
+
+def test_seats(spark):
+    n = 7
+    seats = S.seats(spark, n)
+    d = spark.createDataFrame([(int(s),) for s in seats], "seat long").repartition(n, "seat").selectExpr("seat", "spark_partition_id() p").collect()
+    assert len({r.p for r in d}) == n
+
+
+def test_folders_of_another_store(spark, tmp_path, monkeypatch):
+    """Where the shared folder is not mounted, files go through Arrow's file systems."""
+    monkeypatch.setattr(S, "local_path", lambda url: None)
+    url = f"file://{tmp_path}/deep/x"
+    S.put_file(url, [b"ab", b"cd"])
+    S.put_file(url, b"abcde")
+    assert bytes(S.mapped(url)) == b"abcde" and [p.name for p in (tmp_path / "deep").iterdir()] == ["x"]
