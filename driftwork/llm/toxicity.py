@@ -159,7 +159,10 @@ def _merge(tables: Tables):
             u, w = rows["u"][at], rows["w"][at]
             keys, at, t, o = added(pair_key(u, w), (t > 0).astype(np.int64), (o > 0).astype(np.int64))
             u, w = u[at], w[at]
-            tables.put("pairs", int(keys[0].view(np.int64) % tables.shards), keys, [t, o], low=1)
+            # where a class keeps nothing of a bigram it is as unseen
+            used = kept(np.stack([t, o]), PAIR_DISCOUNT).any(0)
+            if used.any():
+                tables.put("pairs", int(keys[0].view(np.int64) % tables.shards), keys[used], [t[used], o[used]])
             k, _, wt, wo = added(w, (t > 0).astype(np.int64), (o > 0).astype(np.int64))
             yield _rows(_WORDS, k, [wt, wo])
             k, _, *sums = added(u, t, o, *kept(np.stack([t, o]), PAIR_DISCOUNT))
@@ -199,7 +202,8 @@ def _stored(rows: DataFrame, tables: Tables, table: str, columns: list[str]) ->
 class Model:
     """Two models in tables of one folder, and the curve from evidence to a score.
 
-    pairs: bigrams' counts (toxic, ordinary). contexts: of a word as context, the sums of its bigrams' counts and of what is kept of them. nodes: of a
+    pairs: bigrams' counts (toxic, ordinary), of those of which something is kept. contexts: of a word as context, the sums of its bigrams' counts and
+    of what is kept of them, where that is anything; other contexts' probabilities are those of their words, by the formula too. nodes: of a
     word or stem its counts; of the nodes below it the sums of their counts, of what is kept of them, and how many have 1, 2 and more that is not.
     """
 
@@ -239,11 +243,16 @@ class Model:
 
     def probabilities(self, u: np.ndarray, w: np.ndarray, q: list[np.ndarray]) -> list[np.ndarray]:
         """The classes' probabilities of words after others; q: those of the words alone."""
-        keys, at = np.unique(pair_key(u, w), return_inverse=True)
-        n = np.stack(self.tables.find("pairs", keys, 2))[:, at.reshape(-1)]
         keys, at = np.unique(u, return_inverse=True)
-        above = np.stack(self.tables.find("contexts", keys, 4))[:, at.reshape(-1)]
-        return self.own(kept(n, PAIR_DISCOUNT), above[:2], above[2:4], q)
+        above = np.stack(self.tables.find("contexts", keys, 4))
+        some = np.flatnonzero(above.any(0)[at])
+        if not len(some):
+            return q
+        above, out = above[:, at[some]], [x.copy() for x in q]
+        n = np.stack(self.tables.find("pairs", pair_key(u[some], w[some]), 2))
+        for x, p in zip(out, self.own(kept(n, PAIR_DISCOUNT), above[:2], above[2:4], [x[some] for x in q]), strict=True):
+            x[some] = p
+        return out
 
     def evidence(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(difference of the log-likelihoods, number) of each text's distinct bigrams."""
@@ -285,7 +294,7 @@ def _count(texts: DataFrame, spark) -> Model:
     merged = texts.mapInArrow(_trigrams(parts, S.seats(spark, parts)), "seat long, rows binary").repartition(parts, "seat").mapInArrow(_merge(tables), _COUNTS)
     found, path = S.written(merged, "toxic")
     added_up = lambda kind, n: found.where(f"kind = {kind}").groupBy("key").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(n)))
-    _stored(added_up(_CONTEXTS, 4), tables, "contexts", [f"n{i}" for i in range(4)])
+    _stored(added_up(_CONTEXTS, 4).where("n2 + n3 > 0"), tables, "contexts", [f"n{i}" for i in range(4)])
     levels = ["w", *(f"s{k}" for k in STEMS)]
     nodes = texts.mapInArrow(_nodes, ", ".join(["key long", *(f"{k} long" for k in levels), "t long", "o long"]))
     held, held_path = S.written(nodes.groupBy("key").agg(*(F.max(k).alias(k) for k in levels), F.sum("t").alias("dt"), F.sum("o").alias("do")), "toxic")

@@ -5,8 +5,12 @@ rotation spreads each vector's length evenly) and cut into blocks of dimensions.
 distance is at most the budget's proportional share, so a range join of every block under its share finds all pairs. Each block's
 join deals vectors to grid cells over the block's first dimensions, of side twice the block's radius: a vector is at home in one cell and a guest
 in the later ones that its ball reaches, so every pair meets in one cell. Those at home in a cell are joined with each other and with the
-guests, tile by tile, by matrix products over the block's dimensions only;
-pairs within the share are verified with the whole original vectors in double precision. A pair counts in the first block that finds it.
+guests, tile by tile, by matrix products over the block's dimensions only; pairs within the share are verified with the whole original
+vectors in double precision. A pair counts in the first block that finds it.
+
+How many dimensions the grid has is told by a bounded sample (it moves work, never results): what cells save in comparisons against what
+they cost in copies. Without a grid, which is where vectors spread alike in all directions, the blocks share one cell: each vector is sent once for
+all of them, and a pair that any block finds is verified once.
 
 Equal vectors are one class with its number, so copies are never paired. Links are counted, not listed: each task adds up the links of
 its vectors and keeps a star forest of its components. Cells with many vectors are dealt to pairs of slots.
@@ -21,15 +25,18 @@ from pyspark.sql import functions as F
 
 from driftwork.llm import _shared as S
 
-#: Blocks of dimensions, and dimensions of a block's grid.
+#: Blocks of dimensions, and dimensions of a block's grid at most.
 BLOCKS, GRID = 4, 3
 #: Vectors of a cell (guests too) that one task joins at once, and rows of a product.
-SLOT, TILE = 16384, 512
+SLOT, TILE = 8192, 512
+#: Vectors of the sample, and how many comparisons of a block take as long as a copy of a vector.
+SAMPLE, COPY = 2000, 10_000
 #: Candidate pairs verified at once.
 PAIRS = 50_000
 
 
 def rotation(n: int) -> np.ndarray:
+    """A fixed random rotation."""
     return np.linalg.qr(np.random.default_rng(64).standard_normal((n, n)))[0]
 
 
@@ -38,12 +45,67 @@ def limits(n: int) -> list[tuple[int, int]]:
     return [(n * i // k, n * (i + 1) // k) for i in range(k)]
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two (which is exact), so that no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _deal(threshold: float):
-    """A row for each (block, cell) that a vector is at home in or reaches."""
+def _places(y: np.ndarray, k: int, threshold: float, grid: int):
+    """(vectors, cells, whether they are at home there) of block k, for the home and each way to reach further cells."""
+    n = y.shape[1]
+    lo, hi = limits(n)[k]
+    radius, g = np.sqrt(2 * (1 - threshold) * (hi - lo) / n) + 1e-6, min(grid, hi - lo)
+    side = 2 * radius
+    at = y[:, lo : lo + g] / side
+    home = np.floor(at).astype(np.int64)
+    # the lower or the upper neighbour in each dimension, where the ball reaches it
+    near = np.where(at - home < 0.5, -1, 1)
+    reach = np.abs(at - home - (near > 0)) * side <= radius
+    for mask in range(1 << g):
+        step = np.array([(mask >> d) & 1 for d in range(g)])
+        # the home, and later cells only: the first dimension that differs goes up
+        later = np.ones(len(y), bool) if not mask else near[:, step.argmax()] > 0
+        use = np.flatnonzero((reach | (step == 0)).all(1) & later)
+        cell = home[use] + near[use] * step
+        key = np.full(len(use), n * 64 + k, np.int64)
+        for d in range(g):
+            key = key * 100_003 + cell[:, d] + 50_000
+        yield use, key, mask == 0
+
+
+def work(y: np.ndarray, threshold: float, grid: int) -> tuple[float, float]:
+    """(comparisons of a block for each pair of vectors, copies of each vector) of a grid of so many dimensions."""
+    blocks = len(limits(y.shape[1]))
+    if not grid:
+        return blocks, 1.0
+    compared = copies = 0.0
+    for k in range(blocks):
+        home, guest = {}, {}
+        for _, key, own in _places(y, k, threshold, grid):
+            copies += len(key)
+            for cell, c in zip(*np.unique(key, return_counts=True), strict=True):
+                (home if own else guest)[cell] = (home if own else guest).get(cell, 0) + int(c)
+        compared += sum(c * (c - 1) / 2 + c * guest.get(cell, 0) for cell, c in home.items())
+    return compared / max(1, len(y) * (len(y) - 1) / 2), copies / len(y)
+
+
+def plan(sample: list[np.ndarray], threshold: float, number: int) -> dict[int, int]:
+    """For each number of dimensions in the sample, the grid's dimensions that take the least work for so many vectors."""
+    found = {}
+    for n in {len(v) for v in sample}:
+        y = _unit(np.stack([v for v in sample if len(v) == n]).astype(float)) @ rotation(n)
+        costs = [c * number + m * COPY for c, m in (work(y, threshold, g) for g in range(GRID + 1))]
+        found[n] = int(np.argmin(costs))
+    return found
+
+
+def _deal(threshold: float, grids: dict[int, int]):
+    """A row for each (block, cell) that a vector is at home in or reaches; one for all blocks without a grid."""
 
     def run(batches):
         for batch in batches:
@@ -54,53 +116,44 @@ def _deal(threshold: float):
             for n in np.unique(size):  # vectors of other dimensions are another space
                 rows = np.flatnonzero(size == n)
                 part = batch.take(pa.array(rows))
-                x = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), n)) @ rotation(n)
-                for k, (lo, hi) in enumerate(limits(n)):
-                    radius = np.sqrt(2 * (1 - threshold) * (hi - lo) / n) + 1e-6
-                    g = min(GRID, hi - lo)
-                    side = 2 * radius
-                    home = np.floor(x[:, lo : lo + g] / side).astype(np.int64)
-                    # the lower or the upper neighbour in each dimension, where the ball reaches it
-                    near = np.where(x[:, lo : lo + g] / side - home < 0.5, -1, 1)
-                    reach = np.abs(x[:, lo : lo + g] / side - home - (near > 0)) * side <= radius
-                    for mask in range(1 << g):
-                        step = np.array([(mask >> d) & 1 for d in range(g)])
-                        # the home, and later cells only: the first dimension that differs goes up
-                        later = np.ones(len(x), bool) if not mask else near[:, step.argmax()] > 0
-                        use = np.flatnonzero((reach | (step == 0)).all(1) & later)
-                        cell = home[use] + near[use] * step
-                        key = np.full(len(use), n * 64 + k, np.int64)
-                        for d in range(g):
-                            key = key * 100_003 + cell[:, d] + 50_000
+                if not grids.get(int(n), GRID):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), n, np.int64)), pa.array(np.full(len(rows), -1, np.int32)), pa.array(np.ones(len(rows), bool)), *(part.column(c) for c in (0, 1, 2))], names=["cell", "block", "home", "vec_id", "embedding", "number"])
+                    continue
+                y = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), n)) @ rotation(n)
+                for k in range(len(limits(n))):
+                    for use, key, own in _places(y, k, threshold, grids.get(int(n), GRID)):
                         at = pa.array(use)
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(use), k, np.int32)), pa.array(np.full(len(use), mask == 0)), *(part.column(c).take(at) for c in (0, 1, 2))], names=["cell", "block", "home", "vec_id", "embedding", "number"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(use), k, np.int32)), pa.array(np.full(len(use), own)), *(part.column(c).take(at) for c in (0, 1, 2))], names=["cell", "block", "home", "vec_id", "embedding", "number"])
 
     return run
 
 
 def _solve(threshold: float):
-    """Joins each (cell, slot, slot): counts of links by vector, and star edges."""
+    """Joins each (cell, slot, slot): counts of links by vector, and star edges. block -1: all blocks."""
 
     def solve(block, ids, vectors, numbers, home, left, right, lo, hi):
+        vectors = _scaled(vectors)
         size = np.linalg.norm(vectors, axis=1)
         x, n = vectors / size[:, None], vectors.shape[1]
         y = x @ rotation(n)
         parts = limits(n)
         share = [2 * (1 - threshold) * (d - c) / n + 1e-9 for c, d in parts]
-        z = y[:, slice(*parts[block])]
-        norm = (z * z).sum(1)[:, None]
-        # one product gives the squared distances
-        ahead = np.hstack([z, norm, np.ones_like(norm)]).astype(np.float32)
-        behind = np.hstack([-2 * z, np.ones_like(norm), norm]).astype(np.float32).T
+        sides = []
+        for k in range(len(parts)) if block < 0 else [block]:
+            z = y[:, slice(*parts[k])]
+            norm = (z * z).sum(1)[:, None]
+            # one product gives the squared distances
+            sides.append((np.hstack([z, norm, np.ones_like(norm)]).astype(np.float32), np.hstack([-2 * z, np.ones_like(norm), norm]).astype(np.float32).T, np.float32(share[k] + 1e-4)))
         count, edges, held = np.zeros(len(ids), np.int64), [], 0
 
         def meet(p, q):
             nonlocal edges, held
             for f in range(0, len(p), PAIRS):
                 u, v = p[f : f + PAIRS], q[f : f + PAIRS]
-                far = [((y[u, c:d] - y[v, c:d]) ** 2).sum(1) > share[k] for k, (c, d) in enumerate(parts[: block + 1])]
-                first = ~far[block] & np.logical_and.reduce([*far[:block], np.ones(len(u), bool)])
-                u, v = u[first], v[first]
+                if block >= 0:  # the first block that finds a pair counts it
+                    far = [((y[u, c:d] - y[v, c:d]) ** 2).sum(1) > share[k] for k, (c, d) in enumerate(parts[: block + 1])]
+                    first = ~far[block] & np.logical_and.reduce([*far[:block], np.ones(len(u), bool)])
+                    u, v = u[first], v[first]
                 linked = np.einsum("ij,ij->i", vectors[u], vectors[v]) / (size[u] * size[v]) >= threshold
                 u, v = u[linked], v[linked]
                 np.add.at(count, u, numbers[v])
@@ -113,13 +166,15 @@ def _solve(threshold: float):
 
         def join(some, others, once):
             """Pairs between some and others; once: they are the same, and each pair is wanted once."""
-            limit = np.float32(share[block] + 1e-4)
-            columns = np.ascontiguousarray(behind[:, others])
+            columns = [np.ascontiguousarray(behind[:, others]) for _, behind, _ in sides]
             for i in range(0, len(some), TILE):
                 a = some[i : i + TILE]
-                rows = ahead[a]
+                rows = [ahead[a] for ahead, _, _ in sides]
                 for j in range(i if once else 0, len(others), TILE):
-                    near = np.flatnonzero(rows @ columns[:, j : j + TILE] <= limit)
+                    close = rows[0] @ columns[0][:, j : j + TILE] <= sides[0][2]
+                    for r, c, (_, _, limit) in zip(rows[1:], columns[1:], sides[1:], strict=True):
+                        close |= r @ c[:, j : j + TILE] <= limit
+                    near = np.flatnonzero(close)
                     if len(near):
                         b = others[j : j + TILE]
                         p, q = a[near // len(b)], b[near % len(b)]
@@ -144,7 +199,8 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     Two rows link when their cosine in double precision is threshold or more. Vectors that are null, empty, zero or hold a null or non-finite
     component link with nothing, and vectors of different dimensions never link. component_id is the smallest vec_id reachable by
     links, itself included; kept says whether it is its own. Rows with a null id are left out; rows that repeat an id share its links and
-    component, equal vectors among them count as copies. Other columns are not read.
+    component, equal vectors among them count as copies. Very large and very small components are scaled first, so their squares neither overflow nor
+    vanish. Other columns are not read; an empty table gives no row.
     """
     spark = vectors.sparkSession
     kind_of = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
@@ -155,7 +211,9 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     keyed = rows.where("good").select("vec_id", F.transform("embedding", lambda x: x + F.lit(0).cast(kind_of[6:-1])).alias("embedding"))
     classes, class_path = S.written(keyed.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("number")), "classes")
     kind = "cell long, block int, home boolean, vec_id long, embedding " + kind_of + ", number long"
-    dealt, dealt_path = S.written(classes.select("vec_id", "embedding", "number").mapInArrow(_deal(threshold), kind), "cells")
+    some = classes.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # SAMPLE vectors at most
+    grids = plan([np.array(r.embedding) for r in some], threshold, classes.count())
+    dealt, dealt_path = S.written(classes.select("vec_id", "embedding", "number").mapInArrow(_deal(threshold, grids), kind), "cells")
     slots = dealt.groupBy("cell").count().select("cell", F.ceil(F.col("count") / SLOT).cast("int").alias("slots"))
     found = dealt.join(slots, "cell").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("slots")).cast("int"))
     found = found.withColumn("other", F.explode(F.expr("sequence(0, slots - 1)"))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})

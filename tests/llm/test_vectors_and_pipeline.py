@@ -34,15 +34,25 @@ def test_vectors(spark, monkeypatch):
     base = rng.standard_normal((40, 16))
     vectors = [(b + rng.standard_normal(16) * s).tolist() for b in base for s in (0, 0.1, 0.3, 0.5)] + [base[0].tolist()] * 5
     vectors += [None, [], [0.0] * 16, [float("nan")] * 16, [None, *[1.0] * 15], [float("inf")] * 16, [1.0, 2.0], [2.0, 4.0], [-0.0, 1.0], [0.0, 3.0], [5.0]]
+    vectors += [[1e200] * 16, [2e200] * 16, [1e-200] * 16, [5e-324, *[0.0] * 15], [1e-300, *[0.0] * 15]]
     d = spark.createDataFrame([(i, v, 0, "x") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, block int, cell string")
-    wanted = brute(vectors, 0.9)
-    for slot in (16384, 20):
+    wanted = brute([v and [x and x * 2.0 ** (600 if 0 < abs(x) < 1e-100 else -600 if abs(x) > 1e100 else 0) for x in v] for v in vectors], 0.9)
+    for slot, copy in ((8192, 0), (20, 0), (8192, 1e9), (20, 1e9)):
         monkeypatch.setattr(vector_join, "SLOT", slot)
+        monkeypatch.setattr(vector_join, "COPY", copy)
         got = [(r.vec_id, r.n_links, r.component_id) for r in vector_join.vector_links(d).orderBy("vec_id").collect()]
         assert got == wanted
     assert vector_join.vector_links(d.limit(0)).count() == 0
 
 
+def test_grid_by_work():
+    """Vectors alike in all directions need no grid; where a closer limit lets cells part them, they do."""
+    wide = list(np.random.default_rng(1).standard_normal((1500, 64)))
+    assert vector_join.plan(wide, 0.9, 50_000) == {64: 0}
+    assert vector_join.plan(wide, 0.999, 10**8)[64] == 3
+    assert vector_join.plan([], 0.9, 5) == {}
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + k) for k in range(1, 50)]
