@@ -1,7 +1,9 @@
 """Sorted hash arrays in files: 64-bit keys with columns of counts, memory-mapped by the workers that read them.
 
-Keys lie in order, cut into buckets by their upper bits; of the rest a file stores 32 bits and 0, 8 or 32 more, so with 32 more a key is
-stored whole. Counts are bytes; the few of 255 or more stand beside them. Files lie in the shared folder, written under another
+Keys lie in order, cut into buckets by their upper bits; of the rest a file stores 32 bits and 0, 8 or 32 more. With 32 more a key is stored
+whole. With none, a key that is not there is taken for another of its bucket, of some 12 keys, once in 3 x 10^8 lookups, however many keys
+there are, until a file's buckets have 28 bits. Counts are bytes; the few of 255 or more stand beside them. Columns whose rows
+repeat (sizes of contexts) have one byte together. Files lie in the shared folder, written under another
 name and renamed, so a task that runs twice leaves the same files; readers map them and touch only the pages they need.
 """
 
@@ -18,23 +20,77 @@ _LOW = {0: None, 1: np.dtype("u1"), 4: np.dtype("<u4")}
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    """Counts as bytes; those of 255 or more follow as (position, count)."""
+    """Counts as bytes, with those of 255 or more after them as (position, count); or as whole integers, where that is less."""
     big = np.flatnonzero(x >= 255)
-    return struct.pack("<qq", len(x), len(big)) + np.minimum(x, 255).astype(np.uint8).tobytes() + big.astype("<i8").tobytes() + x[big].astype("<i8").tobytes()
-
-
-def unpack_counts(raw, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(bytes, positions, counts, end)."""
-    n, m = struct.unpack_from("<qq", raw, at)
-    at += 16
-    return np.frombuffer(raw, np.uint8, n, at), np.frombuffer(raw, "<i8", m, at + n), np.frombuffer(raw, "<i8", m, at + n + 8 * m), at + n + 16 * m
+    wide = 4 if not len(x) or int(x.max()) < 1 << 32 else 8
+    if len(x) + 16 * len(big) > wide * len(x):
+        return struct.pack("<qqq", len(x), 0, wide) + x.astype(f"<u{wide}").tobytes()
+    return struct.pack("<qqq", len(x), len(big), 1) + np.minimum(x, 255).astype(np.uint8).tobytes() + big.astype("<i8").tobytes() + x[big].astype("<i8").tobytes()
+
+
+class Counts:
+    """A packed column in a buffer."""
+
+    def __init__(self, raw, at: int = 0):
+        n, m, wide = struct.unpack_from("<qqq", raw, at)
+        at += 24
+        self.small = np.frombuffer(raw, f"<u{wide}", n, at)
+        at += wide * n
+        self.where, self.big, self.plain = np.frombuffer(raw, "<i8", m, at), np.frombuffer(raw, "<i8", m, at + 8 * m), wide > 1
+        self.end = at + 16 * m
+
+    def get(self, at: np.ndarray) -> list[np.ndarray]:
+        x = self.small[at].astype(np.int64)
+        large = np.empty(0, int) if self.plain else np.flatnonzero(x == 255)
+        if len(large):
+            x[large] = self.big[np.searchsorted(self.where, at[large])]
+        return [x]
+
+    def whole(self) -> np.ndarray:
+        out = self.small.astype(np.int64)
+        out[self.where] = self.big
+        return out
 
 
-def whole_counts(raw, at: int = 0) -> tuple[np.ndarray, int]:
-    small, where, big, end = unpack_counts(raw, at)
-    out = small.astype(np.int64)
-    out[where] = big
-    return out, end
+def pack_group(columns: list[np.ndarray]) -> bytes:
+    """Columns together: a byte for each row, for one of the 255 most frequent rows; other rows follow with their positions."""
+    x = np.stack(columns, axis=1).astype(np.int64)
+    mark = np.zeros(len(x), np.uint64)
+    for c in x.T:
+        mark = T.mix(mark * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
+    _, first, inverse, count = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
+    often = np.argsort(-count, kind="stable")[:255]
+    code = np.full(len(count), 255, np.uint8)
+    code[often] = np.arange(len(often))
+    codes = code[inverse.reshape(-1)]
+    rare = np.flatnonzero(codes == 255)
+    return struct.pack("<qqqq", len(x), len(often), len(rare), x.shape[1]) + codes.tobytes() + x[first[often]].astype("<i8").tobytes() + rare.astype("<i8").tobytes() + x[rare].astype("<i8").tobytes()
+
+
+class Group:
+    """Columns packed together in a buffer."""
+
+    def __init__(self, raw, at: int = 0):
+        n, often, rare, width = struct.unpack_from("<qqqq", raw, at)
+        at += 32
+        self.codes = np.frombuffer(raw, np.uint8, n, at)
+        at += n
+        self.table = np.frombuffer(raw, "<i8", often * width, at).reshape(often, width)
+        at += 8 * often * width
+        self.where = np.frombuffer(raw, "<i8", rare, at)
+        self.rows = np.frombuffer(raw, "<i8", rare * width, at + 8 * rare).reshape(rare, width)
+        self.end = at + 8 * rare * (1 + width)
+
+    def get(self, at: np.ndarray) -> list[np.ndarray]:
+        codes = self.codes[at]
+        out = self.table[np.minimum(codes, max(0, len(self.table) - 1))]
+        rare = np.flatnonzero(codes == 255)
+        if len(rare):
+            out[rare] = self.rows[np.searchsorted(self.where, at[rare])]
+        return list(out.T)
+
+    def whole(self) -> list[np.ndarray]:
+        return self.get(np.arange(len(self.codes)))
 
 
 class HashArray:
@@ -44,10 +100,10 @@ class HashArray:
         self.n, self.columns = 0, []
         if not len(raw):
             return
-        self.n, self.bits, low, columns = struct.unpack_from("<qqqq", raw, 0)
-        at = 32
-        self.limit = np.frombuffer(raw, "<i8", (1 << self.bits) + 1, at)
-        at += 8 * ((1 << self.bits) + 1)
+        self.n, self.bits, low, columns, grouped = struct.unpack_from("<qqqqq", raw, 0)
+        at, kind = 40, np.dtype("<u4" if self.n < 1 << 32 else "<u8")
+        self.limit = np.frombuffer(raw, kind, (1 << self.bits) + 1, at)
+        at += self.limit.nbytes
         self.high = np.frombuffer(raw, "<u4", self.n, at)
         at += 4 * self.n
         self.low_bits, self.low = 8 * low, None
@@ -55,20 +111,21 @@ class HashArray:
             self.low = np.frombuffer(raw, _LOW[low], self.n, at)
             at += low * self.n
         for _ in range(columns):
-            *column, at = unpack_counts(raw, at)
-            self.columns.append(column)
+            self.columns.append((Group if grouped else Counts)(raw, at))
+            at = self.columns[-1].end
 
     @staticmethod
-    def parts(keys: np.ndarray, columns: list[np.ndarray], low: int = 4) -> list[bytes]:
-        """keys: distinct, sorted; low: bytes that are stored of a key beside four."""
+    def parts(keys: np.ndarray, columns: list[np.ndarray], low: int = 4, grouped: bool = False) -> list[bytes]:
+        """keys: distinct, sorted; low: bytes that are stored of a key beside four; grouped: columns whose rows often are the same."""
         bits = max(0, min(28, (len(keys) // 8).bit_length() - 1))
         bucket = (keys >> np.uint64(63 - bits)) >> np.uint64(1)
-        limit = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64))
+        limit = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64)).astype("<u4" if len(keys) < 1 << 32 else "<u8")
         rest = keys << np.uint64(bits)
-        out = [struct.pack("<qqqq", len(keys), bits, low, len(columns)), limit.astype("<i8").tobytes(), (rest >> np.uint64(32)).astype("<u4").tobytes()]
+        packed = [pack_group(columns)] if grouped else list(map(pack_counts, columns))
+        out = [struct.pack("<qqqqq", len(keys), bits, low, len(packed), grouped), limit.tobytes(), (rest >> np.uint64(32)).astype("<u4").tobytes()]
         if low:
             out.append(((rest & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - 8 * low)).astype(_LOW[low]).tobytes())
-        return [*out, *map(pack_counts, columns)]
+        return [*out, *packed]
 
     def _stored(self, at: np.ndarray) -> np.ndarray:
         x = self.high[at].astype(np.uint64)
@@ -80,7 +137,7 @@ class HashArray:
             return []
         bucket = ((keys >> np.uint64(63 - self.bits)) >> np.uint64(1)).astype(np.int64)
         rest = (keys << np.uint64(self.bits)) >> np.uint64(32 - self.low_bits)
-        lo, end = self.limit[bucket], self.limit[bucket + 1]
+        lo, end = (self.limit[b].astype(np.int64) for b in (bucket, bucket + 1))
         hi = end
         for _ in range(int((hi - lo).max(initial=0)).bit_length()):
             mid = (lo + hi) >> 1
@@ -88,14 +145,7 @@ class HashArray:
             lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.minimum(mid, hi))
         at = np.minimum(lo, self.n - 1)
         there = (lo < end) & (self._stored(at) == rest)
-        out = []
-        for small, where, big in self.columns:
-            x = small[at].astype(np.int64)
-            large = np.flatnonzero(x == 255)
-            if len(large):
-                x[large] = big[np.minimum(np.searchsorted(where, at[large]), len(big) - 1)]
-            out.append(np.where(there, x, 0))
-        return out
+        return [np.where(there, x, 0) for c in self.columns for x in c.get(at)]
 
 
 class Tables:
@@ -104,8 +154,8 @@ class Tables:
     def __init__(self, folder: str, shards: int):
         self.folder, self.shards = folder, shards
 
-    def put(self, table: str, shard: int, keys: np.ndarray, columns: list[np.ndarray], low: int = 4) -> None:
-        S.put_file(f"{self.folder}/{table}-{shard}", HashArray.parts(keys, columns, low))
+    def put(self, table: str, shard: int, keys: np.ndarray, columns: list[np.ndarray], low: int = 4, grouped: bool = False) -> None:
+        S.put_file(f"{self.folder}/{table}-{shard}", HashArray.parts(keys, columns, low, grouped))
 
     def shard(self, keys: np.ndarray) -> np.ndarray:
         return (T.mix(keys) % np.uint64(self.shards)).astype(np.int64)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from driftwork.llm import bpe_codec, chat_format, decontaminate, jaccard_join, language_id, license_scan, lm_scoring, token_shards, toxicity
+from driftwork.llm.hash_arrays import HashArray
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, cluster string, shard string, score string"
 LONG = "word " * 30000 + "x" * 100_000
@@ -24,29 +25,49 @@ def words(pattern, text, lower):
     return re.findall(pattern, lower(text))
 
 
-def test_lm(spark, lower):
-    got = {r.doc_id: r for r in lm_scoring.scored(docs(spark), lm_scoring.train(docs(spark))).collect()}
-    seqs = [[*words(r"[^\x20\x09-\x0D]+", t, lower), None] for t in TEXTS]
-    uni, bi = Counter(w for s in seqs for w in s), Counter(p for s in seqs for p in zip([0, *s], s))
+@pytest.mark.parametrize(("order", "part"), [(3, 2_000_000), (3, 40), (2, 40)])
+def test_lm(spark, lower, monkeypatch, order, part):
+    monkeypatch.setattr(lm_scoring, "PART", part)
+    texts = [*TEXTS[:9], *TEXTS[10:], "the quick red fox jumps over a lazy dog", "the quick brown dog"]
+    d = docs(spark, texts)
+    model = lm_scoring.train(d, order=order)
+    got = {r.doc_id: r for r in lm_scoring.scored(d, model).collect()}
+    seqs = [[*words(r"[^\x20\x09-\x0D]+", t, lower), None] for t in texts]
+    uni = Counter(w for s in seqs for w in s)
+    tri = Counter(x for s in seqs for x in zip([0, 0, *s], [0, *s], s))
+    pairs = Counter((v, w) for _, v, w in tri) if order == 3 else Counter(p for s in seqs for p in zip([0, *s], s))
     n, v = sum(uni.values()), len(uni)
-    follows, after = Counter(w for _, w in bi), defaultdict(lambda: [0, 0, 0, 0])
-    for (u, _), c in bi.items():
-        after[u][0] += c
-        after[u][min(c, 3)] += 1
-    d = lm_scoring.discounts(*(sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)))
+    follows = Counter(w for _, w in pairs)
+
+    def below(counts):
+        out = defaultdict(lambda: [0, 0, 0, 0])
+        for g, c in counts.items():
+            out[g[:-1]][0] += c
+            out[g[:-1]][min(c, 3)] += 1
+        return out, lm_scoring.discounts(*(sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)))
+
+    after, d2 = below(pairs)
+    after3, d3 = below(tri)
     e = lm_scoring.discounts(*(sum(c == k for c in follows.values()) for k in (1, 2, 3, 4)))
-    rest = sum(e[min(c, 3)] for c in follows.values()) / len(bi)
+    rest = sum(e[min(c, 3)] for c in follows.values()) / len(pairs)
+
+    def level(c, x, d, low):
+        return max(c - d[min(c, 3)], 0) / x[0] + (d[1] * x[1] + d[2] * x[2] + d[3] * x[3]) / x[0] * low if x[0] else low
 
-    def p(u, w):
-        low = max(follows[w] - e[min(follows[w], 3)], 0) / len(bi) + rest / (v + 1)
-        x = after.get(u)
-        return low if not x else max(bi[u, w] - d[min(bi[u, w], 3)], 0) / x[0] + (d[1] * x[1] + d[2] * x[2] + d[3] * x[3]) / x[0] * low
+    def p(u, m, w):
+        low = max(follows[w] - e[min(follows[w], 3)], 0) / len(pairs) + rest / (v + 1)
+        low = level(pairs[m, w], after.get((m,), [0]), d2, low)
+        return level(tri[u, m, w], after3.get((u, m), [0]), d3, low) if order == 3 else low
 
-    assert abs(sum(p("the", w) for w in [*uni, "unseen"]) - 1) < 1e-9
+    assert abs(sum(p("the", "quick", w) for w in [*uni, "unseen"]) - 1) < 1e-9
     for i, s in enumerate(seqs):
         assert got[i].n_tokens == len(s) == got[i].n_known
-        assert math.isclose(got[i].score, sum(math.log10(p(u, w)) for u, w in zip([0, *s], s)), rel_tol=1e-9)
+        assert math.isclose(got[i].score, sum(math.log10(p(*x)) for x in zip([0, 0, *s], [0, *s], s)), rel_tol=1e-9)
         assert math.isclose(got[i].base_score, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in s), rel_tol=1e-9)
+    new = lm_scoring.scored(docs(spark, ["the unseen fox unseen"]), model).first()
+    s = ["the", "unseen", "fox", "unseen", None]
+    assert new.n_known == 3 and math.isclose(new.score, sum(math.log10(p(*x)) for x in zip([0, 0, *s], [0, *s], s)), rel_tol=1e-9)
+    assert part > 40 or len(model.hot) > 1
 
 
 def test_lm_of_nothing(spark):
@@ -55,11 +76,19 @@ def test_lm_of_nothing(spark):
     assert all(r.score == 0 for r in lm_scoring.scored(docs(spark), lm_scoring.train(empty)).collect())
 
 
-def test_hash_array():
+@pytest.mark.parametrize("low", [0, 1, 4])
+@pytest.mark.parametrize("grouped", [False, True])
+def test_hash_array(low, grouped):
     keys = np.unique(np.random.default_rng(3).integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2))
     counts = np.arange(len(keys)) % 400 + 1
-    table = lm_scoring.HashArray(b"".join(lm_scoring.HashArray.parts(keys, [counts])))
-    assert (table.find(keys)[0] == counts).all() and not table.find(keys + np.uint64(1 << 40))[0].any()
+    more = [counts, counts * 7 % 3, np.where(counts == 7, 2**40, 0)]
+    table = HashArray(b"".join(HashArray.parts(keys, more, low, grouped)))
+    assert all((a == b).all() for a, b in zip(table.find(keys), more, strict=True))
+    assert not any(x.any() for x in table.find(keys + np.uint64(1 << 40)))
+    if low == 4:
+        assert not table.find(keys + np.uint64(1))[0].any()
+    one = HashArray(b"".join(HashArray.parts(keys[:1], [counts[:1]], low)))
+    assert one.find(keys[:2])[0].tolist() == [1, 0] and HashArray(b"").find(keys) == []
 
 
 def test_bpe(spark):
