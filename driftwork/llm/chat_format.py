@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwork.llm import _shared as S
+
 
 def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """A row for each maximal conversation: conv_id, n_turns, n_copies (equal conversations, itself included), rendered.
@@ -30,12 +32,13 @@ def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     rows = rows.withColumns({"a": F.xxhash64("n", "role", "text"), "b": F.xxhash64("text", F.lit(1), "role", "n")})
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({"a": F.expr("bit_xor(a)").over(upto), "b": F.expr("bit_xor(b)").over(upto)})
-    rows = rows.withColumn("after", F.lead("n").over(order).isNotNull())
+    shown = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("<|end|>\n"))
+    rows = rows.withColumn("after", F.lead("n").over(order).isNotNull()).select("conv_id", "n", "a", "b", "after", shown.alias("shown"))
+    rows, _ = S.written(rows, "turns")  # numbered once, read three times
     whole = rows.where("not after").groupBy("n", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     prefixes = rows.where("after").select("n", "a", "b").distinct()
     kept = whole.join(prefixes, ["n", "a", "b"], "left_anti").select("conv_id", F.col("n").cast("long").alias("n_turns"), "n_copies")
-    shown = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("<|end|>\n"))
-    turn = rows.select("conv_id", "n", shown.alias("shown")).join(kept.select("conv_id"), "conv_id", "left_semi")
+    turn = rows.select("conv_id", "n", "shown").join(kept.select("conv_id"), "conv_id", "left_semi")
     text = turn.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "shown"))), lambda x: x.shown), "").alias("rendered"))
     return kept.join(text, "conv_id")
 
