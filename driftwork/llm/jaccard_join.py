@@ -5,7 +5,7 @@ dealt to clusters that surely hold both sides of every link: tokens are dealt to
 similarity of t or more differ in at most h = (1-t)/(1+t)(|x|+|y|) tokens, at least m-h parts are equal. Parts of one
 token or none say little, and a pair of which one side has at most e = m-h-1 of those still has a larger part in common. So only larger
 parts are emitted; a set with more than e small ones emits its larger parts under another dealing too, and so on, and one that
-has too many under every dealing emits the small parts of the last one as well. Tokens that a bounded sample of the texts shows to be common
+has too many under every dealing emits the small parts of the last one as well. A task joins the documents that share a signature among its own first, and sends on one for each of their components. Tokens that a bounded sample of the texts shows to be common
 (passages that many documents share) do not count for a part's size; what is in the sample moves work, never results, since a part
 is small or not by its content alone.
 Within a cluster a signature tree (OR-combined token bitmaps and size ranges) is joined with itself by dual traversal, which
@@ -33,8 +33,12 @@ from driftwork.llm import _text as T
 SEEDS = 16
 #: Texts of the sample, from how many of them on a token is common, and common tokens at most (8 bytes each).
 SAMPLE, COMMON, MOST_COMMON = 3000, 4, 500_000
+#: Tokens that a task sketches together, and signatures whose documents it joins together before they are sent.
+TOKENS, SIGNATURES = 1_000_000, 4_000_000
+#: Signatures, as far as a sample tells their number, that meet in one task.
+MEET = 2_500_000
 #: Members of a cluster that one task joins at once.
-BLOCK = 1024
+BLOCK = 256
 #: Documents in clusters up to which their ids are broadcast (8 bytes each); beyond, the texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 
@@ -171,18 +175,24 @@ def _stars(keys: tuple[np.ndarray, ...], ids: np.ndarray) -> tuple[np.ndarray, n
     return order, new, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
 
 
-def _sketch(size: int, percent: int, shards: int, common: np.ndarray):
+def _sketch(size: int, percent: int, seats: np.ndarray, common: np.ndarray):
+    """Digests and signatures of texts for the task that each meets its equals in; seats has a number for each of these tasks."""
+    shards = len(seats)
+
+    def at_home(ids):
+        return seats[(T.mix(ids.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)]
+
     def run(batches):
         scheme = Scheme(percent)
 
         def send(docs):
             """Digests and signatures of some texts; equal ones meet here first, and only the smallest goes on."""
             ids, n, d1, d2, key, doc, null = docs
-            yield _rows(T.mix(ids.astype(np.uint64)) % np.uint64(shards), _DOC, ids, n)
+            yield _rows(seats[:1], _DOC, [len(ids)], [0], [ids.tobytes()], [n.tobytes()])
             full = np.flatnonzero(n > 0)
             order, new, head = _stars((d1[full], d2[full], n[full]), ids[full])
             rows = full[order]
-            yield _rows(T.mix(ids[rows[~new]].astype(np.uint64)) % np.uint64(shards), _SAME, ids[rows[~new]], ids[rows[head[~new]]])
+            yield _rows(at_home(ids[rows[~new]]), _SAME, ids[rows[~new]], ids[rows[head[~new]]])
             lead = rows[new]
             sort = np.argsort(d1[lead] % np.uint64(shards), kind="stable")
             yield from packed(_DIGEST, d1[lead][sort], np.stack([d2[lead], ids[lead].view(np.uint64), n[lead].astype(np.uint64)])[:, sort])
@@ -191,12 +201,22 @@ def _sketch(size: int, percent: int, shards: int, common: np.ndarray):
             sizes = np.where(held, n, 0)
             sets = held[doc]
             sig, who = _parts(key[sets], doc[sets], sizes, scheme.of(np.maximum(n, 1)), scheme, common)
-            order, new, head = _stars((sig,), ids[who])
-            b, a = S.contracted(ids[who[order[~new]]], ids[who[order[head[~new]]]])
-            yield _rows(T.mix(b.astype(np.uint64)) % np.uint64(shards), _PAIR, a, b)
-            lead = order[new]
-            sort = np.argsort(sig[lead] % np.uint64(shards), kind="stable")
-            yield from packed(_SIG, sig[lead][sort], ids[who[lead]][sort].view(np.uint64)[None])
+            order, new, _ = _stars((sig, ids[who]), ids[who])  # a document's dealings may repeat a signature
+            met.append((sig[order[new]], ids[who][order[new]]))
+
+        def meet():
+            """Documents that share signatures here join, and only the smallest of each component goes on, with the signatures of all."""
+            sig, ids = (np.concatenate(x) for x in zip(*met, strict=True))
+            met.clear()
+            order, new, head = _stars((sig,), ids)
+            b, a = S.contracted(ids[order[~new]], ids[order[head[~new]]])
+            yield _rows(at_home(b), _PAIR, a, b)
+            lead, sig = ids[order[new]], sig[order[new]]
+            if len(b):
+                at = np.minimum(np.searchsorted(b, lead), len(b) - 1)
+                lead = np.where(b[at] == lead, a[at], lead)
+            sort = np.argsort(sig % np.uint64(shards), kind="stable")
+            yield from packed(_SIG, sig[sort], lead[sort].view(np.uint64)[None])
 
         def packed(kind, key, values):
             """A row for each shard with its keys and values."""
@@ -205,9 +225,9 @@ def _sketch(size: int, percent: int, shards: int, common: np.ndarray):
             shard = (key % np.uint64(shards)).astype(np.int64)
             start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
             stop = np.append(start[1:], len(shard))
-            yield _rows(shard[start], kind, stop - start, start * 0, [key[i:j].tobytes() for i, j in zip(start, stop, strict=True)], [np.ascontiguousarray(values[:, i:j]).tobytes() for i, j in zip(start, stop, strict=True)])
+            yield _rows(seats[shard[start]], kind, stop - start, start * 0, [key[i:j].tobytes() for i, j in zip(start, stop, strict=True)], [np.ascontiguousarray(values[:, i:j]).tobytes() for i, j in zip(start, stop, strict=True)])
 
-        held, tokens = [], 0
+        held, tokens, met = [], 0, []
         for batch, data, at in T.blocks(batches):
             words = T.Words(data, at)
             doc, key = shingles(words, size)
@@ -216,11 +236,15 @@ def _sketch(size: int, percent: int, shards: int, common: np.ndarray):
             d1, d2 = (T.by_text(T.mix(key ^ np.uint64(c)), first) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
             held.append((batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64), n, d1, d2, key, doc, None))
             tokens += len(key)
-            if tokens > 3_000_000:
+            if tokens > TOKENS:
                 yield from send(_joined(held))
                 held, tokens = [], 0
+                if sum(len(sig) for sig, _ in met) > SIGNATURES:
+                    yield from meet()
         if held:
             yield from send(_joined(held))
+        if met:
+            yield from meet()
 
     return run
 
@@ -231,13 +255,18 @@ def _joined(parts):
 
 
 def _common(size: int):
-    """The tokens of a small sample that many of its texts have."""
+    """The tokens of a small sample that many of its texts have; and, without a token, how many it has in all, and minus its texts."""
 
     def run(batches):
-        found = [shingles(T.Words(data, at), size)[1] for _, data, at in T.blocks(batches)]
+        found, texts = [], 0
+        for batch, data, at in T.blocks(batches):
+            found.append(shingles(T.Words(data, at), size)[1])
+            texts += batch.num_rows
         keys, count = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
         order = np.argsort(-count, kind="stable")[:MOST_COMMON]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[order[count[order] >= COMMON]].view(np.int64))], names=["token"])
+        order = order[count[order] >= COMMON]
+        tokens = [*keys[order].view(np.int64).tolist(), None, None]
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([*count[order].tolist(), int(count.sum()), -texts])], names=["token", "count"])
 
     return run
 
@@ -265,6 +294,13 @@ def _meet(batches):
         yield _rows(a * 0, kind, *((b, a) if kind == _SAME else (a, b)))
 
 
+def _unpacked(batches):
+    """Ids and numbers of shingles, of packed rows."""
+    for batch in batches:
+        for x, y in zip(batch.column(0), batch.column(1), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c.as_buffer(), np.int64)) for c in (x, y)], names=["doc_id", "n_shingles"])
+
+
 def _sets(size: int):
     """(cluster, block, of, doc_id, set) of the documents of clusters; a block's own documents have of = 0."""
 
@@ -438,10 +474,14 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    shards = S.partitions(spark) * 4
-    common = np.array([r.token for r in rows.limit(SAMPLE).mapInArrow(_common(shingle), "token long").collect()], np.int64).view(np.uint64)
+    sample = rows.limit(SAMPLE).mapInArrow(_common(shingle), "token long, count long").collect()
+    common = np.array([r.token for r in sample if r.token is not None], np.int64).view(np.uint64)
     common.sort()
-    met, met_path = S.written(rows.mapInArrow(_sketch(shingle, percent, shards, common), _OUT).repartition(S.partitions(spark), "shard").mapInArrow(_meet, _OUT).drop("x", "y", "shard"), "sketch")
+    # a text's signatures under both of its size classes, from the sample's tokens; where they meet moves work, never results
+    texts, tokens = (sum(r["count"] for r in sample if r.token is None and (r["count"] < 0) == sign) for sign in (True, False))
+    each = tokens / max(1, -texts) * 4 * (100 - percent) / (100 + percent)
+    tasks = max(1, math.ceil(rows.count() * each / MEET))
+    met, met_path = S.written(rows.mapInArrow(_sketch(shingle, percent, S.seats(spark, tasks), common), _OUT).repartition(tasks, "shard").mapInArrow(_meet, _OUT).drop("shard"), "sketch")
     same = met.where(f"kind = {_SAME}").select("a", "b")
     pairs = met.where(f"kind = {_PAIR}").select("a", "b")
     cluster, cluster_path = S.components(pairs)
@@ -470,5 +510,5 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
         S.drop(spark, part_path)
     found, _ = S.components(links.unionByName(same))
     S.drop(spark, sets_path, member_path, cluster_path)
-    out = met.where(f"kind = {_DOC}").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
+    out = met.where(f"kind = {_DOC}").select("x", "y").mapInArrow(_unpacked, "doc_id long, n_shingles long")
     return out.join(found.select(F.col("v").alias("doc_id"), "m"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("m", "doc_id").alias("component_id"))

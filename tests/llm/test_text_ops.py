@@ -285,6 +285,18 @@ def test_jaccard_large_cluster(spark, monkeypatch):
     assert jaccard_join.jaccard_join(docs(spark).limit(0)).count() == 0
 
 
+def test_meetings_grow_with_the_documents(spark):
+    """However many near copies a group has, a task leaves one row for each at most."""
+    base = [f"w{i}" for i in range(120)]
+    made = {}
+    for k in (40, 160):
+        texts = [" ".join([*base[: i % 110], f"x{i}", *base[i % 110 + 1 :]]) for i in range(k)]
+        sent = docs(spark, texts).select("doc_id", "text").repartition(3).mapInArrow(jaccard_join._sketch(5, 80, np.arange(16), np.empty(0, np.uint64)), jaccard_join._OUT)
+        made[k] = sent.repartition(4, "shard").mapInArrow(jaccard_join._meet, jaccard_join._OUT).where(f"kind = {jaccard_join._PAIR}").count()
+        assert made[k] <= (3 + 4) * k
+    assert made[160] < 5 * made[40]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "user", "hi"), (2, 1, "assistant", ""), (2, 2, "user", "more"), (3, 0, "user", "hi"), (4, 0, "user", "other"), (5, 0, "user", "other"), (6, None, None, "x"), (None, 0, "user", "hi"), (7, 1, "user", "hi!"), (7, 0, "user", "hi")]
     t = spark.createDataFrame([(*r, "z", 1) for r in rows], "conv_id long, turn long, role string, text string, n string, a long")
