@@ -162,10 +162,19 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     """
     rows = docs.where(learn) if learn is not None else docs
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    # ids first, without texts; partial top-k in each partition, then the few texts
-    top = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ranked = rows.select("id", "lang", F.row_number().over(top).alias("rank")).where(f"rank <= {PER_LANGUAGE}")
-    ids = sorted({r.id for r in ranked.select("id").collect() if r.id is not None})
+    # ids first, without texts: those whose hash lies under a limit that leaves about twice what is wanted of each language
+    place = F.xxhash64("id") / F.lit(2.0**64) + F.lit(0.5)
+    left = {r.lang: r["count"] for r in rows.where("id is not null").groupBy("lang").count().collect()}
+    times, ids = 2, set()
+    while left:
+        limits = docs.sparkSession.createDataFrame([(lang, times * PER_LANGUAGE / n) for lang, n in left.items()], "lang string, most double")  # a row for each language
+        some = rows.select("id", "lang").join(F.broadcast(limits), "lang").where(place < F.col("most")).select("id", "lang").distinct()
+        top = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+        found = some.withColumn("rank", F.row_number().over(top)).where(f"rank <= {PER_LANGUAGE}").groupBy("lang").agg(F.collect_list("id").alias("ids")).collect()
+        ids |= {i for r in found for i in r.ids}
+        whole = {r.lang for r in found if len(r.ids) == PER_LANGUAGE} | {lang for lang, n in left.items() if times * PER_LANGUAGE >= n}
+        left, times = {lang: n for lang, n in left.items() if lang not in whole}, times * 8
+    ids = sorted(ids)
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "id string")  # PER_LANGUAGE ids of a language at most
     # of rows that share an id the largest counts
     some = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.max(F.struct("lang", "text")).alias("r")).select("id", "r.lang", "r.text")
