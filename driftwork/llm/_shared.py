@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
+#: Parts up to which each gets a task of its own; of more, a task's share evens out.
+SEATS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,7 +62,9 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
 
 
 def seats(spark: SparkSession, n: int) -> np.ndarray:
-    """For each of n parts a number that repartition(n, number) deals to a task of its own."""
+    """For each of n parts a number that repartition(n, number) deals to a task of its own; very many parts are dealt as it comes."""
+    if n > SEATS:
+        return np.arange(n)
     found = spark.range(max(64, 16 * n)).select("id", F.expr(f"pmod(hash(id), {n})").alias("k")).groupBy("k").agg(F.min("id").alias("id")).collect()
     out = np.arange(n) + max(64, 16 * n)  # a part that none of these falls on shares a task
     for r in found:
