@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
@@ -72,6 +74,15 @@ def seats(spark: SparkSession, n: int) -> np.ndarray:
     return out
 
 
+def lean() -> None:
+    """Let this worker give memory back between tasks: large arrays are mapped, so they go when they are freed, and free pages are returned."""
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is glibc
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -343,6 +343,7 @@ def _scan(docs, path, keep, text_col, more, what):
     kinds = [kinds[x.split()[1]] for x in more.split(", ")]
 
     def run(batches):
+        S.lean()
         worker = Worker(shared.value)
         for batch, _, _ in T.blocks(batches, rows.text, BLOCK_BYTES):
             found = [what(*x) for x in worker.run([t or "" for t in batch.column(batch.schema.get_field_index(rows.text)).to_pylist()])]

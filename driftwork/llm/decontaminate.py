@@ -163,6 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     files = query_blocks(benchmark, window, item_col, item_text)
 
     def run(batches):
+        S.lean()
         find = Searcher(files)
         for batch, data, at in T.blocks(batches, size=SHARD_BYTES):
             words, start, stop, span_at, hits, names = find.scan(data, at)
@@ -186,6 +187,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text
     named = docs.toDF(*(f"__{i}" for i in range(len(docs.columns))))
 
     def run(batches):
+        S.lean()
         find = Searcher(files)
         for batch, data, at in T.blocks(batches, f"__{place}", SHARD_BYTES):
             left, texts, rows = None, None, np.arange(batch.num_rows)

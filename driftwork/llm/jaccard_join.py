@@ -34,9 +34,9 @@ SEEDS = 16
 #: Texts of the sample, from how many of them on a token is common, and common tokens at most (8 bytes each).
 SAMPLE, COMMON, MOST_COMMON = 3000, 4, 500_000
 #: Tokens that a task sketches together, and signatures whose documents it joins together before they are sent.
-TOKENS, SIGNATURES = 1_000_000, 4_000_000
+TOKENS, SIGNATURES = 1_000_000, 1_500_000
 #: Signatures, as far as a sample tells their number, that meet in one task.
-MEET = 2_500_000
+MEET = 3_000_000
 #: Members of a cluster that one task joins at once.
 BLOCK = 256
 #: Documents in clusters up to which their ids are broadcast (8 bytes each); beyond, the texts are shuffled to them.
@@ -183,6 +183,7 @@ def _sketch(size: int, percent: int, seats: np.ndarray, common: np.ndarray):
         return seats[(T.mix(ids.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)]
 
     def run(batches):
+        S.lean()
         scheme = Scheme(percent)
 
         def send(docs):
@@ -274,6 +275,7 @@ def _common(size: int):
 def _meet(batches):
     """A shard's digests and signatures: the smallest document of each meets the others. What they join leaves as a star forest, at most
     one row for a document, however many signatures it shares and with however many others."""
+    S.lean()
     digests, sigs = [], []
     for batch in batches:
         kind = batch.column(1).to_numpy()
@@ -440,6 +442,7 @@ def _join(percent: int):
         return ids[tail], ids[top[tail]]
 
     def run(batches):
+        S.lean()
         now, group = None, []
         a, b = [], []
         for batch in batches:

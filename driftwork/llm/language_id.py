@@ -194,6 +194,7 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", keep: l
     rows = S.Carried(docs, keep, text_col, "lang_pred string, score double")
 
     def run(batches):
+        S.lean()
         m = shared.value
         names = np.array([*m.langs, "und"], object)
         for batch, data, at in T.blocks(batches, rows.text):

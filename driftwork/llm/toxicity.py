@@ -356,6 +356,7 @@ def with_evidence(docs: DataFrame, model: Model, keep: list[str] | None = None,
     rows = S.Carried(docs, keep, text_col, "total double, n_tokens long, score double")
 
     def run(batches):
+        S.lean()
         m = shared.value
         for batch, data, at in T.blocks(batches, rows.text):
             total, n = m.evidence(data, at)
@@ -374,6 +375,7 @@ def toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None, text_
     rows = S.Carried(docs, keep, text_col, "toxic_score double, toxic int")
 
     def run(batches):
+        S.lean()
         m = shared.value
         for batch, data, at in T.blocks(batches, rows.text):
             score = m.score(*m.evidence(data, at))
