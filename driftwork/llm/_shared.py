@@ -11,7 +11,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -120,6 +121,58 @@ class Carried:
         return {k: v for k, v in self.__dict__.items() if k != "rows"}
 
 
+def running(rows: DataFrame, group: str, deal: list, order: list, sums: dict | None = None, xors: dict | None = None, keep: list[str] | None = None) -> tuple[DataFrame, str]:
+    """rows with running sums and exclusive-ors of long columns within each group (a long column) in this order, the row itself included, and the path of their table.
+
+    sums, xors: name of a column by name of its result. keep: columns that are needed beyond the sorting (all by default). Rows are dealt by ranges of group and deal, so that a group of any size is shared by
+    tasks; a task runs over its sorted rows, a block at a time. A group that began in tasks before is completed by what those have of
+    it: only a task's first group can be such, so that is at most a row for each task. deal must follow order (its first columns, or beginnings of them).
+    """
+    sums, xors = sums or {}, xors or {}
+    given = keep or rows.columns
+    made = StructType([*rows.select(*given).schema, *StructType.fromDDL(", ".join([*(f"{n} long" for n in (*sums, *xors)), "__part int, __first boolean"]))])
+    sources = [*(given.index(c) for c in sums.values()), *(given.index(c) for c in xors.values())]
+    at = given.index(group)
+
+    def run(batches):
+        part, first, before, carry = TaskContext.get().partitionId(), None, None, [0] * len(sources)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key = batch.column(at).to_numpy(zero_copy_only=False)
+            first = key[0] if first is None else first
+            new = np.append(True, key[1:] != key[:-1])
+            begin = np.flatnonzero(new)
+            which, follows, out = np.cumsum(new) - 1, key == before, []
+            for k, c in enumerate(sources):
+                x = batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                if k < len(sums):
+                    total = np.cumsum(x)
+                    total = total - (total[begin] - x[begin])[which]
+                    total[follows] += carry[k]
+                else:
+                    total = np.bitwise_xor.accumulate(x)
+                    total = total ^ (total[begin] ^ x[begin])[which]
+                    total[follows] ^= carry[k]
+                carry[k] = total[-1]
+                out.append(pa.array(total))
+            before = key[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out, pa.array(np.full(n, part, np.int32)), pa.array(key == first)], names=made.names)
+
+    dealt = rows.repartitionByRange(partitions(rows.sparkSession), group, *deal).sortWithinPartitions(group, *order).select(*given)
+    held, path = written(dealt.mapInArrow(run, made), "running")
+    # a task's share of each group that some task begins with, and what the tasks before have of it
+    shared = held.where("__first").select(group).distinct()
+    shares = held.join(F.broadcast(shared), group).groupBy(group, "__part").agg(*(F.sum(c).alias(n) for n, c in sums.items()), *(F.bit_xor(c).alias(n) for n, c in xors.items()))
+    earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    due = shares.select(group, "__part", *(F.sum(n).over(earlier).alias(f"__{n}") for n in sums), *(F.bit_xor(n).over(earlier).alias(f"__{n}") for n in xors)).dropna()
+    due, _ = written(due, "due")
+    full = held.join(F.broadcast(due), [group, "__part"], "left")  # at most a row for each task
+    add = lambda n: F.coalesce(F.col(f"__{n}"), F.lit(0).cast("long"))
+    return full.select(*given, *((F.col(n) + add(n)).alias(n) for n in sums), *(F.col(n).bitwiseXOR(add(n)).alias(n) for n in xors)), path
+
+
 def local_path(url: str) -> str | None:
     """The path of a mounted shared folder, None where it needs a remote filesystem."""
     if url.startswith("file:"):

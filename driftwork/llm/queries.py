@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from driftwork.llm import _shared as S
 from driftwork.llm import chat_format as _chat
 from driftwork.llm import license_scan as _license
+from driftwork.llm import prefix_trie as _trie
+from driftwork.llm import spelling_variants as _spelling
 
 
 def op7_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +88,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_bpe_codec, op3_license_scan, op4_toxicity, op5_decontaminate, op6_language_id, op7_vector_join, op8_jaccard_join, op9_chat_format, op10_token_shards)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelling.spelling_variants(S.table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op3_license_scan": _license.ORACLE, "op9_chat_format": _chat.ORACLE}
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from driftwork.llm.packing import packed
+
+    return packed(S.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=1024, end=0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trie.prefix_trie(*_trie.rebased(_trie.numbered(S.table(spark, sf_dir, "conversations")), every=20, most=4))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_bpe_codec, op3_license_scan, op4_toxicity, op5_decontaminate, op6_language_id, op7_vector_join, op8_jaccard_join, op9_chat_format, op10_token_shards, op11_spelling_variants, op12_packing, op13_prefix_trie)}
+
+ORACLES: dict[str, str] = {"op3_license_scan": _license.ORACLE, "op9_chat_format": _chat.ORACLE, "op11_spelling_variants": _spelling.ORACLE, "op13_prefix_trie": _trie.ORACLE}

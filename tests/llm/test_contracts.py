@@ -57,10 +57,12 @@ def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    a, b = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLES[name]).df()
-    assert sorted(a.columns) == sorted(b.columns)
-    key = lambda d: sorted(tuple(repr(round(float(v), 9)) if isinstance(v, float) else str(v) for v in r) for r in d[sorted(d.columns)].astype(object).itertuples(index=False, name=None))
-    assert key(a) == key(b) and len(a)
+    found, wanted = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLES[name])
+    names = sorted(found.columns)
+    assert names == sorted(wanted.columns)
+    key = lambda rows: sorted(tuple(repr(round(v, 9)) if isinstance(v, float) else str(v) for v in r) for r in rows)
+    a, b = key(found.select(names).collect()), key(wanted.select(", ".join(names)).fetchall())
+    assert a == b and len(a)
 
 
 def test_op4(spark, crc):
