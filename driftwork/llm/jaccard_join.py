@@ -5,15 +5,18 @@ dealt to clusters that surely hold both sides of every link: tokens are dealt to
 similarity of t or more differ in at most h = (1-t)/(1+t)(|x|+|y|) tokens, at least m-h parts are equal. Parts of one
 token or none say little, and a pair of which one side has at most e = m-h-1 of those still has a larger part in common. So only larger
 parts are emitted; a set with more than e small ones emits its larger parts under another dealing too, and so on, and one that
-has too many under every dealing emits the small parts of the last one as well. A task joins the documents that share a signature among its own first, and sends on one for each of their components. Tokens that a bounded sample of the texts shows to be common
+has too many under every dealing also emits its prefix: of all tokens in one order, common ones last, the first |x| - ceil(t |x|) + 1, among which
+two such sets that link have their first common token. A task joins the documents that share a signature among its own first, and sends on one for each of their components. Tokens that a bounded sample of the texts shows to be common
 (passages that many documents share) do not count for a part's size; what is in the sample moves work, never results, since a part
 is small or not by its content alone.
 Within a cluster a signature tree (OR-combined token bitmaps and size ranges) is joined with itself by dual traversal, which
 drops node pairs whose largest possible overlap is too small; what remains is counted exactly on the whole sets. Links within
 a component that is known already are not counted again, so a group of k near copies costs about k counts.
 
-Large clusters are cut into blocks; each block also holds the cluster's first document, so that near copies join through it, and
-only documents outside the largest component of their cluster meet the other blocks.
+Large clusters are cut into blocks; each block also holds the cluster's first document, so that near copies join through it. What is then
+outside the largest component of its cluster meets the other blocks, if that is no more than a block of documents. Where it is more
+(unlike documents in a chain of equal parts), the cluster is dealt anew by signatures: those that documents of several components share
+make groups, so a document meets only documents that it has an equal part with, and the rows grow with the documents.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ SAMPLE, COMMON, MOST_COMMON = 3000, 4, 500_000
 TOKENS, SIGNATURES = 1_000_000, 1_500_000
 #: Signatures, as far as a sample tells their number, that meet in one task.
 MEET = 3_000_000
+#: Meetings whose star forest leaves a task at once.
+ROWS = 10_000
 #: Members of a cluster that one task joins at once.
 BLOCK = 256
 #: Documents in clusters up to which their ids are broadcast (8 bytes each); beyond, the texts are shuffled to them.
@@ -132,17 +137,21 @@ def _parts(key: np.ndarray, doc: np.ndarray, sizes: np.ndarray, classes: np.ndar
                 owner, part = slot // m, slot % m
                 sig = T.mix(total + T.mix(part.astype(np.uint64) * _KEY + salt) + size.astype(np.uint64))
                 loose = m - np.bincount(owner, count > small, len(todo)).astype(np.int64) > e
-                keep = (count > small) | (loose[owner] & (seed == SEEDS - 1))
+                keep = count > small
                 found.append(sig[keep])
                 who.append(sets[todo[owner[keep]]])
                 if not loose.any():
                     break
-                if seed == SEEDS - 1:  # the empty parts too
-                    there = np.zeros((len(todo), m), bool)
-                    there[owner, part] = True
-                    o, p = np.nonzero(~there & loose[:, None])
-                    found.append(T.mix(T.mix(p.astype(np.uint64) * _KEY + salt)))
-                    who.append(sets[todo[o]])
+                if seed == SEEDS - 1:  # the prefix
+                    stay = loose[which]
+                    mine, own = which[stay], T.mix(tokens[stay] ^ salt)
+                    order = np.lexsort((own, counts[stay] == 0, mine))
+                    mine, own = mine[order], own[order]
+                    size = np.bincount(mine, minlength=len(todo))
+                    place = np.arange(len(mine)) - (np.cumsum(size) - size)[mine]
+                    keep = place < (size - (-(-size * scheme.t.numerator // scheme.t.denominator)) + 1)[mine]
+                    found.append(T.mix(own[keep] + _KEY))
+                    who.append(sets[todo[mine[keep]]])
                 stay = loose[which]
                 tokens, counts, which = tokens[stay], counts[stay], (np.cumsum(loose) - 1)[which[stay]]
                 todo = todo[loose]
@@ -273,8 +282,8 @@ def _common(size: int):
 
 
 def _meet(batches):
-    """A shard's digests and signatures: the smallest document of each meets the others. What they join leaves as a star forest, at most
-    one row for a document, however many signatures it shares and with however many others."""
+    """A shard's digests and signatures: the smallest document of each meets the others. What ROWS of these join leaves as a star forest: a
+    row for a document and signature at most, and with more documents there are more of them for each forest, so the rows grow with the documents."""
     S.lean()
     digests, sigs = [], []
     for batch in batches:
@@ -292,8 +301,35 @@ def _meet(batches):
         parts.clear()
         ids = value[-2 if kind == _SAME else -1].view(np.int64)
         order, new, head = _stars((key, value[0], value[2]) if kind == _SAME else (key,), ids)
-        b, a = S.contracted(ids[order[~new]], ids[order[head[~new]]])
-        yield _rows(a * 0, kind, *((b, a) if kind == _SAME else (a, b)))
+        b, a = ids[order[~new]], ids[order[head[~new]]]
+        for k in range(0, len(b), ROWS):
+            y, x = S.contracted(b[k : k + ROWS], a[k : k + ROWS])
+            yield _rows(x * 0, kind, *((y, x) if kind == _SAME else (x, y)))
+
+
+def _signed(percent: int, common: np.ndarray):
+    """(sig, doc_id, m) of sets (doc_id, m, tokens): their signatures."""
+
+    def run(batches):
+        S.lean()
+        scheme = Scheme(percent)
+        for batch in batches:
+            at, size = 0, batch.num_rows
+            while at < size:
+                keys, held = [], 0
+                begin = at
+                while at < size and (held < TOKENS or at == begin):
+                    keys.append(np.frombuffer(batch.column(2)[at].as_buffer(), np.uint64))
+                    held += len(keys[-1])
+                    at += 1
+                n = np.array([len(k) for k in keys], np.int64)
+                sig, who = _parts(np.concatenate(keys), np.repeat(np.arange(len(keys)), n), n, scheme.of(np.maximum(n, 1)), scheme, common)
+                order, new, _ = _stars((sig, who), who)  # a set's dealings may repeat a signature
+                sig, who = sig[order[new]], who[order[new]]
+                ids, m = (batch.column(k).to_numpy(zero_copy_only=False)[begin:at][who] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(ids), pa.array(m)], names=["sig", "doc_id", "m"])
+
+    return run
 
 
 def _unpacked(batches):
@@ -304,13 +340,14 @@ def _unpacked(batches):
 
 
 def _sets(size: int):
-    """(cluster, block, of, doc_id, set) of the documents of clusters; a block's own documents have of = 0."""
+    """(cluster, block, of, doc_id, m, set) of the documents of clusters; of: a guest of this block; m: what is known of its component."""
 
     def run(batches):
         for batch, data, at in T.blocks(batches):
             doc, key = shingles(T.Words(data, at), size)
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             keep = {n: batch.column(batch.schema.get_field_index(n)) for n in ("cluster", "blocks", "block", "of", "doc_id")}
+            keep["m"] = keep["doc_id"]
             yield pa.RecordBatch.from_arrays([*keep.values(), pa.array([key[i:j].tobytes() for i, j in zip(first, first[1:], strict=False)], pa.binary())], names=[*keep, "tokens"])
 
     return run
@@ -411,7 +448,7 @@ def tree_join(sets: list[np.ndarray], own: np.ndarray, other: np.ndarray | None,
 
 
 def _join(percent: int):
-    """Links within each (cluster, block), of sorted rows: as stars of the documents of one component."""
+    """Links within each (cluster, block), of sorted rows: as stars of the documents of one component. What is known to be one component is not counted again."""
 
     def solve(group):
         ids = np.array([g[0] for g in group], np.int64)
@@ -419,6 +456,9 @@ def _join(percent: int):
         order = order[np.append(True, np.diff(ids[order]) != 0)]
         ids, group = ids[order], [group[i] for i in order]
         sets, forest = [g[2] for g in group], Forest(len(group))
+        known: dict[int, int] = {}
+        for i, g in enumerate(group):
+            forest.join(known.setdefault(g[3], i), i)
         digest: dict[bytes, int] = {}
         rest = []
         for i, s in enumerate(sets):
@@ -446,7 +486,7 @@ def _join(percent: int):
         now, group = None, []
         a, b = [], []
         for batch in batches:
-            cluster, block, doc, of = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("cluster", "block", "doc_id", "of"))
+            cluster, block, doc, of, m = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("cluster", "block", "doc_id", "of", "m"))
             tokens = batch.column(batch.schema.get_field_index("tokens"))
             for i in range(batch.num_rows):
                 if (cluster[i], block[i]) != now:
@@ -454,7 +494,7 @@ def _join(percent: int):
                         for out, x in zip((a, b), solve(group), strict=True):
                             out.append(x)
                     now, group = (cluster[i], block[i]), []
-                group.append((doc[i], of[i], np.frombuffer(tokens[i].as_py(), np.uint64)))
+                group.append((doc[i], of[i], np.frombuffer(tokens[i].as_py(), np.uint64), m[i]))
         if len(group) > 1:
             for out, x in zip((a, b), solve(group), strict=True):
                 out.append(x)
@@ -467,6 +507,26 @@ def _grouped(sets: DataFrame, percent: int) -> DataFrame:
     return sets.repartition(S.partitions(sets.sparkSession), "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_join(percent), "a long, b long")
 
 
+def _guests(wide: DataFrame) -> DataFrame:
+    """Rows of clusters in blocks, and of each document outside its cluster's main component one for every block."""
+    guests = wide.where("m <> main").dropDuplicates(["cluster", "doc_id"]).withColumns({"of": F.lit(True), "block": F.explode(F.expr("sequence(0, blocks - 1)"))})
+    names = ["cluster", "block", "of", "doc_id", "m", "tokens"]
+    return wide.select(names).unionByName(guests.select(names))
+
+
+def _by_signature(wide: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
+    """Rows of the groups of documents that share a signature, where they are of several components. A group of more than a block is cut into blocks;
+    what is outside its largest component meets them all."""
+    sets, _ = S.written(wide.dropDuplicates(["doc_id"]).select("doc_id", "m", "tokens"), "wide")
+    rows, _ = S.written(sets.mapInArrow(_signed(percent, common), "sig long, doc_id long, m long"), "signed")
+    count = rows.groupBy("sig", "m").count().groupBy("sig").agg(F.max_by("m", F.struct("count", "m")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(count.select(F.col("sig"), "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sig")
+    rows = rows.withColumnRenamed("sig", "cluster").withColumns({"block": F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"), "of": F.lit(False)})
+    guests = rows.where("blocks > 1 and m <> main").withColumns({"of": F.lit(True), "block": F.explode(F.expr("sequence(0, blocks - 1)"))})
+    names = ["cluster", "block", "of", "doc_id", "m"]
+    return rows.select(names).unionByName(guests.select(names)).join(sets.select("doc_id", "tokens"), "doc_id")
+
+
 def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose sets of distinct word shingles have a Jaccard similarity of percent/100 or more.
 
@@ -496,19 +556,19 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
     n = member.count()
     dealt = member.withColumn("block", F.expr("if(doc_id = cluster, sequence(0, blocks - 1), array(cast(pmod(xxhash64(doc_id), blocks) as int)))")).select("cluster", "blocks", F.explode("block").alias("block"), F.lit(False).alias("of"), "doc_id")
     dealt = dealt if n > BROADCAST_ROWS else F.broadcast(dealt)
-    sets, sets_path = S.written(rows.join(dealt, "doc_id").mapInArrow(_sets(shingle), "cluster long, blocks int, block int, of boolean, doc_id long, tokens binary"), "sets")
+    sets, sets_path = S.written(rows.join(dealt, "doc_id").mapInArrow(_sets(shingle), "cluster long, blocks int, block int, of boolean, doc_id long, m long, tokens binary"), "sets")
     links, links_path = S.written(_grouped(sets, percent), "links")
     if member.where("blocks > 1").limit(1).count():
-        # what is not in the largest component of a large cluster meets the cluster's other blocks
         part, part_path = S.components(links)
-        wide = sets.where("blocks > 1")
+        wide = sets.where("blocks > 1").drop("m")
         own = wide.select("cluster", "doc_id").distinct().join(part.select(F.col("v").alias("doc_id"), "m"), "doc_id", "left").withColumn("m", F.coalesce("m", "doc_id"))
-        sizes = own.groupBy("cluster", "m").count().groupBy("cluster").agg(F.max_by("m", F.struct("count", "m")).alias("main"))
-        minor = own.join(sizes, "cluster").where("m <> main").select("cluster", "doc_id")
-        guests = wide.join(minor, ["cluster", "doc_id"], "left_semi").dropDuplicates(["cluster", "doc_id"])
-        guests = guests.withColumns({"of": F.lit(True), "block": F.explode(F.expr("sequence(0, blocks - 1)"))})
-        if guests.limit(1).count():
-            more, more_path = S.written(_grouped(wide.unionByName(guests), percent), "links")
+        main = own.groupBy("cluster", "m").count().groupBy("cluster").agg(F.max_by("m", F.struct("count", "m")).alias("main"), (F.sum("count") - F.max("count")).alias("minor"))
+        own, _ = S.written(own.join(main, "cluster"), "own")
+        wide = wide.join(own, ["cluster", "doc_id"])
+        # up to a block of documents outside the largest component meet all other blocks; more of them go by their signatures
+        for r in own.where("minor > 0").select((F.col("minor") > BLOCK).alias("many")).distinct().collect():
+            again = _by_signature(wide.where(f"minor > {BLOCK}"), percent, common) if r.many else _guests(wide.where(f"minor > 0 and minor <= {BLOCK}"))
+            more, _ = S.written(_grouped(again, percent), "links")
             links = links.unionByName(more)
         S.drop(spark, part_path)
     found, _ = S.components(links.unionByName(same))

@@ -285,6 +285,62 @@ def test_jaccard_large_cluster(spark, monkeypatch):
     assert jaccard_join.jaccard_join(docs(spark).limit(0)).count() == 0
 
 
+def test_unlike_documents_in_a_chain(spark, monkeypatch):
+    """Texts that each share words with the next ones only, so that equal parts close them all to one cluster: rows of sets grow with the
+    number of texts, no group is much above a block, and the few links among them are found."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    seen = {}
+    for n in (300, 600):
+        made = {}
+
+        def written(df, tag, keep=jaccard_join.S.written.__wrapped__ if hasattr(jaccard_join.S.written, "__wrapped__") else jaccard_join.S.written, made=made):
+            found = keep(df, tag)
+            made.setdefault(tag, []).append(found[0].count())
+            return found
+
+        grouped = []
+        monkeypatch.setattr(jaccard_join.S, "written", written)
+        original = jaccard_join._grouped
+        monkeypatch.setattr(jaccard_join, "_grouped", lambda sets, percent, f=original, g=grouped: (g.append(sets.groupBy("cluster", "block").count().agg({"count": "sum"}).first()[0]), g.append(sets.groupBy("cluster", "block").count().agg({"count": "max"}).first()[0]), f(sets, percent))[-1])
+        texts = [" ".join(f"w{10 * k + j}" for j in range(100)) for k in range(n)]
+        copies = {n + c: k for c, k in enumerate(range(5, n, 40))}
+        texts += [f"{texts[k]} more" for k in copies.values()]
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs(spark, texts), 4, 85).collect()}
+        monkeypatch.undo()
+        monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+        assert got == {i: copies.get(i, i) for i in range(len(texts))}
+        seen[n] = sum(grouped[::2]), max(grouped[1::2])
+    assert seen[600][0] < 2.3 * seen[300][0] and seen[600][1] < 4 * 32, seen
+
+
+def test_documents_of_common_words(monkeypatch):
+    """Sets that are mostly common tokens: those that link share a signature, by their prefixes where every dealing leaves too many small parts."""
+    monkeypatch.setattr(jaccard_join, "SEEDS", 1)
+    rng = np.random.default_rng(4)
+    common = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
+    sets = []
+    for n in (20, 60, 150):
+        for _ in range(12):
+            base = [*rng.choice(common, int(0.8 * n), replace=False), *rng.integers(0, 2**63, n - int(0.8 * n)).astype(np.uint64)]
+            for k in (0, 1, 3):
+                sets.append(np.unique(np.array([*base[k:], *rng.integers(0, 2**63, k // 2).astype(np.uint64)], np.uint64)))
+    sizes = np.array([len(x) for x in sets])
+    scheme = jaccard_join.Scheme(85)
+    sig, who = jaccard_join._parts(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes, scheme.of(sizes), scheme, common)
+    held = defaultdict(set)
+    for x, i in zip(sig.tolist(), who.tolist()):
+        held[i].add(x)
+    linked = alike = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if jaccard_join.linked(sets[i], sets[j], 85) and not np.array_equal(sets[i], sets[j]):
+                linked += 1
+                assert held[i] & held[j]
+            elif held[i] & held[j]:
+                alike += 1
+    assert linked >= 36 and alike < linked
+
+
 def test_meetings_grow_with_the_documents(spark):
     """However many near copies a group has, a task leaves one row for each at most."""
     base = [f"w{i}" for i in range(120)]
