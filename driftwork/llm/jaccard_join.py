@@ -519,7 +519,10 @@ def _by_signature(wide: DataFrame, percent: int, common: np.ndarray) -> DataFram
     what is outside its largest component meets them all."""
     sets, _ = S.written(wide.dropDuplicates(["doc_id"]).select("doc_id", "m", "tokens"), "wide")
     rows, _ = S.written(sets.mapInArrow(_signed(percent, common), "sig long, doc_id long, m long"), "signed")
-    count = rows.groupBy("sig", "m").count().groupBy("sig").agg(F.max_by("m", F.struct("count", "m")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    xor = [lambda c, n=n: F.bit_xor(c).alias(n) for n in "xy"]
+    each = rows.groupBy("sig", "m").agg(F.count("*").alias("count"), *(f(F.xxhash64("doc_id", F.lit(k))) for k, f in enumerate(xor)))
+    count = each.groupBy("sig").agg(F.max_by("m", F.struct("count", "m")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("parts"), *(f(c) for c, f in zip("xy", xor, strict=True))).where("parts > 1")
+    count = count.groupBy("x", "y", "size").agg(F.min("sig").alias("sig"), F.min("main").alias("main"))  # of groups with the same documents one is enough
     rows = rows.join(count.select(F.col("sig"), "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sig")
     rows = rows.withColumnRenamed("sig", "cluster").withColumns({"block": F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"), "of": F.lit(False)})
     guests = rows.where("blocks > 1 and m <> main").withColumns({"of": F.lit(True), "block": F.explode(F.expr("sequence(0, blocks - 1)"))})
