@@ -82,22 +82,26 @@ class DetectorConfig:
 
 @dataclass(frozen=True)
 class RunConfig:
-    """Settings of a whole run: what is read and written, and how it is drawn."""
+    """Settings of a whole run: what is read and written, and how it is drawn. Tables are folders with a part for each video."""
 
     model_path: str = ""
     video_path: str = ""
-    raw_path: str = "output/output_tracks.csv"
-    tracks_path: str = "output/output_tracks_reid.csv"
-    interpolated_path: str = "output/output_tracks_reid_interp.csv"
+    raw_path: str = "driftwork/detections"
+    tracks_path: str = "driftwork/tracks"
+    interpolated_path: str = "driftwork/filled"
     use_existing: bool = False
     overwrite_raw: bool = True
     interpolate: bool = True
     trails: bool = False
     trail_length: int = 30
+    frames_per_task: int = 256
+    report_every: int = 100
 
     def __post_init__(self):
         if not 1 <= self.trail_length <= 100:
             raise ValueError("trail_length must be within 1..100")
+        if self.frames_per_task < 1 or self.report_every < 1:
+            raise ValueError("frames_per_task and report_every must be 1 or more")
 
     def checked(self) -> RunConfig:
         """Itself; an error where a run could not begin."""

@@ -7,9 +7,15 @@ import numpy as np
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """min(rows, columns) pairs of least total cost, in row order."""
+    return solved(cost)[:2]
+
+
+def solved(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs, and potentials of rows and of columns that prove them: no pair costs less than the sum of its two potentials, a chosen pair
+    costs just that, and of the longer side no potential is above 0 and those without a partner are 0. So no choice of as many pairs is cheaper."""
     cost = np.asarray(cost, float)
     if cost.size == 0:
-        return np.empty(0, int), np.empty(0, int)
+        return np.empty(0, int), np.empty(0, int), np.zeros(cost.shape[0]), np.zeros(cost.shape[1] if cost.ndim > 1 else 0)
     turned = cost.shape[0] > cost.shape[1]
     c = cost.T if turned else cost
     n, m = c.shape
@@ -45,4 +51,4 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     columns = np.flatnonzero(owner >= 0)
     rows, columns = (columns, owner[columns]) if turned else (owner[columns], columns)
     order = np.argsort(rows)
-    return rows[order], columns[order]
+    return rows[order], columns[order], *((v, u) if turned else (u, v))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwork.config import CleanConfig
@@ -21,11 +21,6 @@ def drop_untracked(points: DataFrame) -> DataFrame:
     return points.where("track_id <> -1")
 
 
-def finite(points: DataFrame) -> DataFrame:
-    """Points whose coordinates are numbers; what compares falsely is kept out before any gate."""
-    return points.where("not isnan(x) and not isnan(y) and abs(x) < double('infinity') and abs(y) < double('infinity')")
-
-
 def dedup_leaders(points: DataFrame, eps: float) -> DataFrame:
     """Leader clustering of each frame in order: a point joins the first leader within eps, else leads.
 
@@ -33,6 +28,12 @@ def dedup_leaders(points: DataFrame, eps: float) -> DataFrame:
     Pure expressions: one fold over the frame's points.
     """
     nested = frame_arrays(points.select("video_id", "frame", "ord", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), F.col("conf").cast("float").alias("conf"), F.col("track_id").cast("int").alias("track_id")))
+    rows = nested.withColumn("c", leaders(F.col("dets"), eps)).select("video_id", "frame", F.posexplode("c").alias("ord", "p"))
+    return rows.select("video_id", "frame", F.col("ord").cast("long").alias("ord"), F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"), F.col("p.conf").alias("conf"), F.col("p.track_id").alias("track_id"))
+
+
+def leaders(points: Column, eps: float) -> Column:
+    """The clusters of an array of points (x, y, conf: float, track_id: int), in order, each with its leader's place (lx, ly) and its best member."""
     kind = "array<struct<lx:float,ly:float,x:float,y:float,conf:float,track_id:int>>"
 
     def fold(held, p):
@@ -49,9 +50,7 @@ def dedup_leaders(points: DataFrame, eps: float) -> DataFrame:
         # an array of one binds the place, so that it is found once for each point
         return F.get(F.transform(F.array(F.array_position(F.transform(held, near), True).cast("int")), put), 0)
 
-    clusters = nested.withColumn("c", F.aggregate("dets", F.array().cast(kind), fold))
-    rows = clusters.select("video_id", "frame", F.posexplode("c").alias("ord", "p"))
-    return rows.select("video_id", "frame", F.col("ord").cast("long").alias("ord"), F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"), F.col("p.conf").alias("conf"), F.col("p.track_id").alias("track_id"))
+    return F.aggregate(points, F.array().cast(kind), fold)
 
 
 def top_by_confidence(points: DataFrame, k: int) -> DataFrame:
@@ -64,3 +63,17 @@ def clean(points: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
     """Tracked points, and with dedup one for each cluster and the top k."""
     points = drop_untracked(points)
     return top_by_confidence(dedup_leaders(points, config.eps), config.top_k) if config.dedup else points
+
+
+def clean_frames(boxes: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
+    """frames(video_id, frame, dets array<struct<ord, x, y, conf, track_id>>) of boxes(video_id, frame, boxes): what box_centroids and clean give, within
+    each row, so that it holds for streams. Every frame has a row."""
+    middle = lambda a, b, side: ((b[f"{side}1"].cast("double") + b[f"{side}2"].cast("double")) / F.lit(2.0)).cast(a)
+    size = "float" if config.dedup else "double"
+    points = F.transform("boxes", lambda b, i: F.struct(i.cast("long").alias("ord"), middle(size, b, "x").alias("x"), middle(size, b, "y").alias("y"), b["conf"].cast("float").alias("conf"), F.coalesce(b["track_id"], F.lit(-1)).alias("track_id")))
+    points = F.filter(points, lambda p: p["track_id"] != -1)
+    whole = lambda p, i: F.struct(i.cast("long").alias("ord"), p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"), p["conf"].alias("conf"), p["track_id"].alias("track_id"))
+    if not config.dedup:
+        return boxes.select("video_id", "frame", points.alias("dets"))
+    ranked = F.array_sort(F.transform(leaders(points, config.eps), lambda p, i: F.struct((-p["conf"]).alias("m"), i.alias("i"), *(p[k].alias(k) for k in ("x", "y", "conf", "track_id")))))
+    return boxes.select("video_id", "frame", F.transform(F.slice(ranked, 1, config.top_k), whole).alias("dets"))

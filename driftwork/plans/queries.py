@@ -252,6 +252,36 @@ def reid_damped_n10(spark: SparkSession, d: str) -> DataFrame:
     return _reid(spark, d, "damped_velocity", 10)
 
 
+def certified_sql(objects: int, damped: bool) -> str:
+    """Every step after the start frame, with nothing broken; damped tracks step through empty frames too."""
+    spine = "SELECT video_id, unnest(range(f0 + 1, f1 + 1)) AS frame FROM st" if damped else "SELECT DISTINCT video_id, frame FROM fx JOIN st USING (video_id) WHERE frame > f0"
+    broken = ", ".join(f"0::BIGINT AS {c}" for c in ("dear", "unpaid", "positive", "unmatched", "drifted", "wrong"))
+    return f"""WITH {SQL},
+st AS (SELECT video_id, min(frame) FILTER (n >= {objects}) AS f0, max(frame) AS f1 FROM (SELECT video_id, frame, count(*) AS n FROM fx GROUP BY ALL) GROUP BY video_id HAVING f0 IS NOT NULL),
+s AS ({spine})
+SELECT s.video_id, s.frame, count(fx.ord) AS detections, {broken} FROM s LEFT JOIN fx USING (video_id, frame) GROUP BY ALL"""
+
+
+def _certified(spark, d, predictor):
+    config = ReidConfig(objects=10, predictor=predictor)
+    return reid.violations(reid.certificates(_D(spark, d), config), reid.reid(_D(spark, d), config, strict=False), config)
+
+
+@_query(certified_sql(10, False))
+def certified_constant_velocity_n10(spark: SparkSession, d: str) -> DataFrame:
+    return _certified(spark, d, "constant_velocity")
+
+
+@_query(certified_sql(10, False))
+def certified_last_position_n10(spark: SparkSession, d: str) -> DataFrame:
+    return _certified(spark, d, "last_position")
+
+
+@_query(certified_sql(10, True))
+def certified_damped_n10(spark: SparkSession, d: str) -> DataFrame:
+    return _certified(spark, d, "damped_velocity")
+
+
 def _meta(spark, d):
     videos = _D(spark, d).select("video_id").distinct()
     return videos.select("video_id", F.lit(30.0).alias("fps"), F.lit(500).alias("frame_w"), F.lit(500).alias("frame_h"), F.lit(720).cast("long").alias("total_frames"))

@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from driftwork import schema
 from driftwork.config import DetectorConfig
+from driftwork.sources import models
 
 
 def _decoder(name: str):
@@ -47,8 +48,35 @@ class _Frames(DataSourceReader):
                 yield self.video, partition.first + k, bytes(image)
 
 
+class _FrameStream(DataSourceStreamReader):
+    """Offsets are frame numbers: a micro-batch has the frames from the last one's end to what the decoder now tells that there are."""
+
+    def __init__(self, options):
+        self.frames = _Frames(options)
+
+    def initialOffset(self):
+        return {"frame": 0}
+
+    def latestOffset(self):
+        return {"frame": int(_decoder(self.frames.decoder).probe(self.frames.path)[3] or 0)}
+
+    def partitions(self, start, end):
+        first, stop = start["frame"], end["frame"]
+        size = self.frames.size or max(1, stop - first)
+        return [_Range(i, min(i + size, stop)) for i in range(first, stop, size)]
+
+    def read(self, partition):
+        return self.frames.read(partition)
+
+    def commit(self, end):
+        pass
+
+
 class FrameSource(DataSource):
-    """format("driftwork_frames") with options path, decoder, video_id, frames_per_partition; partitions are ranges of frames, 0: the whole video."""
+    """format("driftwork_frames") with options path, decoder, video_id, frames_per_partition; partitions are ranges of frames, 0: the whole video.
+
+    As a stream, the video may grow: what the decoder's probe tells as the number of frames is there to be read.
+    """
 
     @classmethod
     def name(cls):
@@ -60,6 +88,9 @@ class FrameSource(DataSource):
     def reader(self, schema):
         return _Frames(self.options)
 
+    def streamReader(self, schema):
+        return _FrameStream(self.options)
+
 
 class _Meta(DataSourceReader):
     def __init__(self, options):
@@ -90,6 +121,12 @@ def frames(spark: SparkSession, path: str, decoder: str, video_id: int = 0, fram
     return spark.read.format("driftwork_frames").options(path=path, decoder=decoder, video_id=str(video_id), frames_per_partition=str(frames_per_partition)).load()
 
 
+def frame_stream(spark: SparkSession, path: str, decoder: str, video_id: int = 0, frames_per_partition: int = 256) -> DataFrame:
+    """A stream of frames(video_id, frame, image) that goes on where its checkpoint ends."""
+    spark.dataSource.register(FrameSource)
+    return spark.readStream.format("driftwork_frames").options(path=path, decoder=decoder, video_id=str(video_id), frames_per_partition=str(frames_per_partition)).load()
+
+
 def video_meta(spark: SparkSession, path: str, decoder: str, video_id: int = 0) -> DataFrame:
     spark.dataSource.register(MetaSource)
     return spark.read.format("driftwork_video").options(path=path, decoder=decoder, video_id=str(video_id)).load()
@@ -115,29 +152,31 @@ def _boxes(found: list | None) -> list[dict]:
     return [dict(zip(_NAMES, b, strict=True)) for b in found or []]
 
 
-def detect(images: DataFrame, load: Callable[[], Callable], config: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """boxes(video_id, frame, boxes) of frames. load() makes a model once in each worker; it maps a list of images, with the settings of config as
-    keywords (confidence, iou, image_size, agnostic_nms, device, half), to lists of (x1, y1, x2, y2, conf, track_id or None)."""
+def detect(images: DataFrame, load: Callable[[], Callable], config: DetectorConfig = DetectorConfig(), counter=None) -> DataFrame:
+    """boxes(video_id, frame, boxes) of frames. load() makes a model; it maps a list of images, with the settings of config as
+    keywords (confidence, iou, image_size, agnostic_nms, device, half), to lists of (x1, y1, x2, y2, conf, track_id or None).
+
+    A worker holds the model from task to task, until it serves another loader; a closure is as good as a module's function. counter: an accumulator of frames done.
+    """
+    name = models.name_of(load)
 
     def run(batches: Iterator) -> Iterator:
-        model, settings = _MODELS.get(load), _settings(config)
+        settings = _settings(config)
         for pdf in batches:
-            model = model or _MODELS.setdefault(load, load())
+            model = models.held(name, load)
             yield pd.DataFrame({"video_id": pdf.video_id, "frame": pdf.frame, "boxes": [_boxes(b) for b in model(list(pdf.image), **settings)]})
+            if counter is not None:
+                counter.add(len(pdf))
 
     return images.mapInPandas(run, _BOXES)
 
 
-#: Models of this worker; a worker that serves several tasks loads each once.
-_MODELS: dict = {}
-
-
-def track(images: DataFrame, start: Callable[[str], Callable], config: DetectorConfig = DetectorConfig(), in_order: bool = False) -> DataFrame:
+def track(images: DataFrame, start: Callable[[str], Callable], config: DetectorConfig = DetectorConfig(), in_order: bool = False, counter=None) -> DataFrame:
     """boxes(video_id, frame, boxes) of frames by a detector that tracks: every frame has a row, empty ones too.
 
     start(config.tracker) makes a fresh tracker for each video; it is called with one image after the other, in frame order, with the settings
     as for detect, and keeps its state from frame to frame. in_order: the frames of a video already lie in one partition, in order
-    (frames(..., frames_per_partition=0)), so that no image is shuffled.
+    (frames(..., frames_per_partition=0)), so that no image is shuffled. counter: an accumulator of frames done.
     """
     rows = images.select("video_id", "frame", "image")
     rows = rows if in_order else rows.repartition("video_id").sortWithinPartitions("video_id", "frame")
@@ -151,18 +190,65 @@ def track(images: DataFrame, start: Callable[[str], Callable], config: DetectorC
                     video, tracker = v, start(config.tracker)
                 found.append(_boxes(tracker(image, **settings)))
             yield pd.DataFrame({"video_id": pdf.video_id, "frame": pdf.frame, "boxes": found})
+            if counter is not None:
+                counter.add(len(pdf))
 
     return rows.mapInPandas(run, _BOXES)
 
 
+def _drawn(marks: DataFrame, overlays: DataFrame) -> DataFrame:
+    """(video_id, frame, marks, texts): what is drawn on each frame, as JSON lists."""
+    lists = lambda df, name: df.groupBy("video_id", "frame").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*(c for c in df.columns if c not in ("video_id", "frame")))))).alias(name))
+    return lists(marks, "marks").join(lists(overlays, "texts"), ["video_id", "frame"], "full")
+
+
+def _listed(text: str | None) -> list[dict]:
+    return json.loads(text) if isinstance(text, str) else []
+
+
+def write_segments(marks: DataFrame, overlays: DataFrame, meta: DataFrame, paths: dict[int, str], decoder: str, start: Callable, frames_per_segment: int = 256) -> DataFrame:
+    """Write the videos of paths (by video_id) in segments, and return (video_id, segment, name); no image leaves the task that decodes it.
+
+    What is drawn is dealt by ranges of frames, and each task decodes its range itself and writes it as a segment of its own. start(video_id, segment, fps,
+    frame_w, frame_h) makes a segment's writer; write(image, marks, texts) gets each frame, whatever was found in it; close() ends it and gives the
+    segment's name. A task that fails half-way runs again, so start must begin its segment anew. The segments are written once the rows are read.
+    """
+    size = max(1, int(frames_per_segment))
+    spans = meta.select("video_id", "fps", "frame_w", "frame_h", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("total_frames") / size) - 1)).alias("segment"), "total_frames").where("total_frames > 0")
+    drawn = _drawn(marks, overlays).withColumn("segment", F.floor(F.col("frame") / size))
+    rows = spans.join(drawn, ["video_id", "segment"], "left")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf.iloc[0]
+        video, segment = int(head.video_id), int(head.segment)
+        first, stop = segment * size, min((segment + 1) * size, int(head.total_frames))
+        there = {int(f): (m, t) for f, m, t in zip(pdf.frame, pdf.marks, pdf.texts, strict=True) if f == f and f is not None}
+        writer = start(video, segment, float(head.fps), int(head.frame_w), int(head.frame_h))
+        for k, image in enumerate(_decoder(decoder).read(paths[video], first, stop)):
+            writer.write(bytes(image), *map(_listed, there.get(first + k, (None, None))))
+        return pd.DataFrame({"video_id": [video], "segment": [segment], "name": [str(writer.close())]})
+
+    return rows.groupBy("video_id", "segment").applyInPandas(write, "video_id long, segment long, name string")
+
+
+def join_segments(segments: DataFrame, join: Callable[[int, list[str]], str]) -> DataFrame:
+    """(video_id, name): join(video_id, names of its segments in order) makes one video of them; names only are moved."""
+    listed = segments.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment", "name"))), lambda s: s["name"]).alias("names"))
+
+    def run(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            yield pd.DataFrame({"video_id": pdf.video_id, "name": [str(join(int(v), list(names))) for v, names in zip(pdf.video_id, pdf.names, strict=True)]})
+
+    return listed.mapInPandas(run, "video_id long, name string")
+
+
 def write_videos(images: DataFrame, marks: DataFrame, overlays: DataFrame, meta: DataFrame, start: Callable) -> None:
     """Write each video of images with its marks (a draw list) and overlays, frames in order, whatever was found in them.
 
     start(video_id, fps, frame_w, frame_h) makes a video's writer; write(image, marks, texts) gets each frame with lists of rows as dicts, close()
     ends it. A task that fails half-way runs again, so start must begin the file anew.
     """
-    lists = lambda df, name: df.groupBy("video_id", "frame").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*(c for c in df.columns if c not in ("video_id", "frame")))))).alias(name))
-    drawn = lists(marks, "marks").join(lists(overlays, "texts"), ["video_id", "frame"], "full")
+    drawn = _drawn(marks, overlays)
     rows = images.select("video_id", "frame", "image").join(drawn, ["video_id", "frame"], "left").join(F.broadcast(meta.select("video_id", "fps", "frame_w", "frame_h")), "video_id")  # a row for each video
     rows = rows.repartition("video_id").sortWithinPartitions("video_id", "frame")
 
@@ -173,7 +259,7 @@ def write_videos(images: DataFrame, marks: DataFrame, overlays: DataFrame, meta:
                 if writer is not None:
                     writer.close()
                 video, writer = r.video_id, start(r.video_id, r.fps, r.frame_w, r.frame_h)
-            writer.write(bytes(r.image), *(json.loads(x) if x else [] for x in (r.marks, r.texts)))
+            writer.write(bytes(r.image), *map(_listed, (r.marks, r.texts)))
         if writer is not None:
             writer.close()
 

@@ -1,41 +1,61 @@
 """Stable identities over a stream of frames, with the batch tracker's state machine.
 
-The stream has one row for each frame, with its detections as an array (empty frames too), so a frame is whole by construction. State is the
-tracker of a video. Frames of a micro-batch are put in order; a frame at or before the last one is dropped.
+The stream has one row for each frame, with its detections as an array (empty frames too), so a frame is whole by construction. State is typed:
+a list with a row for each object of a video, and where the video is. So it can be read as a table (format "statestore") and outlives
+changes of the tracker's class. Frames of a micro-batch are put in order; a frame at or before the last one is dropped.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from driftwork.config import ReidConfig
-from driftwork.operators.reid import _TRACKS, Video
+from driftwork.operators.reid import _TRACKS, Tracker, Video
+from driftwork.streaming.state import use_rocksdb
 
+#: seen: the last frame that came; frame: the last one that the tracker stepped to, null until it has started.
+_PLACE = "seen long, frame long"
+_OBJECT = "x double, y double, before_x double, before_y double, vx double, vy double, miss long"
 
-def reid_stream(frames: DataFrame, config: ReidConfig = ReidConfig()) -> DataFrame:
-    """tracks from a stream of frames(video_id, frame, dets array<struct<ord, x, y, ...>>), in append mode.
 
-    Coordinates must be finite numbers, as in the batch. For damped_velocity every frame must come, since missing ones age the tracks; frames that are skipped within a micro-batch count as empty.
-    """
+class _Reid(StatefulProcessor):
+    def __init__(self, config: ReidConfig, tracker: type[Tracker]):
+        self.config, self.tracker = config, tracker
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        video, seen = pickle.loads(state.get[0]) if state.exists else (Video(config), None)
-        rows = pd.concat(list(batches)).sort_values("frame", kind="stable")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place, self.objects = handle.getValueState("place", _PLACE), handle.getListState("objects", _OBJECT)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        seen, frame = self.place.get() if self.place.exists() else (None, None)
+        held = [tuple(r) for r in self.objects.get()] if frame is not None else []
+        video = Video(self.config, self.tracker.of(self.config, frame, held))
         out = []
-        for frame, dets in zip(rows.frame, rows.dets, strict=True):
-            frame = int(frame)
-            if seen is not None and frame <= seen:
+        for r in pd.concat(list(rows)).sort_values("frame", kind="stable").itertuples(index=False):
+            now = int(r.frame)
+            if seen is not None and now <= seen:
                 continue
-            points = np.array([(d["x"], d["y"]) for d in sorted(dets, key=lambda d: d["ord"])], float).reshape(-1, 2)
-            out += [(int(key[0]), frame, *row) for row in video.feed(frame, points)]
-            seen = frame
-        state.update((pickle.dumps((video, seen)),))
+            points = np.array([(d["x"], d["y"]) for d in sorted(r.dets, key=lambda d: d["ord"])], float).reshape(-1, 2)
+            out += [(int(key[0]), now, *row) for row in video.feed(now, points)]
+            seen = now
+        self.place.update((seen, video.tracker.frame))
+        if video.tracker.started:
+            self.objects.put(video.tracker.rows())
         yield pd.DataFrame(out, columns=["video_id", "frame", "id", "x", "y"]).astype({"video_id": "int64", "frame": "int64", "id": "int32", "x": float, "y": float})
 
-    return frames.groupBy("video_id").applyInPandasWithState(step, _TRACKS, "tracker binary", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def reid_stream(frames: DataFrame, config: ReidConfig = ReidConfig(), tracker: type[Tracker] = Tracker) -> DataFrame:
+    """tracks from a stream of frames(video_id, frame, dets array<struct<ord, x, y, ...>>), in append mode.
+
+    Coordinates must be finite numbers, as in the batch. For damped_velocity every frame must come, since missing ones age the tracks; frames that are
+    skipped count as empty. tracker: another class with the same rows() and of(). Sets the session's state store to RocksDB.
+    """
+    use_rocksdb(frames.sparkSession)
+    return frames.select("video_id", "frame", "dets").groupBy("video_id").transformWithStateInPandas(_Reid(config, tracker), _TRACKS, "Append", "None")

@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from driftwork.config import ReidConfig
 from driftwork.functions import scalars
 from driftwork.operators import clean, draw, frames, reid, tracks
-from driftwork.operators.assignment import assign
+from driftwork.operators.assignment import assign, solved
 from driftwork.operators.reid import Tracker, run_video
 
 NUMBERS = st.one_of(st.integers(0, 6).map(float), st.just(1e6), st.floats(0, 100))
@@ -27,6 +28,45 @@ def test_solver_is_optimal(n, m, data):
     assert abs(c[i, j].sum() - best) < 1e-6
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 6), st.integers(1, 6), st.data())
+def test_potentials_prove_the_optimum(n, m, data):
+    c = np.array(data.draw(st.lists(st.lists(NUMBERS, min_size=m, max_size=m), min_size=n, max_size=n)))
+    i, j, u, v = solved(c)
+    assert ((u[:, None] + v[None]) <= c + 1e-6).all() and np.allclose(u[i] + v[j], c[i, j], atol=1e-6)
+    side, used = (u, i) if n > m else (v, j)
+    free = np.setdiff1d(np.arange(len(side)), used)
+    assert (side <= 1e-9).all() and (side[free] == 0).all() and abs(u.sum() + v.sum() - c[i, j].sum()) < 1e-5
+
+
+def broken(certificates, tracks, config):
+    rows = reid.violations(certificates, tracks, config)
+    names = ("dear", "unpaid", "positive", "unmatched", "drifted", "wrong")
+    return {k: v for k, v in rows.agg(*(F.sum(n).alias(n) for n in names)).first().asDict().items() if v}
+
+
+@pytest.mark.parametrize("predictor", ["constant_velocity", "last_position", "damped_velocity"])
+def test_certificates_hold_and_tell_what_is_wrong(spark, predictor):
+    rng = np.random.default_rng(2)
+    rows = [(v, f, k, *map(float, rng.random(2) * 200)) for v in (0, 7) for f in range(40) if f % 9 != 5 for k in range(rng.integers(0, 7) if f else 4)]
+    d = spark.createDataFrame(rows, "video_id long, frame long, ord long, x double, y double")
+    config = ReidConfig(objects=4, predictor=predictor, max_move=60)
+    found, proof = reid.reid(d, config).cache(), reid.certificates(d, config).cache()
+    assert broken(proof, found, config) == {} and proof.where("mate is not null").count() > 100
+    some = proof.where("side = 0 and mate is not null and potential is not null and frame > 20").orderBy("video_id", "frame", "k").first()
+    at = (F.col("video_id") == some.video_id) & (F.col("frame") == some.frame) & (F.col("side") == 0) & (F.col("k") == some.k)
+    changed = lambda **c: proof.withColumns({k: F.when(at, v).otherwise(F.col(k)) for k, v in c.items()})
+    assert broken(changed(potential=F.col("potential") + 5.0), found, config).keys() >= {"dear", "unpaid"}
+    assert broken(changed(potential=F.col("potential") - 5.0), found, config).keys() >= {"unpaid"}
+    assert broken(changed(mate=F.lit(None).cast("long")), found, config).keys() >= {"unmatched"}
+    assert broken(changed(mate=F.col("mate") + 1), found, config)
+    assert broken(changed(x=F.col("x") + 0.5), found, config).keys() >= {"drifted"}
+    # a track that takes another detection than the cheapest
+    assert broken(proof, found.withColumn("id", 3 - F.col("id")), config).keys() == {"wrong"}
+    assert broken(proof, found.where("frame <> 20 or id <> 2"), config).keys() <= {"wrong"}
+    assert reid.violations(reid.certificates(d.limit(0), config), found, config).count() == 0
+
+
 def test_solver_of_nothing():
     assert len(assign(np.empty((0, 3)))[0]) == 0
 
