@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftwork import shared
 from driftwork.config import ReidConfig
 from driftwork.functions import scalars
-from driftwork.operators import clean, draw, frames, reid, tracks
+from driftwork.operators import clean, draw, frames, reid, segments, tracks
 from driftwork.plans import fixture
 from driftwork.plans.fixture import SQL, TRACKS_SQL
 
@@ -253,6 +253,26 @@ def reid_damped_n10(spark: SparkSession, d: str) -> DataFrame:
     return _reid(spark, d, "damped_velocity", 10)
 
 
+def _segmented(spark, d, predictor, gate=1000.0):
+    config = ReidConfig(objects=2, predictor=predictor, max_move=gate)
+    return segments.reid_segmented(_D(spark, d), config, frames_per_segment=120, warm_up=24, every=4, strict=False)[0].withColumn("id", F.col("id").cast("long"))
+
+
+@_query(reid_sql("constant_velocity", 100))
+def segmented_constant_velocity_n2(spark: SparkSession, d: str) -> DataFrame:
+    return _segmented(spark, d, "constant_velocity", 100.0)
+
+
+@_query(reid_sql("last_position", 100))
+def segmented_last_position_n2(spark: SparkSession, d: str) -> DataFrame:
+    return _segmented(spark, d, "last_position", 100.0)
+
+
+@_query(reid_sql("damped_velocity", 0))
+def segmented_damped_n2(spark: SparkSession, d: str) -> DataFrame:
+    return _segmented(spark, d, "damped_velocity")
+
+
 def certified_sql(objects: int, damped: bool) -> str:
     """Every step after the start frame, with nothing broken; damped tracks step through empty frames too."""
     spine = "SELECT video_id, unnest(range(f0 + 1, f1 + 1)) AS frame FROM st" if damped else "SELECT DISTINCT video_id, frame FROM fx JOIN st USING (video_id) WHERE frame > f0"

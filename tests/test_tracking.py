@@ -13,6 +13,7 @@ from driftwork.functions import scalars
 from driftwork.operators import clean, draw, frames, reid, tracks
 from driftwork.operators.assignment import assign, solved
 from driftwork.operators.reid import Tracker, run_video
+from driftwork.operators.segments import reid_segmented, renumbering
 
 NUMBERS = st.one_of(st.integers(0, 6).map(float), st.just(1e6), st.floats(0, 100))
 
@@ -228,6 +229,35 @@ def test_steps_as_by_trying_all(predictor):
                     miss[i] += 1
 
 
+@pytest.mark.parametrize("predictor", ["constant_velocity", "last_position", "damped_velocity"])
+def test_segments_give_the_sequential_tracks(spark, predictor):
+    """Three videos by segments: smooth paths, where a guess holds but for its numbers; wild ones, which are repaired; one with empty stretches."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for f in range(240):
+        for k, i in enumerate(rng.permutation(4)):
+            if rng.random() < 0.9 or f == 0:
+                rows.append((0, f, k, float(200 * i + 3 * np.sin(f / 9 + i) + rng.random()), float(50 * i + f / 2 + rng.random())))
+        rows += [(1, f, k, *map(float, rng.random(2) * 120)) for k in range(4 if f == 3 else rng.integers(0, 6))]
+        rows += [(2, f, k, *map(float, rng.random(2) * 90)) for k in range(4 if f == 0 else rng.integers(0, 5))] if not 60 <= f < 140 else []
+    d = spark.createDataFrame(rows, "video_id long, frame long, ord long, x double, y double")
+    config = ReidConfig(objects=4, predictor=predictor, max_move=30)
+    wanted = sorted(map(tuple, reid.reid(d, config).collect()))
+    got, seen = reid_segmented(d, config, frames_per_segment=60, warm_up=12, every=4)
+    assert sorted(map(tuple, got.collect())) == wanted
+    repaired = {r.video_id: (r.segments, r.repaired) for r in seen.collect()}
+    assert repaired[0][0] == 4 and repaired[0][1] < 120 and repaired[1][1] > 0 and repaired[2][0] == 3
+
+
+def test_segments_of_odd_videos(spark):
+    d = spark.createDataFrame([(0, 5, 0, 1.0, 1.0), (0, 90, 0, 2.0, 2.0), (4, 1, 0, 0.0, 0.0)], "video_id long, frame long, ord long, x double, y double")
+    assert sorted(map(tuple, reid_segmented(d, ReidConfig(objects=1), 10, 3)[0].collect())) == sorted(map(tuple, reid.reid(d, ReidConfig(objects=1)).collect()))
+    assert reid_segmented(d.limit(0))[0].count() == 0 and reid_segmented(d, ReidConfig(objects=2), strict=False)[0].count() == 0
+    with pytest.raises(Exception, match="no frame with at least 2"):
+        reid_segmented(d, ReidConfig(objects=2))
+    assert renumbering([0.0] * 14, [0.0] * 14) is None and renumbering([1.0] + [0.0] * 13, [0.0] * 7 + [1.0] + [0.0] * 6) == [1, 0]
+
+
 def test_batch_reid_and_checks(spark):
     d = spark.createDataFrame([(0, 0, 0, 0.0, 0.0), (0, 1, 0, 1.0, 0.0), (0, 3, 0, 2.0, 0.0)], "video_id long, frame long, ord long, x double, y double")
     assert [(r.frame, r.x) for r in reid.ordered(reid.reid(d, ReidConfig(objects=1))).collect()] == [(0, 0.0), (1, 1.0), (3, 2.0)]
