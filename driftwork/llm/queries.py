@@ -29,8 +29,8 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from driftwork.llm.token_shards import read_shards, write_shards
 
-    shards = write_shards(S.table(spark, sf_dir, "documents"), S.scratch(spark, "shards"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
-    return read_shards(spark, shards.collect())  # a row for each file
+    shards, _ = S.written(write_shards(S.table(spark, sf_dir, "documents"), S.scratch(spark, "shards"), public_tokenizers.path("byte_bpe_50k.json"), end=0), "index")
+    return read_shards(spark, shards)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ from driftwork.llm import _text as T
 BLOCK_BYTES = 64 << 10
 #: Bytes of a shard's data from which the next one begins.
 SHARD_BYTES = 64 << 20
+#: Bytes of ids (4 each) that a reading task takes.
+READ_BYTES = 256 << 20
 #: Bits of the Bloom filter for each key, and its hash functions.
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Pieces of text that a worker keeps with their ids (about 25 bytes each), and pieces joined to one text for the library.
@@ -293,11 +295,19 @@ def write_shards(docs: DataFrame, folder: str, path: str, end: int | None = 0, i
     return dealt.mapInArrow(run, "file string, part long, number long, first long, last long, n_docs long, n_ids long")
 
 
-def read_shards(spark: SparkSession, shards: list, with_ids: bool = False) -> DataFrame:
-    """Rows of the files, given as rows of write_shards(): doc_id, start (ids of all documents before), n_tokens, ids_crc32, and the ids if wanted."""
-    shards = sorted(shards, key=lambda r: (r.part, r.number))
-    starts = np.concatenate([[0], np.cumsum([r.n_ids for r in shards])]).tolist()
-    files = spark.createDataFrame([(r.file, s) for r, s in zip(shards, starts, strict=False)], "file string, base long")
+def read_shards(spark: SparkSession, shards: DataFrame | list, with_ids: bool = False) -> DataFrame:
+    """Rows of the files, given by the rows of write_shards(): doc_id, start (ids of all documents before), n_tokens, ids_crc32, and the ids if wanted.
+
+    What lies before a file is a running sum over the rows of shards, and files are read READ_BYTES of ids to a task, in ascending order,
+    whatever their number. A DataFrame is read more than once, so it should be a table.
+    """
+    named = "file string, part long, number long, n_ids long"
+    shards = shards if isinstance(shards, DataFrame) else spark.createDataFrame([(r.file, r.part, r.number, r.n_ids) for r in shards], named)
+    shards = shards.select("file", "part", "number", "n_ids", F.lit(0).cast("long").alias("all"))
+    files, _ = S.running(shards, "all", ["part", "number"], ["part", "number"], {"upto": "n_ids"})
+    size = 4 * (shards.agg(F.sum("n_ids")).first()[0] or 0)
+    tasks = max(1, -(-size // READ_BYTES))
+    files = files.withColumn("base", F.col("upto") - F.col("n_ids")).repartitionByRange(tasks, "part", "number").sortWithinPartitions("part", "number").select("file", "base")
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def run(batches):
@@ -313,4 +323,4 @@ def read_shards(spark: SparkSession, shards: list, with_ids: bool = False) -> Da
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], names=[k.split()[0] for k in kind.split(", ")])
 
-    return files.repartition(max(1, len(shards))).mapInArrow(run, kind)
+    return files.mapInArrow(run, kind)

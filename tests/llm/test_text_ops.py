@@ -140,6 +140,18 @@ def test_shards(spark, tmp_path):
     assert token_shards.read_shards(spark, token_shards.write_shards(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/e", path).collect()).count() == 0
 
 
+def test_many_shards_few_tasks(spark, tmp_path, monkeypatch):
+    """Ten thousand files are read by as many tasks as their ids need, and each starts where the files before it end."""
+    public = pytest.importorskip("public_tokenizers")
+    one = token_shards.write_shards(spark.createDataFrame([(7, "a b c")], "doc_id long, text string"), f"file://{tmp_path}/s", public.path("byte_bpe_50k.json")).first()
+    shards = spark.range(10_000).selectExpr(f"'{one.file}' as file", "id div 100 as part", "id % 100 as number", f"{one.n_ids}L as n_ids")
+    read = token_shards.read_shards(spark, shards.repartition(7))
+    assert read.rdd.getNumPartitions() == 1
+    assert sorted(r.start for r in read.collect()) == [one.n_ids * k for k in range(10_000)]
+    monkeypatch.setattr(token_shards, "READ_BYTES", 16 * one.n_ids * 1000)
+    assert 2 <= token_shards.read_shards(spark, shards).rdd.getNumPartitions() <= 3
+
+
 def test_cuts_as_the_library():
     public = pytest.importorskip("public_tokenizers")
     from hypothesis import given, settings
