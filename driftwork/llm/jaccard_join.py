@@ -14,8 +14,8 @@ drops node pairs whose largest possible overlap is too small; what remains is co
 a component that is known already are not counted again, so a group of k near copies costs about k counts.
 
 Large clusters are cut into blocks; each block also holds the cluster's first document, so that near copies join through it. What is then
-outside the largest component of its cluster meets the other blocks, if that is no more than a block of documents. Where it is more
-(unlike documents in a chain of equal parts), the cluster is dealt anew by signatures: those that documents of several components share
+outside the largest component of its cluster meets the other blocks, as long as that takes SPREAD rows for a document or less. Where it takes more
+(many unlike documents in a chain of equal parts), the cluster is dealt anew by signatures: those that documents of several components share
 make groups, so a document meets only documents that it has an equal part with, and the rows grow with the documents.
 """
 
@@ -42,6 +42,8 @@ TOKENS, SIGNATURES = 1_000_000, 1_500_000
 MEET = 3_000_000
 #: Members of a cluster that one task joins at once.
 BLOCK = 256
+#: Rows of a cluster's documents, by number of documents, up to which what is outside its largest component meets all blocks.
+SPREAD = 4
 #: Documents in clusters up to which their ids are broadcast (8 bytes each); beyond, the texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 
@@ -561,12 +563,13 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
         part, part_path = S.components(links)
         wide = sets.where("blocks > 1").drop("m")
         own = wide.select("cluster", "doc_id").distinct().join(part.select(F.col("v").alias("doc_id"), "m"), "doc_id", "left").withColumn("m", F.coalesce("m", "doc_id"))
-        main = own.groupBy("cluster", "m").count().groupBy("cluster").agg(F.max_by("m", F.struct("count", "m")).alias("main"), (F.sum("count") - F.max("count")).alias("minor"))
+        main = own.groupBy("cluster", "m").count().groupBy("cluster").agg(F.max_by("m", F.struct("count", "m")).alias("main"), (F.sum("count") - F.max("count")).alias("minor"), F.sum("count").alias("size"))
+        # one row for each document and, of those outside, one for each block: SPREAD rows for a document at most, else they go by their signatures
+        main = main.select("cluster", "main", "minor", (F.col("minor") * F.ceil(F.col("size") / BLOCK) > SPREAD * F.col("size")).alias("many"))
         own, _ = S.written(own.join(main, "cluster"), "own")
         wide = wide.join(own, ["cluster", "doc_id"])
-        # up to a block of documents outside the largest component meet all other blocks; more of them go by their signatures
-        for r in own.where("minor > 0").select((F.col("minor") > BLOCK).alias("many")).distinct().collect():
-            again = _by_signature(wide.where(f"minor > {BLOCK}"), percent, common) if r.many else _guests(wide.where(f"minor > 0 and minor <= {BLOCK}"))
+        for r in own.where("minor > 0").select("many").distinct().collect():
+            again = _by_signature(wide.where("many"), percent, common) if r.many else _guests(wide.where("minor > 0 and not many"))
             more, _ = S.written(_grouped(again, percent), "links")
             links = links.unionByName(more)
         S.drop(spark, part_path)
