@@ -6,7 +6,7 @@ class's texts that hold it. Passages that are copied many times thus count once,
 
 A word is reached from the root through its stems (the first 4, 5, 6 and 7 bytes): its probability is the product of those of each step, a
 node given the one above; a bigram's is interpolated with its word's. Each class discounts its counts by DISCOUNT and, further, by what both
-classes have in common (SHARED times, and twice its root); what it discounts is dealt out by a distribution that the classes share, the
+classes have in common (SHARED times, and twice its root), as if both had as many texts; what it discounts is dealt out by a distribution that the classes share, the
 modified Kneser-Ney one of all discounted counts, which in turn falls back on an equal share of the known steps and one unknown. So rare expressions are what their stems are, and what both classes use, or neither knows, gets nearly the same
 probability from either. Each of these is a distribution that sums to 1.
 
@@ -14,9 +14,9 @@ A text's evidence is the difference of its log-likelihoods under the two models
 their number and, to judge long texts as well, by the root of that; a logistic curve over both, fitted on labelled texts that were kept out of the counts,
 turns it into a score.
 
-Learning reads a bounded sample: at most PER_CLASS labelled texts of each class, those with the smallest hash of the id; as many ordinary
-as toxic ones are counted, since continuation counts of unequal samples do not compare. Everything in it counts: nothing is cut by
-frequency. Counts are made and stored by tasks, as sorted hash arrays that scorers map; the driver gets sums.
+Learning reads a bounded sample: at most PER_CLASS labelled texts of each class, those with the smallest hash of the id. Everything in it
+counts, whichever class is larger: nothing is cut by frequency, and where counts of the classes are compared, the ordinary ones are taken in
+proportion to the numbers of texts. Counts are made and stored by tasks, as sorted hash arrays that scorers map; the driver gets sums.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from driftwork.llm.hash_arrays import Tables, added, discounts, runs
 #: Bound of the training sample, a class.
 PER_CLASS = 6000
 STEMS = (4, 5, 6, 7)
-#: What a class discounts: of a word's or stem's count, of a bigram's, and, of either, times what both classes have.
-DISCOUNT, PAIR_DISCOUNT, SHARED = 6, 12, 2
+#: What a class discounts: of a word's or stem's count, of a bigram's, and, of either, times what both classes have. Chosen by held-out labels (README).
+DISCOUNT, PAIR_DISCOUNT, SHARED = 6, 12, 1
 #: Bytes of sample text that a part of the model is made of.
 PART = 4 << 20
 #: Every so many sample texts are kept for the logistic curve.
@@ -124,15 +124,22 @@ def _nodes(batches):
             yield pa.RecordBatch.from_arrays([*map(pa.array, (distinct[keep].view(np.int64), *way, t[keep], (n - t)[keep]))], names=["key", "w", *(f"s{k}" for k in STEMS), "t", "o"])
 
 
-def kept(n: np.ndarray, discount: int) -> np.ndarray:
-    """What a class keeps of its counts (2, n) after its discount; the rest goes to what the classes share."""
-    common = n.min(0)
-    return np.maximum(n - discount - SHARED * common - np.ceil(2 * np.sqrt(common)).astype(np.int64), 0)
+def kept(n: np.ndarray, discount: int, ratio: float = 1.0) -> np.ndarray:
+    """What a class keeps of its counts (2, n) after its discount; the rest goes to what the classes share.
+
+    ratio: toxic texts for each ordinary one. Counts are compared, and discounted, as if there were as many ordinary texts as toxic ones.
+    """
+    common = np.minimum(n[0], n[1] * ratio)
+    less = discount + np.ceil(SHARED * common) + np.ceil(2 * np.sqrt(common))
+    return np.maximum(np.stack([n[0] - less, np.floor(n[1] - less / ratio)]), 0).astype(np.int64)
 
 
-#: The same in SQL, of counts t and o.
-_KEPT = {c: f"cast(greatest({c} - {DISCOUNT} - {SHARED} * least(t, o) - ceil(2 * sqrt(least(t, o))), 0) as long)" for c in "to"}
-_LEFT = f"(t + o - {_KEPT['t']} - {_KEPT['o']})"
+def _kept_sql(discount: int, ratio: float) -> dict[str, str]:
+    """The same in SQL, of counts t and o, and what is left of both."""
+    common = f"least(cast(t as double), o * {ratio!r}D)"
+    less = f"({discount} + ceil({SHARED} * {common}) + ceil(2 * sqrt({common})))"
+    t, o = f"cast(greatest(t - {less}, 0) as long)", f"cast(greatest(floor(o - {less} / {ratio!r}D), 0) as long)"
+    return {"kt": t, "ko": o, "left": f"(t + o - {t} - {o})"}
 
 _WORDS, _CONTEXTS = range(2)
 _COUNTS = "kind byte, key long, " + ", ".join(f"n{i} long" for i in range(4))
@@ -144,7 +151,7 @@ def _rows(kind: int, keys: np.ndarray, counts: list[np.ndarray]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(keys.view(np.int64)), *(pa.array(np.asarray(c, np.int64)) for c in counts)], names=["kind", "key", *(f"n{i}" for i in range(4))])
 
 
-def _merge(tables: Tables):
+def _merge(tables: Tables, ratio: float):
     """Adds up a part's bigrams and writes them; passes on what they say of words and of contexts."""
 
     def run(batches):
@@ -160,12 +167,12 @@ def _merge(tables: Tables):
             keys, at, t, o = added(pair_key(u, w), (t > 0).astype(np.int64), (o > 0).astype(np.int64))
             u, w = u[at], w[at]
             # where a class keeps nothing of a bigram it is as unseen
-            used = kept(np.stack([t, o]), PAIR_DISCOUNT).any(0)
+            used = kept(np.stack([t, o]), PAIR_DISCOUNT, ratio).any(0)
             if used.any():
                 tables.put("pairs", int(keys[0].view(np.int64) % tables.shards), keys[used], [t[used], o[used]])
             k, _, wt, wo = added(w, (t > 0).astype(np.int64), (o > 0).astype(np.int64))
             yield _rows(_WORDS, k, [wt, wo])
-            k, _, *sums = added(u, t, o, *kept(np.stack([t, o]), PAIR_DISCOUNT))
+            k, _, *sums = added(u, t, o, *kept(np.stack([t, o]), PAIR_DISCOUNT, ratio))
             yield _rows(_CONTEXTS, k, sums)
 
     return run
@@ -207,9 +214,9 @@ class Model:
     word or stem its counts; of the nodes below it the sums of their counts, of what is kept of them, and how many have 1, 2 and more that is not.
     """
 
-    def __init__(self, tables: Tables | None, sizes: list[int] = [0] * 4):
-        """sizes: how many nodes have 1, 2, 3 and 4 discounted counts."""
-        self.tables, self.d = tables, discounts(*sizes)
+    def __init__(self, tables: Tables | None, sizes: list[int] = [0] * 4, ratio: float = 1.0):
+        """sizes: how many nodes have 1, 2, 3 and 4 discounted counts; ratio: toxic texts for each ordinary one."""
+        self.tables, self.d, self.ratio = tables, discounts(*sizes), ratio
         #: The usual evidence of a bigram in ordinary texts (the classes keep unequal shares), and the curve's weights.
         self.usual, self.curve = 0.0, np.zeros(3)
 
@@ -234,7 +241,7 @@ class Model:
             node, here = at[place : place + len(c)], known & (c > 0)
             place += len(c)
             n, above = found[:2, node], found[:, parent]
-            mine = kept(n, DISCOUNT)
+            mine = kept(n, DISCOUNT, self.ratio)
             both = self.shared((n - mine).sum(0), (above[2:4] - above[4:6]).sum(0), above[6:9])
             q = [np.where(here, x * p, x) for x, p in zip(q, self.own(mine, above[2:4], above[4:6], [both, both]), strict=True)]
             known &= (c == 0) | (n.sum(0) > 0)
@@ -250,7 +257,7 @@ class Model:
             return q
         above, out = above[:, at[some]], [x.copy() for x in q]
         n = np.stack(self.tables.find("pairs", pair_key(u[some], w[some]), 2))
-        for x, p in zip(out, self.own(kept(n, PAIR_DISCOUNT), above[:2], above[2:4], [x[some] for x in q]), strict=True):
+        for x, p in zip(out, self.own(kept(n, PAIR_DISCOUNT, self.ratio), above[:2], above[2:4], [x[some] for x in q]), strict=True):
             x[some] = p
         return out
 
@@ -288,10 +295,10 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def _count(texts: DataFrame, spark) -> Model:
     """The two models of texts(text, toxic)."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART))
+    size, toxic, every = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    parts, ratio = max(1, -(-size // PART)), max(toxic, 1) / max(every - toxic, 1)
     tables = Signed(S.scratch(spark, "classes"), parts)
-    merged = texts.mapInArrow(_trigrams(parts, S.seats(spark, parts)), "seat long, rows binary").repartition(parts, "seat").mapInArrow(_merge(tables), _COUNTS)
+    merged = texts.mapInArrow(_trigrams(parts, S.seats(spark, parts)), "seat long, rows binary").repartition(parts, "seat").mapInArrow(_merge(tables, ratio), _COUNTS)
     found, path = S.written(merged, "toxic")
     added_up = lambda kind, n: found.where(f"kind = {kind}").groupBy("key").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(n)))
     _stored(added_up(_CONTEXTS, 4).where("n2 + n3 > 0"), tables, "contexts", [f"n{i}" for i in range(4)])
@@ -304,14 +311,16 @@ def _count(texts: DataFrame, spark) -> Model:
     steps = steps.select(F.explode(F.arrays_zip(F.slice("way", 1, F.size("way") - 1).alias("up"), F.slice("way", 2, F.size("way") - 1).alias("key"))).alias("e"), "n0", "n1")
     steps = steps.groupBy("e.up", "e.key").agg(F.sum("n0").alias("t"), F.sum("n1").alias("o")).join(held.select("key", "dt", "do"), "key")
     edges, edge_path = S.written(steps.select("up", "key", F.least("t", "dt").alias("t"), F.least("o", "do").alias("o")), "steps")
-    sums = {"t": "t", "o": "o", "kt": _KEPT["t"], "ko": _KEPT["o"]} | {f"b{k}": f"cast({_LEFT} {test} as long)" for k, test in ((1, "= 1"), (2, "= 2"), (3, "> 2"))}
+    sql = _kept_sql(DISCOUNT, ratio)
+    left = sql.pop("left")
+    sums = {"t": "t", "o": "o", **sql} | {f"b{k}": f"cast({left} {test} as long)" for k, test in ((1, "= 1"), (2, "= 2"), (3, "> 2"))}
     down = edges.groupBy(F.col("up").alias("key")).agg(*(F.sum(F.expr(e)).alias(f"d{c}") for c, e in sums.items()))
     columns = ["t", "o", *(f"d{c}" for c in sums)]
     both = edges.select("key", "t", "o").unionByName(down, allowMissingColumns=True).groupBy("key").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns))
     _stored(both, tables, "nodes", columns)
-    sizes = edges.agg(*(F.coalesce(F.sum(F.expr(f"cast({_LEFT} = {k} as long)")), F.lit(0)) for k in (1, 2, 3, 4))).first()
+    sizes = edges.agg(*(F.coalesce(F.sum(F.expr(f"cast({left} = {k} as long)")), F.lit(0)) for k in (1, 2, 3, 4))).first()
     S.drop(spark, path, held_path, edge_path)
-    return Model(tables, list(sizes))
+    return Model(tables, list(sizes), ratio)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -326,10 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     marks = (marks.where(learn) if learn is not None else marks).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     number = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     ids = {c: [r.doc_id for r in marks.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS).collect()] for c in (0, 1)}
-    counted = {1: [i for k, i in enumerate(ids[1]) if k % CURVE]}
-    counted[0] = [i for k, i in enumerate(ids[0]) if k % CURVE][: len(counted[1])]
-    there = set(counted[0]) | set(counted[1])
-    sample = spark.createDataFrame([(i, c, i not in there) for c in (0, 1) for i in ids[c]], "doc_id long, toxic int, curve boolean")  # 2 * PER_CLASS rows at most
+    sample = spark.createDataFrame([(i, c, k % CURVE == 0) for c in (0, 1) for k, i in enumerate(ids[c])], "doc_id long, toxic int, curve boolean")  # 2 * PER_CLASS rows at most
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     texts, texts_path = S.written(some.groupBy("doc_id", "toxic", "curve").agg(F.max("text").alias("text")).select("text", "toxic", "curve"), "sample")
     model = _count(texts.where("not curve").select("text", "toxic"), spark) if ids[0] and ids[1] else Model(None)

@@ -450,7 +450,7 @@ def test_toxic_distributions(spark, lower):
     n = {e: [min(edges[c][e], len(held[c][e[1]])) for c in (0, 1)] for e in every}
 
     def kept(a, b, d):
-        return max(a - d - 2 * min(a, b) - math.ceil(2 * math.sqrt(min(a, b))), 0)
+        return max(a - d - toxicity.SHARED * min(a, b) - math.ceil(2 * math.sqrt(min(a, b))), 0)
 
     kept_of = {e: [kept(*x, toxicity.DISCOUNT), kept(*x[::-1], toxicity.DISCOUNT)] for e, x in n.items()}
     left = {e: sum(n[e]) - sum(kept_of[e]) for e in every}
@@ -481,6 +481,19 @@ def test_toxic_distributions(spark, lower):
         assert all(math.isclose(x, (mine[v] + (total - sum(mine.values())) * y) / total if total else y, rel_tol=1e-9) for v, x, y in zip(names, p[c], q[c]))
 
 
+def test_unequal_classes_are_compared_in_proportion(spark):
+    """What a class keeps does not depend on how many texts the other has, if they say the same; and SQL and numpy keep alike."""
+    t, o = (x.ravel() for x in np.meshgrid(np.arange(0, 60), np.arange(0, 60)))
+    for ratio in (1.0, 0.125, 0.3, 7 / 3):
+        a = toxicity.kept(np.stack([t, o]), 6, ratio)
+        sql = toxicity._kept_sql(6, ratio)
+        df = spark.createDataFrame(list(zip(t.tolist(), o.tolist())), "t long, o long").selectExpr("t", "o", f"{sql['kt']} as kt", f"{sql['ko']} as ko", f"{sql['left']} as rest")
+        got = {(r.t, r.o): (r.kt, r.ko, r.rest) for r in df.collect()}
+        assert all(got[i, j] == (x, y, i + j - x - y) for i, j, x, y in zip(t.tolist(), o.tolist(), *a.tolist()))
+    assert (toxicity.kept(np.stack([t, 8 * o]), 6, 0.125)[0] == toxicity.kept(np.stack([t, o]), 6)[0]).all()
+    assert (toxicity.kept(np.stack([t, 8 * o]), 6, 0.125)[1] == 8 * toxicity.kept(np.stack([t, o]), 6)[1]).all()
+
+
 def test_rare_expressions_lean_on_their_stems(spark):
     """A word that only one text has counts through its stem."""
     rng = np.random.default_rng(9)
