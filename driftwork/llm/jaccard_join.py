@@ -505,11 +505,19 @@ def _grouped(sets: DataFrame, percent: int) -> DataFrame:
     return sets.repartition(S.partitions(sets.sparkSession), "cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_join(percent), "a long, b long")
 
 
+def _met(rows: DataFrame, guests: DataFrame) -> DataFrame:
+    """Rows (cluster, block, blocks, chunks, doc_id, ...) in their blocks and each guest in all of them: a block for each pair of a block and a chunk of guests,
+    so that no group has more than about two blocks of documents."""
+    own = rows.withColumns({"of": F.lit(False), "chunk": F.explode(F.expr("sequence(0, chunks - 1)"))})
+    guests = guests.withColumns({"of": F.lit(True), "chunk": F.expr("cast(pmod(xxhash64(doc_id, 1), chunks) as int)"), "block": F.explode(F.expr("sequence(0, blocks - 1)"))})
+    pair = (F.col("chunk") * F.col("blocks") + F.col("block")).cast("int").alias("block")
+    names = ["cluster", "of", "doc_id", "m", *(["tokens"] if "tokens" in rows.columns else [])]
+    return own.select(pair, *names).unionByName(guests.select(pair, *names))
+
+
 def _guests(wide: DataFrame) -> DataFrame:
     """Rows of clusters in blocks, and of each document outside its cluster's main component one for every block."""
-    guests = wide.where("m <> main").dropDuplicates(["cluster", "doc_id"]).withColumns({"of": F.lit(True), "block": F.explode(F.expr("sequence(0, blocks - 1)"))})
-    names = ["cluster", "block", "of", "doc_id", "m", "tokens"]
-    return wide.select(names).unionByName(guests.select(names))
+    return _met(wide.drop("of"), wide.where("m <> main").dropDuplicates(["cluster", "doc_id"]).drop("of", "block"))
 
 
 def _by_signature(wide: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
@@ -521,11 +529,14 @@ def _by_signature(wide: DataFrame, percent: int, common: np.ndarray) -> DataFram
     each = rows.groupBy("sig", "m").agg(F.count("*").alias("count"), *(f(F.xxhash64("doc_id", F.lit(k))) for k, f in enumerate(xor)))
     count = each.groupBy("sig").agg(F.max_by("m", F.struct("count", "m")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("parts"), *(f(c) for c, f in zip("xy", xor, strict=True))).where("parts > 1")
     count = count.groupBy("x", "y", "size").agg(F.min("sig").alias("sig"), F.min("main").alias("main"))  # of groups with the same documents one is enough
-    rows = rows.join(count.select(F.col("sig"), "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sig")
-    rows = rows.withColumnRenamed("sig", "cluster").withColumns({"block": F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"), "of": F.lit(False)})
-    guests = rows.where("blocks > 1 and m <> main").withColumns({"of": F.lit(True), "block": F.explode(F.expr("sequence(0, blocks - 1)"))})
-    names = ["cluster", "block", "of", "doc_id", "m"]
-    return rows.select(names).unionByName(guests.select(names)).join(sets.select("doc_id", "tokens"), "doc_id")
+    each = each.join(count.select("sig", "main"), "sig").groupBy("sig", "main").agg(F.sum("count").alias("size"), F.sum(F.expr("if(m <> main, count, 0)")).alias("minor"))
+    rows = rows.join(each.select(F.col("sig"), "main", _cut("size").alias("blocks"), F.when(F.col("size") > BLOCK, _cut("minor")).otherwise(F.lit(1)).alias("chunks")), "sig")
+    rows = rows.withColumnRenamed("sig", "cluster").withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+    return _met(rows, rows.where("blocks > 1 and m <> main").drop("block")).join(sets.select("doc_id", "tokens"), "doc_id")
+
+
+def _cut(size: str):
+    return F.ceil(F.col(size) / BLOCK).cast("int")
 
 
 def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -565,7 +576,7 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
         own = wide.select("cluster", "doc_id").distinct().join(part.select(F.col("v").alias("doc_id"), "m"), "doc_id", "left").withColumn("m", F.coalesce("m", "doc_id"))
         main = own.groupBy("cluster", "m").count().groupBy("cluster").agg(F.max_by("m", F.struct("count", "m")).alias("main"), (F.sum("count") - F.max("count")).alias("minor"), F.sum("count").alias("size"))
         # one row for each document and, of those outside, one for each block: SPREAD rows for a document at most, else they go by their signatures
-        main = main.select("cluster", "main", "minor", (F.col("minor") * F.ceil(F.col("size") / BLOCK) > SPREAD * F.col("size")).alias("many"))
+        main = main.select("cluster", "main", "minor", _cut("minor").alias("chunks"), (F.col("minor") * F.ceil(F.col("size") / BLOCK) > SPREAD * F.col("size")).alias("many"))
         own, _ = S.written(own.join(main, "cluster"), "own")
         wide = wide.join(own, ["cluster", "doc_id"])
         for r in own.where("minor > 0").select("many").distinct().collect():
