@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwork import shared
-from driftwork.config import ReidConfig
+from driftwork.config import CleanConfig, ReidConfig
 from driftwork.functions import scalars
 from driftwork.operators import clean, draw, frames, reid, segments, tracks
 from driftwork.plans import fixture
 from driftwork.plans.fixture import SQL, TRACKS_SQL
+from driftwork.sources import tables
+from driftwork.streaming.gap_stream import interpolate_stream
+from driftwork.streaming.reid_stream import reid_stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +132,47 @@ def dedup_leaders(spark: SparkSession, d: str) -> DataFrame:
     return clean.dedup_leaders(_D(spark, d), 40.0).drop("conf")
 
 
+#: Tracked points of _DEDUP's kind, then the four most confident clusters of each frame, from the most confident on.
+_CLEAN = _DEDUP.replace("track_id FROM fx)", "track_id FROM fx WHERE track_id <> -1)").replace("SELECT video_id, frame, (i - 1)::BIGINT AS ord, k.x::DOUBLE AS x, k.y::DOUBLE AS y, k.track_id AS track_id FROM (", "SELECT video_id, frame, n - 1 AS ord, k.x::DOUBLE AS x, k.y::DOUBLE AS y, k.track_id AS track_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id, frame ORDER BY k.conf DESC, i) AS n FROM (") + ") WHERE n <= 4"
+
+
+@_query(_CLEAN)
+def clean_within_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaning as a stream does it: the boxes of a frame lie in one row."""
+    side = lambda c, k: F.col(c).cast("float").alias(f"{c}{k}")
+    box = F.struct(side("x", 1), side("y", 1), side("x", 2), side("y", 2), F.col("conf").cast("float").alias("conf"), F.when(F.col("track_id") >= 0, F.col("track_id")).alias("track_id"))
+    boxes = _D(spark, d).groupBy("video_id", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", box.alias("b")))), lambda s: s["b"]).alias("boxes"))
+    return clean.clean_frames(boxes, CleanConfig(eps=40.0, objects=2, extra=2)).select("video_id", "frame", F.explode("dets").alias("p")).select("video_id", "frame", "p.ord", "p.x", "p.y", "p.track_id")
+
+
+@_query(f"WITH {SQL} SELECT video_id, frame, ord, x, y FROM fx")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Detections through CSV files of all videos: the files' order is the detections' order again."""
+    path, rows = shared.scratch(spark, "csv"), _D(spark, d)
+    tables.write_detections(rows, path)
+    videos = sorted(r.video_id for r in rows.select("video_id").distinct().collect())  # four
+    return reduce(DataFrame.unionByName, [tables.load_detections(spark, f"{path}/video_id={v}", v) for v in videos])
+
+
+@_query(f"WITH {TRACKS_SQL} SELECT video_id, frame, id, x, y FROM tr")
+def tracks_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.scratch(spark, "csv")
+    tables.write_tracks(_T(spark, d), path)
+    return tables.load_tracks(spark, path)
+
+
+def _streamed(spark, rows: DataFrame, run) -> DataFrame:
+    """What a stream makes of rows that come in two parts by frame, a micro-batch each, with its state between them."""
+    path = shared.scratch(spark, "stream")
+    half = rows.agg(F.percentile_approx("frame", 0.5)).first()[0]
+    for where in (f"frame <= {half}", f"frame > {half}"):
+        rows.where(where).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    made = run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
+    q = made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{path}/out")
+
+
 @_query(f"WITH {TRACKS_SQL} SELECT video_id, id, frame, coalesce(lead(frame) OVER w, -1) AS next_frame, coalesce(lead(x) OVER w, -1) AS next_x, coalesce(frame - lag(frame) OVER w - 1, 0) AS missed FROM tr WINDOW w AS (PARTITION BY video_id, id ORDER BY frame)")
 def track_lead_gap(spark: SparkSession, d: str) -> DataFrame:
     return tracks.gaps(_T(spark, d)).select("video_id", "id", "frame", F.coalesce("next_frame", F.lit(-1)).cast("long").alias("next_frame"), F.coalesce("next_x", F.lit(-1.0)).alias("next_x"), "missed")
@@ -140,6 +185,15 @@ def interpolate_tracks(spark: SparkSession, d: str) -> DataFrame:
     return tracks.interpolate(_T(spark, d))
 
 
+ORACLES["stream_gaps"] = ORACLES["interpolate_tracks"]
+
+
+@_query()
+def stream_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """interpolate_tracks over a stream."""
+    return _streamed(spark, _T(spark, d), interpolate_stream)
+
+
 @_query(f"""WITH {TRACKS_SQL}, t AS (SELECT video_id, id, frame, string_agg(trunc(x)::INT || ':' || trunc(y)::INT, ' ') OVER (PARTITION BY video_id, id ORDER BY frame ROWS 4 PRECEDING) AS trail FROM tr) SELECT * FROM t""")
 def trail_rows(spark: SparkSession, d: str) -> DataFrame:
     shown = F.array_join(F.transform("trail", lambda p: F.concat(p["x"].cast("string"), F.lit(":"), p["y"].cast("string"))), " ")
@@ -273,6 +327,15 @@ def segmented_damped_n2(spark: SparkSession, d: str) -> DataFrame:
     return _segmented(spark, d, "damped_velocity")
 
 
+@_query(reid_sql("damped_velocity", 0))
+def stream_reid_damped_n2(spark: SparkSession, d: str) -> DataFrame:
+    """reid_damped_n2 over a stream of frames, empty ones too."""
+    p = _D(spark, d)
+    spine = frames.spine(frames.last_frames(p).selectExpr("video_id", "0L as start_frame", "last_frame"))
+    nested = frames.frame_arrays(p, spine).select("video_id", "frame", "dets")
+    return _streamed(spark, nested, lambda s: reid_stream(s, ReidConfig(objects=2, predictor="damped_velocity"))).withColumn("id", F.col("id").cast("long"))
+
+
 def certified_sql(objects: int, damped: bool) -> str:
     """Every step after the start frame, with nothing broken; damped tracks step through empty frames too."""
     spine = "SELECT video_id, unnest(range(f0 + 1, f1 + 1)) AS frame FROM st" if damped else "SELECT DISTINCT video_id, frame FROM fx JOIN st USING (video_id) WHERE frame > f0"

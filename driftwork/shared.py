@@ -24,13 +24,18 @@ def folder(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df from a table that is deleted when the driver ends, as a result may read it until then."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh folder in the shared one. It is deleted when the driver ends, as a result may read it until then."""
     path = f"{folder(spark)}/driftwork-{tag}-{uuid.uuid4().hex[:12]}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     store.mkdirs(at)
     store.deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df from a table in the shared folder."""
+    path = scratch(df.sparkSession, tag)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
