@@ -175,6 +175,16 @@ def test_license(spark):
     assert got[2][1:] == (1, ["mit"], 1.0) and got[4][2] == ["mit-text"] and got[3][2] == []
 
 
+def test_whole_licence_texts_in_files(spark):
+    """Licence texts wrapped as comments between code and prose, with other names in the copyright line."""
+    names = ("mit-whole", "isc-text", "bsd-2-clause-text", "bsd-3-clause-text")
+    texts = ["import os\n\n# Copyright (c) 2001, A. Person\n#\n" + "\n".join(f"# {line}" for line in textwrap.wrap(license_scan.TEMPLATES[n], 70)) + "\n\ndef run(path):\n    return os.stat(path)\n" for n in names]
+    texts.append("\n".join(textwrap.wrap(license_scan.TEMPLATES["mit-whole"], 70)[:3]))
+    got = license_scan.license_scan(docs(spark, texts)).orderBy("doc_id").collect()
+    assert all(n in r.licenses and r.best_dice > 0.99 for n, r in zip(names, got)) and "mit-text" in got[0].licenses
+    assert "mit-whole" not in got[-1].licenses and not {"isc-text", "bsd-2-clause-text"} & set(got[0].licenses)
+
+
 def test_license_passages(spark, lower):
     names = ["apache-2.0-header", "gpl-3.0-header", "mit-text"]
     wrapped = ["Some prose before it,\nof two lines.\n" + "\n".join(textwrap.wrap(license_scan.TEMPLATES[n], 76)) + "\nand much more prose after it\nthat goes on." for n in names]
