@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from driftwork.plans.queries import ORACLES, QUERIES
+from driftwork.plans.video_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
