@@ -2,9 +2,9 @@
 
 A text is its counts of hashed byte trigrams, in lower case, with every run of other than letters as one blank; the counts are scaled to
 unit length. The first level is linear support vector machines for the language families (one against one, decided by votes
-and margins); within the family, one-versus-one linear support vector machines separate its languages. All machines are
-trained by dual coordinate descent on the driver, over a sample of labelled rows: every language that they have, and at most
-PER_LANGUAGE texts of each, those with the smallest hash of the id. Prediction is a scan.
+and margins); within the family, one-versus-one linear support vector machines separate its languages. Each machine is
+trained by dual coordinate descent in a task of its own, over a sample of labelled rows: every language that they have, and at most
+PER_LANGUAGE texts of each, those with the smallest hash of the id. The driver gets the machines' weights, and no text or features. Prediction is a scan.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import itertools
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: float =
 
 
 def _features(batches):
-    """(id, lang, features, weights) of whole texts: at most FEATURES numbers each, whatever a text's length."""
+    """(id, lang, missing, features, weights) of whole texts: at most FEATURES numbers each, whatever a text's length. missing: there is no text."""
     for batch, data, at in T.blocks(batches):
         found, weights = [], []
         for lo, hi in zip(at, at[1:], strict=False):
@@ -96,26 +97,35 @@ def _features(batches):
             found.append(np.flatnonzero(count))
             v = np.sqrt(count[found[-1]])
             weights.append(v / max(np.linalg.norm(v), 1e-9))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=["id", "lang", "found", "weights"])
+        columns = [batch.column(0), batch.column(1), batch.column(2).is_null(), pa.array(found, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "lang", "missing", "found", "weights"])
+
+
+def _machine(rows: pd.DataFrame) -> pd.DataFrame:
+    """One machine, of the sample's rows on its two sides."""
+    rows = rows.sort_values(["lang", "id"])
+    w = svm([(np.asarray(f, np.int64), np.asarray(v)) for f, v in zip(rows.found, rows.weights, strict=True)], rows.side.to_numpy())
+    return pd.DataFrame({"machine": [rows.machine.iloc[0]], "w": [w.tobytes()]})
 
 
 class Model:
     """Machines as columns of one weight table: each separates class p (positive) from class q."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
-        """rows: (features, weights) of unit length of each training text."""
+    def __init__(self, langs: list[str], weights=()):
+        """langs: the codes that were learned; weights: (machine, its weights as bytes) of each."""
         self.langs = sorted(set(langs))
         self.groups = sorted({family(x) for x in self.langs})
         self.of = [self.groups.index(family(x)) for x in self.langs]
-        y = np.array([self.langs.index(v) for v in langs])
-        z = np.array(self.of)[y] if len(y) else y
         self.family_pairs = list(itertools.combinations(range(len(self.groups)), 2))
         self.lang_pairs = [(p, q) for p, q in itertools.combinations(range(len(self.langs)), 2) if self.of[p] == self.of[q]]
-        sides = [*((z, p, q) for p, q in self.family_pairs), *((y, p, q) for p, q in self.lang_pairs)]
-        self.weights = np.zeros((FEATURES + 1, len(sides)), np.float32)
-        for k, (of, p, q) in enumerate(sides):
-            p, q = of == p, of == q
-            self.weights[:, k] = svm([rows[i] for i in np.flatnonzero(p | q)], np.where(p[p | q], 1.0, -1.0))
+        self.weights = np.zeros((FEATURES + 1, len(self.family_pairs) + len(self.lang_pairs)), np.float32)
+        for machine, w in weights:
+            self.weights[:, machine] = np.frombuffer(w, np.float32)
+
+    def sides(self) -> list[tuple[str, int, float]]:
+        """(language, machine, side) for each machine in which a language takes part."""
+        classes = [(self.of, *pair) for pair in self.family_pairs] + [(list(range(len(self.langs))), *pair) for pair in self.lang_pairs]
+        return [(lang, k, 1.0 if of[i] == p else -1.0) for k, (of, p, q) in enumerate(classes) for i, lang in enumerate(self.langs) if of[i] in (p, q)]
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language number, score) of each text of a block."""
@@ -155,31 +165,57 @@ class Model:
         return best, np.where(count[row, best] > 0, sums[row, best] / np.maximum(count[row, best], 1), 1.0)
 
 
-def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Machines from the sample of rows where learn holds and id, text and language are not null.
-
-    Of rows that share an id the one with the largest language and text counts, once; other columns are not read; no rows, no language.
-    """
-    rows = docs.where(learn) if learn is not None else docs
-    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    # ids first, without texts: those whose hash lies under a limit that leaves about twice what is wanted of each language
+def _sampled(rows: DataFrame) -> set[str]:
+    """Ids of at most PER_LANGUAGE rows(id, lang) of each language, those with the smallest hashes."""
+    # those whose hash lies under a limit that leaves about twice what is wanted of each language, so no language is ranked whole
     place = F.xxhash64("id") / F.lit(2.0**64) + F.lit(0.5)
     left = {r.lang: r["count"] for r in rows.where("id is not null").groupBy("lang").count().collect()}
     times, ids = 2, set()
     while left:
-        limits = docs.sparkSession.createDataFrame([(lang, times * PER_LANGUAGE / n) for lang, n in left.items()], "lang string, most double")  # a row for each language
+        limits = rows.sparkSession.createDataFrame([(lang, times * PER_LANGUAGE / n) for lang, n in left.items()], "lang string, most double")  # a row for each language
         some = rows.select("id", "lang").join(F.broadcast(limits), "lang").where(place < F.col("most")).select("id", "lang").distinct()
         top = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
         found = some.withColumn("rank", F.row_number().over(top)).where(f"rank <= {PER_LANGUAGE}").groupBy("lang").agg(F.collect_list("id").alias("ids")).collect()
         ids |= {i for r in found for i in r.ids}
         whole = {r.lang for r in found if len(r.ids) == PER_LANGUAGE} | {lang for lang, n in left.items() if times * PER_LANGUAGE >= n}
         left, times = {lang: n for lang, n in left.items() if lang not in whole}, times * 8
-    ids = sorted(ids)
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "id string")  # PER_LANGUAGE ids of a language at most
-    # of rows that share an id the largest counts
-    some = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.max(F.struct("lang", "text")).alias("r")).select("id", "r.lang", "r.text")
-    got = some.mapInArrow(_features, "id string, lang string, found array<int>, weights array<double>").toPandas().sort_values(["lang", "id"])
-    return Model([(np.asarray(f, np.int64), np.asarray(w)) for f, w in zip(got.found, got.weights, strict=True)], list(got.lang))
+    return ids
+
+
+def _texts(rows: DataFrame, ids: set[str]) -> tuple[DataFrame, str]:
+    """The features of these ids, in the shared folder. Of rows that share an id the largest with a text counts."""
+    wanted = rows.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "id string")  # PER_LANGUAGE ids of a language at most
+    some = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.max(F.when(F.col("text").isNotNull(), F.struct("lang", "text"))).alias("r"), F.max("lang").alias("lang"))
+    some = some.select("id", F.coalesce("r.lang", "lang").alias("lang"), "r.text")
+    return S.written(some.mapInArrow(_features, "id string, lang string, missing boolean, found array<int>, weights array<double>"), "languages")
+
+
+def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Machines from the sample of rows where learn holds and id, text and language are not null.
+
+    Of rows that share an id the one with the largest language and text counts, once; other columns are not read; no rows, no language. Ids are sampled
+    without reading a text; only where some of a language's sample turn out to have none are its rows with texts sampled again.
+    """
+    rows = docs.where(learn) if learn is not None else docs
+    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
+    sample, path = _texts(rows, _sampled(rows))
+    told = sample.groupBy("lang").agg(F.max("missing").alias("missing"), F.collect_list("id").alias("ids"))
+    lost = {r.lang for r in told.select("lang", "missing").collect() if r.missing}
+    if lost:
+        ids = {i for r in told.where("not missing").collect() for i in r.ids}
+        again = _sampled(rows.where(F.col("lang").isin(sorted(lost)) & F.col("text").isNotNull()))
+        S.drop(docs.sparkSession, path)
+        sample, path = _texts(rows.where("text is not null"), ids | again)
+    empty = Model([r.lang for r in sample.select("lang").distinct().collect()])  # a row for each language
+    sides = empty.sides()
+    if not sides:
+        S.drop(docs.sparkSession, path)
+        return empty
+    dealt = docs.sparkSession.createDataFrame(sides, "lang string, machine int, side double")  # a row for each language and machine
+    # a machine's task holds the features of its two sides, bounded as the sample is
+    trained = sample.join(F.broadcast(dealt), "lang").groupBy("machine").applyInPandas(_machine, "machine int, w binary").collect()
+    S.drop(docs.sparkSession, path)
+    return Model(empty.langs, [(r.machine, r.w) for r in trained])
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -585,3 +585,12 @@ def test_digest_of_ids(spark):
     r = bpe_codec.digests(docs(spark, ["ab"]), public.path("word_bpe_49k.json"), ["doc_id"]).first()
     ids = bpe_codec.encoded(docs(spark, ["ab"]), public.path("word_bpe_49k.json")).first().bpe_ids
     assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_language_sample_without_texts(spark, monkeypatch):
+    """Where texts of sampled ids are null, the rows with texts are sampled again: as if the others were not there."""
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 20)
+    d = spark.range(300).selectExpr("id as doc_id", "case when id % 3 <> 0 then concat('the word ', id, case when id % 2 = 0 then ' und der' else ' et les' end) end as text", "case when id % 2 = 0 then 'de' else 'fr' end as lang")
+    one, two = language_id.fit(d), language_id.fit(d.where("text is not null"))
+    assert one.langs == two.langs == ["de", "fr"] and (one.weights == two.weights).all() and one.weights.any()
+    assert language_id.fit(d.selectExpr("doc_id", "cast(null as string) as text", "lang")).langs == []
