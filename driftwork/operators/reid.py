@@ -6,7 +6,8 @@ damped with each missed frame, a gate that grows with speed, a price for turning
 counts, empty ones too.
 
 The recurrence can't be a window function. State is small (some numbers for each object) and is carried along a video's sorted
-rows, so videos are the parallelism; the same step function serves batch and stream.
+rows, so videos are the parallelism; the same step function serves batch and stream. Of matchings that cost the same one is taken by rule (see
+assignment.preferred), so a run does not depend on the solver's way.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwork.config import BIG, ReidConfig
-from driftwork.operators.assignment import assign, solved
+from driftwork.operators.assignment import preferred, solved
 from driftwork.operators.frames import candidates, damped_candidates
 
 _TRACKS = "video_id long, frame long, id int, x double, y double"
@@ -28,7 +29,7 @@ class Tracker:
     """The state of one video. step() takes a frame and its (n, 2) points in order, and returns (id, x, y) rows."""
 
     def __init__(self, config: ReidConfig):
-        self.config, self.frame, self.proof = config, None, None
+        self.config, self.frame, self.proof, self.tied = config, None, None, False
 
     def __getstate__(self):
         return self.__dict__
@@ -69,10 +70,10 @@ class Tracker:
         return [(i, *map(float, p)) for i, p in enumerate(self.last)]
 
     def _matched(self, rows, cost):
-        if self.proof is None:
-            i, j = assign(cost)
-        else:
-            i, j, u, v = solved(cost)
+        i, j, u, v = solved(cost)
+        i, j, tied = preferred(np.asarray(cost, float), i, j, u, v, BIG)
+        self.tied = self.tied or tied
+        if self.proof is not None:
             self.proof.update(rows=rows, u=u, v=v, i=i, j=j)
         good = cost[i, j] < BIG
         return rows[i[good]], j[good]
@@ -83,7 +84,9 @@ class Tracker:
         target = self.last
         if self.config.predictor == "constant_velocity":
             target = np.where(np.isnan(self.before), self.last, self.last + (self.last - self.before))
-        d = np.hypot(points[None, :, 0] - target[:, None, 0], points[None, :, 1] - target[:, None, 1])
+        dx, dy = points[None, :, 0] - target[:, None, 0], points[None, :, 1] - target[:, None, 1]
+        with np.errstate(over="ignore"):
+            d = np.sqrt(dx * dx + dy * dy)
         ids, at = self._matched(np.arange(len(target)), np.where(d <= self.config.max_move, d, BIG))
         self.before[ids] = self.last[ids]
         self.last[ids] = points[at]
