@@ -20,8 +20,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 
 DECODER = "driftwork.sources.reels:reels"
-#: Rows that a segment's writer holds.
-BATCH = 64
+#: Rows that a reader or a segment's writer holds, and bytes of images, beyond one image.
+BATCH, BYTES = 64, 4 << 20
 _DRAWN = pa.schema([("frame", pa.int64()), ("image", pa.binary()), ("marks", pa.string()), ("texts", pa.string())])
 
 
@@ -32,7 +32,7 @@ def write_reels(images: DataFrame, meta: DataFrame, path: str) -> None:
     an image, is read back empty. Row groups are small, since tasks read ranges of frames.
     """
     rows = images.select("video_id", "frame", "image").where("video_id is not null and frame is not null").orderBy("video_id", "frame")
-    rows.write.partitionBy("video_id").mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/frames")
+    rows.write.partitionBy("video_id").mode("overwrite").option("parquet.block.size", 8 << 20).option("parquet.block.size.row.check.min", 4).option("parquet.page.size.row.check.min", 4).parquet(f"{path}/frames")
     meta.select("video_id", "fps", "frame_w", "frame_h", "total_frames").write.partitionBy("video_id").mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -44,6 +44,13 @@ def _files(path: str, kind: str) -> tuple[fs.FileSystem, list[str]]:
     return store, sorted(found, key=lambda f: (int(posixpath.basename(f).split("-")[1].split(".")[0]), f))
 
 
+def _few(file: str, store: fs.FileSystem) -> int:
+    """Rows of a file that take some megabytes."""
+    footer = pq.read_metadata(file, filesystem=store)
+    size = sum(footer.row_group(k).total_byte_size for k in range(footer.num_row_groups))
+    return max(1, min(BATCH, BYTES * footer.num_rows // max(1, size)))
+
+
 class Reels:
     """The decoder of reels, see video.py."""
 
@@ -70,7 +77,7 @@ class Reels:
             if begins(file) >= stop:
                 break
             part = ds.dataset(file, filesystem=store, format="parquet")
-            for batch in part.to_batches(columns=["frame", "image"], filter=inside, batch_size=BATCH, batch_readahead=1, use_threads=False):
+            for batch in part.to_batches(columns=["frame", "image"], filter=inside, batch_size=_few(file, store), batch_readahead=1, use_threads=False):
                 for frame, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     if frame < wanted:
                         continue
@@ -92,18 +99,19 @@ class _Segment:
         self.final, self.made = f"{inner}/part-{segment:05d}.parquet", f"{inner}/_{uuid.uuid4().hex}"
         size = {"fps": str(fps), "frame_w": str(width), "frame_h": str(height)}
         self.out = pq.ParquetWriter(self.made, _DRAWN.with_metadata(size), filesystem=self.store)
-        self.frame, self.rows = first, []
+        self.frame, self.rows, self.held = first, [], 0
 
     def write(self, image: bytes, marks: list[dict], texts: list[dict]) -> None:
         self.rows.append({"frame": self.frame, "image": image, "marks": json.dumps(marks), "texts": json.dumps(texts)})
         self.frame += 1
-        if len(self.rows) == BATCH:
+        self.held += len(image)
+        if len(self.rows) == BATCH or self.held >= BYTES:
             self._flush()
 
     def _flush(self) -> None:
         if self.rows:
             self.out.write_table(pa.Table.from_pylist(self.rows, self.out.schema))
-            self.rows = []
+            self.rows, self.held = [], 0
 
     def close(self) -> str:
         self._flush()

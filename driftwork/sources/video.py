@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ from driftwork.config import DetectorConfig
 from driftwork.sources import models
 
 
+#: Bytes of images that a reader or a model's call holds beyond one image, and boxes that are held before they go on.
+BYTES, BOXES = 4 << 20, 20_000
+
+
 def _decoder(name: str):
     module, _, member = name.partition(":")
     return getattr(importlib.import_module(module), member)
@@ -43,9 +48,20 @@ class _Frames(DataSourceReader):
         return [_Range(i, min(i + size, total)) for i in range(0, total, size)] or [_Range(0, 0)]
 
     def read(self, partition):
+        images, held = [], 0
         if partition.stop > partition.first:
             for k, image in enumerate(_decoder(self.decoder).read(self.path, partition.first, partition.stop)):
-                yield self.video, partition.first + k, bytes(image)
+                images.append(bytes(image))
+                held += len(images[-1])
+                if held >= BYTES:
+                    yield self._batch(partition.first + k + 1, images)
+                    images, held = [], 0
+            if images:
+                yield self._batch(partition.stop, images)
+
+    def _batch(self, stop: int, images: list[bytes]) -> pa.RecordBatch:
+        numbers = pa.array(range(stop - len(images), stop), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([self.video] * len(images), pa.int64()), numbers, pa.array(images, pa.binary())], names=["video_id", "frame", "image"])
 
 
 class _FrameStream(DataSourceStreamReader):
@@ -152,6 +168,18 @@ def _boxes(found: list | None) -> list[dict]:
     return [dict(zip(_NAMES, b, strict=True)) for b in found or []]
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list, list]]:
+    """Rows of (video_id, frame, image) as lists, a few megabytes of images or one image at a time: what is found in them takes many times their bytes."""
+    for pdf in batches:
+        first, held = 0, 0
+        for k, image in enumerate(pdf.image):
+            held += len(image) if image is not None else 0
+            if held >= BYTES or k + 1 == len(pdf):
+                part = pdf.iloc[first : k + 1]
+                yield list(part.video_id), list(part.frame), list(part.image)
+                first, held = k + 1, 0
+
+
 def detect(images: DataFrame, load: Callable[[], Callable], config: DetectorConfig = DetectorConfig(), counter=None) -> DataFrame:
     """boxes(video_id, frame, boxes) of frames. load() makes a model; it maps a list of images, with the settings of config as
     keywords (confidence, iou, image_size, agnostic_nms, device, half), to lists of (x1, y1, x2, y2, conf, track_id or None).
@@ -162,11 +190,11 @@ def detect(images: DataFrame, load: Callable[[], Callable], config: DetectorConf
 
     def run(batches: Iterator) -> Iterator:
         settings = _settings(config)
-        for pdf in batches:
+        for videos, numbers, some in _pieces(batches):
             model = models.held(name, load)
-            yield pd.DataFrame({"video_id": pdf.video_id, "frame": pdf.frame, "boxes": [_boxes(b) for b in model(list(pdf.image), **settings)]})
+            yield pd.DataFrame({"video_id": videos, "frame": numbers, "boxes": [_boxes(b) for b in model(some, **settings)]})
             if counter is not None:
-                counter.add(len(pdf))
+                counter.add(len(some))
 
     return images.mapInPandas(run, _BOXES)
 
@@ -183,15 +211,15 @@ def track(images: DataFrame, start: Callable[[str], Callable], config: DetectorC
 
     def run(batches: Iterator) -> Iterator:
         video, tracker, settings = None, None, _settings(config)
-        for pdf in batches:
+        for videos, numbers, some in _pieces(batches):
             found = []
-            for v, image in zip(pdf.video_id, pdf.image, strict=True):
+            for v, image in zip(videos, some, strict=True):
                 if tracker is None or v != video:
                     video, tracker = v, start(config.tracker)
                 found.append(_boxes(tracker(image, **settings)))
-            yield pd.DataFrame({"video_id": pdf.video_id, "frame": pdf.frame, "boxes": found})
+            yield pd.DataFrame({"video_id": videos, "frame": numbers, "boxes": found})
             if counter is not None:
-                counter.add(len(pdf))
+                counter.add(len(some))
 
     return rows.mapInPandas(run, _BOXES)
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from driftwork.config import DetectorConfig
-from driftwork.sources.video import _BOXES, _boxes, _settings
-from driftwork.streaming.state import use_rocksdb
+from driftwork.sources.video import _BOXES, BOXES, _boxes, _settings
+from driftwork.streaming.state import in_order, use_rocksdb
 
 
 class _Track(StatefulProcessor):
@@ -25,12 +25,17 @@ class _Track(StatefulProcessor):
         if self.place.exists():
             seen, saved = self.place.get()
             tracker.restore(bytes(saved))
-        settings, out = _settings(self.config), []
-        for r in pd.concat(list(rows)).sort_values("frame", kind="stable").itertuples(index=False):
-            if seen is not None and r.frame <= seen:
+        settings, out, held = _settings(self.config), [], 0
+        images = ((int(f), b"" if i is None else b"+" + i) for pdf in rows for f, i in zip(pdf.frame, pdf.image, strict=True))
+        for frame, image in in_order(images):
+            if seen is not None and frame <= seen:
                 continue
-            seen = int(r.frame)
-            out.append((int(key[0]), seen, _boxes(tracker(r.image, **settings))))
+            seen = frame
+            out.append((int(key[0]), seen, _boxes(tracker(image[1:] if image else None, **settings))))
+            held += 1 + len(out[-1][2])
+            if held >= BOXES:
+                yield pd.DataFrame(out, columns=["video_id", "frame", "boxes"])
+                out, held = [], 0
         self.place.update((seen, tracker.save()))
         yield pd.DataFrame(out, columns=["video_id", "frame", "boxes"])
 
