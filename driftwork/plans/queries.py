@@ -162,14 +162,14 @@ def tracks_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(spark, rows: DataFrame, run) -> DataFrame:
-    """What a stream makes of rows that come in two parts by frame, a micro-batch each, with its state between them."""
+    """What a stream makes of rows that come in two parts by frame, a micro-batch each, with its state between them: it stops after the first and goes on."""
     path = shared.scratch(spark, "stream")
     half = rows.agg(F.percentile_approx("frame", 0.5)).first()[0]
     for where in (f"frame <= {half}", f"frame > {half}"):
-        rows.where(where).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    made = run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
-    q = made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+        rows.where(where).write.mode("append").parquet(f"{path}/in")
+        made = run(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        q = made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{path}/out")
 
 

@@ -12,17 +12,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from driftwork.config import ReidConfig
 from driftwork.operators.reid import _TRACKS, Tracker, Video
-from driftwork.streaming.state import use_rocksdb
+from driftwork.streaming.state import in_order, use_rocksdb
 
 #: seen: the last frame that came; frame: the last one that the tracker stepped to, null until it has started.
 _PLACE = "seen long, frame long"
 _OBJECT = "x double, y double, before_x double, before_y double, vx double, vy double, miss long"
 
 
+def _table(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["video_id", "frame", "id", "x", "y"]).astype({"video_id": "int64", "frame": "int64", "id": "int32", "x": float, "y": float})
+
+
 class _Reid(StatefulProcessor):
     def __init__(self, config: ReidConfig, tracker: type[Tracker]):
         self.config, self.tracker = config, tracker
@@ -35,17 +40,20 @@ class _Reid(StatefulProcessor):
         held = [tuple(r) for r in self.objects.get()] if frame is not None else []
         video = Video(self.config, self.tracker.of(self.config, frame, held))
         out = []
-        for r in pd.concat(list(rows)).sort_values("frame", kind="stable").itertuples(index=False):
-            now = int(r.frame)
+        # x and y of a frame's points, which are 16 bytes each; a frame's are held at once
+        packed = ((int(f), np.stack([np.asarray(x, float), np.asarray(y, float)]).tobytes()) for pdf in rows for f, x, y in zip(pdf.frame, pdf.x, pdf.y, strict=True))
+        for now, data in in_order(packed):
             if seen is not None and now <= seen:
                 continue
-            points = np.array([(d["x"], d["y"]) for d in sorted(r.dets, key=lambda d: d["ord"])], float).reshape(-1, 2)
-            out += [(int(key[0]), now, *row) for row in video.feed(now, points)]
+            out += [(int(key[0]), now, *row) for row in video.feed(now, np.frombuffer(data).reshape(2, -1).T)]
             seen = now
+            if len(out) >= 20_000:
+                yield _table(out)
+                out = []
         self.place.update((seen, video.tracker.frame))
         if video.tracker.started:
             self.objects.put(video.tracker.rows())
-        yield pd.DataFrame(out, columns=["video_id", "frame", "id", "x", "y"]).astype({"video_id": "int64", "frame": "int64", "id": "int32", "x": float, "y": float})
+        yield _table(out)
 
     def close(self) -> None:
         pass
@@ -58,4 +66,6 @@ def reid_stream(frames: DataFrame, config: ReidConfig = ReidConfig(), tracker: t
     skipped count as empty. tracker: another class with the same rows() and of(). Sets the session's state store to RocksDB.
     """
     use_rocksdb(frames.sparkSession)
-    return frames.select("video_id", "frame", "dets").groupBy("video_id").transformWithStateInPandas(_Reid(config, tracker), _TRACKS, "Append", "None")
+    points = F.array_sort(F.transform("dets", lambda d: F.struct(d["ord"].alias("ord"), d["x"].cast("double").alias("x"), d["y"].cast("double").alias("y"))))
+    rows = frames.select("video_id", "frame", points.alias("p")).select("video_id", "frame", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    return rows.groupBy("video_id").transformWithStateInPandas(_Reid(config, tracker), _TRACKS, "Append", "None")
