@@ -42,6 +42,6 @@ def same_as_sql(spark, name, path):
     return rows(QUERIES[name](spark, path).toPandas()) == rows(con.sql(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", ["reid_constant_velocity_n2", "reid_constant_velocity_tight_n2", "reid_last_position_n2", "reid_damped_n2", "segmented_constant_velocity_n2"])
+@pytest.mark.parametrize("name", ["reid_constant_velocity_n2", "reid_constant_velocity_tight_n2", "reid_last_position_n2", "reid_damped_n2", "segmented_constant_velocity_n2", "run_interactive_n2"])
 def test_copies_as_in_sql(spark, copies, name):
     assert same_as_sql(spark, name, copies)
