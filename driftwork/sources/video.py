@@ -9,6 +9,7 @@ from __future__ import annotations
 import importlib
 import json
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -199,6 +200,35 @@ def detect(images: DataFrame, load: Callable[[], Callable], config: DetectorConf
     return images.mapInPandas(run, _BOXES)
 
 
+def _track(batches: Iterator[pa.RecordBatch], start: Callable[[str], Callable], config: DetectorConfig) -> Iterator[tuple[list, list, list]]:
+    """Videos, frames and their boxes, some BOXES at a time; of a batch's images one is taken out at a time."""
+    video, tracker, settings = None, None, _settings(config)
+    videos, numbers, found, held = [], [], [], 0
+    for batch in batches:
+        for v, frame, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if tracker is None or v != video:
+                video, tracker = v, start(config.tracker)
+            videos.append(v)
+            numbers.append(frame)
+            found.append(tracker(image.as_py(), **settings) or [])
+            held += 1 + len(found[-1])
+            if held >= BOXES:
+                yield videos, numbers, found
+                videos, numbers, found, held = [], [], [], 0
+    if videos:
+        yield videos, numbers, found
+
+
+def _table(videos: list, numbers: list, found: list[list]) -> pa.RecordBatch:
+    """Rows of _BOXES, column by column: a dict for each box would take several times the bytes."""
+    ends = pa.array(accumulate(map(len, found), initial=0), pa.int32())
+    columns = list(zip(*(b for boxes in found for b in boxes), strict=True)) or [()] * len(_NAMES)
+    kinds = {n: pa.int32() if n == "track_id" else pa.float32() for n in _NAMES}
+    fields = [pa.array(c, kinds[n], from_pandas=True) for n, c in zip(_NAMES, columns, strict=True)]
+    boxes = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, names=list(_NAMES)))
+    return pa.RecordBatch.from_arrays([pa.array(videos, pa.int64()), pa.array(numbers, pa.int64()), boxes], names=["video_id", "frame", "boxes"])
+
+
 def track(images: DataFrame, start: Callable[[str], Callable], config: DetectorConfig = DetectorConfig(), in_order: bool = False, counter=None) -> DataFrame:
     """boxes(video_id, frame, boxes) of frames by a detector that tracks: every frame has a row, empty ones too.
 
@@ -209,19 +239,13 @@ def track(images: DataFrame, start: Callable[[str], Callable], config: DetectorC
     rows = images.select("video_id", "frame", "image")
     rows = rows if in_order else rows.repartition("video_id").sortWithinPartitions("video_id", "frame")
 
-    def run(batches: Iterator) -> Iterator:
-        video, tracker, settings = None, None, _settings(config)
-        for videos, numbers, some in _pieces(batches):
-            found = []
-            for v, image in zip(videos, some, strict=True):
-                if tracker is None or v != video:
-                    video, tracker = v, start(config.tracker)
-                found.append(_boxes(tracker(image, **settings)))
-            yield pd.DataFrame({"video_id": videos, "frame": numbers, "boxes": found})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _track(batches, start, config):
+            yield _table(*found)
             if counter is not None:
-                counter.add(len(some))
+                counter.add(len(found[0]))
 
-    return rows.mapInPandas(run, _BOXES)
+    return rows.mapInArrow(run, _BOXES)
 
 
 def _drawn(marks: DataFrame, overlays: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """What a worker holds of images does not grow with the video."""
 
 import pandas as pd
+import pyarrow as pa
 
 from driftwork.sources import reels, video
 from driftwork.streaming.state import in_order
@@ -31,6 +32,20 @@ def test_models_get_some_megabytes():
     assert [f for p in pieces for f in p[1]] == list(range(40)) and max(len(p[2]) for p in pieces) == 4
 
 
+def test_a_tracker_s_boxes_go_on_in_pieces():
+    """Also where images are small and have many boxes."""
+    batch = pa.RecordBatch.from_pydict({"video_id": [1] * 40 + [2], "frame": [*range(40), 0], "image": [b"x"] * 39 + [None, b"y"]})
+    start = lambda _name: lambda image, **_: [(0.5, 1, 2, 3, 0.25, None if k else 7) for k in range(5000)] if image else None
+    pieces = list(video._track([batch, batch[:0]], start, video.DetectorConfig()))
+    assert max(sum(map(len, p[2])) for p in pieces) <= video.BOXES + 5000
+    tables = [video._table(*p) for p in pieces]
+    rows = [r for t in tables for r in t.to_pylist()]
+    assert [(r["video_id"], r["frame"]) for r in rows] == [(1, k) for k in range(40)] + [(2, 0)]
+    assert [len(r["boxes"]) for r in rows] == [5000] * 39 + [0, 5000]
+    assert rows[40]["boxes"][:2] == [{"x1": 0.5, "y1": 1.0, "x2": 2.0, "y2": 3.0, "conf": 0.25, "track_id": k} for k in (7, None)]
+    assert video._table([1], [0], [[]]).to_pylist() == [{"video_id": 1, "frame": 0, "boxes": []}]
+
+
 def test_frames_in_order_through_a_file():
     assert list(in_order([(3, b"c"), (1, b"a"), (3, b"d"), (2, b"")])) == [(1, b"a"), (2, b""), (3, b"c"), (3, b"d")]
 
