@@ -45,3 +45,7 @@ def same_as_sql(spark, name, path):
 @pytest.mark.parametrize("name", ["reid_constant_velocity_n2", "reid_constant_velocity_tight_n2", "reid_last_position_n2", "reid_damped_n2", "segmented_constant_velocity_n2", "run_interactive_n2"])
 def test_copies_as_in_sql(spark, copies, name):
     assert same_as_sql(spark, name, copies)
+
+
+def test_copies_as_in_sql_offline_run(spark, copies):
+    assert same_as_sql(spark, "run_offline_n2", copies)
