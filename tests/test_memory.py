@@ -3,6 +3,7 @@
 import pandas as pd
 import pyarrow as pa
 
+from driftwork.operators import segments
 from driftwork.sources import reels, video
 from driftwork.streaming.state import in_order
 
@@ -56,3 +57,27 @@ def test_rows_of_a_file_by_their_bytes(spark, tmp_path):
     store, files = reels._files(f"file://{tmp_path}/0", "frames")
     assert max(reels._few(f, store) for f in files) <= 8
     assert [len(i) for i in reels.reels.read(f"file://{tmp_path}/0", 0, 40)] == [36 * 30000] * 40
+
+
+def test_a_segment_s_frames_go_on_as_they_come():
+    """Of a segment's points only the last frame is held, whatever the segment's length."""
+    taken, done = 0, []
+
+    def batches():
+        nonlocal taken
+        for k in range(50):
+            taken += 1
+            n = 10
+            yield pa.RecordBatch.from_pydict({"video_id": [1] * n, "segment": [0] * n, "frame": [k] * n, "ord": [*range(n)], "x": [1.0] * n, "y": [float(k)] * n, "kind": [segments._POINT] * n, "id": [0] * n, "state": pa.nulls(n, pa.list_(pa.float64()))})
+
+    class One:
+        rows = []
+
+        def points(self, frame, points, warm):
+            done.append((frame, len(points), taken - frame))
+
+        def end(self):
+            pass
+
+    list(segments._segments(batches(), lambda *_: One()))
+    assert [d[:2] for d in done] == [(k, 10) for k in range(50)] and max(d[2] for d in done) <= 2
