@@ -7,7 +7,7 @@ counts, empty ones too.
 
 The recurrence can't be a window function. State is small (some numbers for each object) and is carried along a video's sorted
 rows, so videos are the parallelism; the same step function serves batch and stream. Of matchings that cost the same one is taken by rule (see
-assignment.preferred), so a run does not depend on the solver's way.
+assignment.latest for up to two objects, as in their SQL, and assignment.preferred), so a run does not depend on the solver's way.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwork.config import BIG, ReidConfig
-from driftwork.operators.assignment import preferred, solved
+from driftwork.operators.assignment import latest, preferred, solved
 from driftwork.operators.frames import candidates, damped_candidates
 
 _TRACKS = "video_id long, frame long, id int, x double, y double"
@@ -69,9 +69,10 @@ class Tracker:
         self.velocity, self.miss = np.zeros((n, 2)), np.zeros(n, int)
         return [(i, *map(float, p)) for i, p in enumerate(self.last)]
 
-    def _matched(self, rows, cost):
-        i, j, u, v = solved(cost)
-        i, j, tied = preferred(np.asarray(cost, float), i, j, u, v, BIG)
+    def _matched(self, rows, cost, points):
+        few = self.config.objects <= 2
+        i, j, u, v = solved(cost) if self.proof is not None or not few else (None,) * 4
+        i, j, tied = latest(cost, points, BIG) if few else preferred(np.asarray(cost, float), i, j, u, v, BIG)
         self.tied = self.tied or tied
         if self.proof is not None:
             self.proof.update(rows=rows, u=u, v=v, i=i, j=j)
@@ -87,7 +88,7 @@ class Tracker:
         dx, dy = points[None, :, 0] - target[:, None, 0], points[None, :, 1] - target[:, None, 1]
         with np.errstate(over="ignore"):
             d = np.sqrt(dx * dx + dy * dy)
-        ids, at = self._matched(np.arange(len(target)), np.where(d <= self.config.max_move, d, BIG))
+        ids, at = self._matched(np.arange(len(target)), np.where(d <= self.config.max_move, d, BIG), points)
         self.before[ids] = self.last[ids]
         self.last[ids] = points[at]
         return [(int(i), float(points[j, 0]), float(points[j, 1])) for i, j in zip(ids, at, strict=True)]
@@ -96,7 +97,7 @@ class Tracker:
         c, ids, at = self.config, np.empty(0, int), np.empty(0, int)
         active = np.flatnonzero(self.miss <= c.max_miss)
         if len(points) and len(active):
-            ids, at = self._matched(active, self._damped_costs(active, points))
+            ids, at = self._matched(active, self._damped_costs(active, points), points)
         moved = points[at] - self.last[ids]
         self.miss += 1
         self.miss[ids] = 0
