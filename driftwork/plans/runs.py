@@ -39,7 +39,7 @@ class Result:
     video: str | None
 
 
-def _detections(spark: SparkSession, kind: str, config: RunConfig, parts: Parts, detector: DetectorConfig, cleaning: CleanConfig, video_id: int, total: int) -> DataFrame:
+def _detections(spark: SparkSession, kind: str, config: RunConfig, parts: Parts, detector: DetectorConfig, cleaning: CleanConfig, video_id: int, meta: DataFrame, total: int) -> DataFrame:
     """The saved detections where they are wanted, else those of the model, which are saved."""
     folder = f"{config.raw_path}/video_id={video_id}"
     if config.use_existing:
@@ -47,7 +47,7 @@ def _detections(spark: SparkSession, kind: str, config: RunConfig, parts: Parts,
     mode = "overwrite" if config.overwrite_raw else "error"
     with progress.BatchProgress(spark, parts.report or (lambda *_: None), total, config.report_every, "detection") as p:
         if kind == "online":
-            boxes = video.track(video.frames(spark, config.video_path, parts.decoder, video_id, 0), parts.model, detector, in_order=True, counter=p.frames)
+            boxes = video.track_videos(meta, {video_id: config.video_path}, parts.decoder, parts.model, detector, p.frames)
             tables.write_tracker(clean.clean(clean.box_centroids(boxes), cleaning), config.raw_path, mode)
         else:
             boxes = video.detect(video.frames(spark, config.video_path, parts.decoder, video_id, config.frames_per_task), parts.model, detector, counter=p.frames)
@@ -67,7 +67,7 @@ def run(spark: SparkSession, kind: str, config: RunConfig, parts: Parts, reid_co
     cleaning = cleaning or replace(CleanConfig(), objects=reid_config.objects)
     meta = video.video_meta(spark, config.video_path, parts.decoder, video_id)
     total = int(meta.first().total_frames)
-    detections = _detections(spark, kind, config, parts, detector, cleaning, video_id, total)
+    detections = _detections(spark, kind, config, parts, detector, cleaning, video_id, meta, total)
     frames.checked_start_frames(detections, reid_config.objects).collect()  # a row: one video
     watch = lambda phase: progress.BatchProgress(spark, parts.report or (lambda *_: None), total, config.report_every, phase)
     with watch("matching"):

@@ -63,7 +63,7 @@ def _tracked(boxes: DataFrame) -> DataFrame:
 @_query(_TRACKED)
 def video_tracked(spark: SparkSession, d: str) -> DataFrame:
     """A tracker whose numbers depend on all frames before; frames without boxes have rows too."""
-    return _tracked(_videos(spark, d, lambda path, v: video.track(video.frames(spark, path, reels.DECODER, v, 0), fixture.PointTracker, in_order=True)))
+    return _tracked(_videos(spark, d, lambda path, v: video.track_videos(video.video_meta(spark, path, reels.DECODER, v), {v: path}, reels.DECODER, fixture.PointTracker)))
 
 
 @_query(_TRACKED)
@@ -76,7 +76,7 @@ def stream_video_tracked(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"WITH {SEEN_SQL} SELECT video_id, frame, track_id::BIGINT AS track_id, x, y, conf::FLOAT::DOUBLE AS conf FROM fx WHERE track_id <> -1")
 def tracker_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Tracker output through its CSV files."""
-    boxes = _videos(spark, d, lambda path, v: video.track(video.frames(spark, path, reels.DECODER, v, 0), fixture.PointTracker, in_order=True))
+    boxes = _videos(spark, d, lambda path, v: video.track_videos(video.video_meta(spark, path, reels.DECODER, v), {v: path}, reels.DECODER, fixture.PointTracker))
     path = shared.scratch(spark, "csv")
     tables.write_tracker(clean.drop_untracked(clean.box_centroids(boxes)), path)
     rows = spark.read.option("header", True).option("basePath", path).schema("frame long, track_id long, x double, y double, conf float, video_id long").csv(path)

@@ -200,25 +200,44 @@ def detect(images: DataFrame, load: Callable[[], Callable], config: DetectorConf
     return images.mapInPandas(run, _BOXES)
 
 
-def _track(batches: Iterator[pa.RecordBatch], start: Callable[[str], Callable], config: DetectorConfig) -> Iterator[tuple[list, list, list]]:
-    """Videos, frames and their boxes, some BOXES at a time; of a batch's images one is taken out at a time."""
-    video, tracker, settings = None, None, _settings(config)
-    videos, numbers, found, held = [], [], [], 0
+def _images(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Videos, frames and images of batches; of a batch's images one is taken out at a time."""
     for batch in batches:
         for v, frame, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if tracker is None or v != video:
-                video, tracker = v, start(config.tracker)
-            videos.append(v)
-            numbers.append(frame)
-            found.append(tracker(image.as_py(), **settings) or [])
-            held += 1 + len(found[-1])
-            if held >= BOXES:
-                yield videos, numbers, found
-                videos, numbers, found, held = [], [], [], 0
+            yield v, frame, image.as_py()
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], paths: dict[int, str], decoder: str) -> Iterator[tuple]:
+    """Videos, frames and images of rows (video_id, total_frames), as the decoder gives them."""
+    for batch in batches:
+        for v, total in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for frame, image in enumerate(_decoder(decoder).read(paths[v], 0, total) if total else ()):
+                yield v, frame, bytes(image)
+
+
+def _followed(rows: Iterator[tuple], start: Callable[[str], Callable], config: DetectorConfig) -> Iterator[tuple[list, list, list]]:
+    """Videos, frames and their boxes, some BOXES at a time, of (video, frame, image), of which one is held."""
+    video, tracker, settings = None, None, _settings(config)
+    videos, numbers, found, held = [], [], [], 0
+    for v, frame, image in rows:
+        if tracker is None or v != video:
+            video, tracker = v, start(config.tracker)
+        videos.append(v)
+        numbers.append(frame)
+        found.append(tracker(image, **settings) or [])
+        held += 1 + len(found[-1])
+        if held >= BOXES:
+            yield videos, numbers, found
+            videos, numbers, found, held = [], [], [], 0
     if videos:
         yield videos, numbers, found
 
 
+def _track(batches: Iterator[pa.RecordBatch], start: Callable[[str], Callable], config: DetectorConfig) -> Iterator[tuple[list, list, list]]:
+    """_followed() of batches of images."""
+    return _followed(_images(batches), start, config)
+
+
 def _table(videos: list, numbers: list, found: list[list]) -> pa.RecordBatch:
     """Rows of _BOXES, column by column: a dict for each box would take several times the bytes."""
     ends = pa.array(accumulate(map(len, found), initial=0), pa.int32())
@@ -239,13 +258,27 @@ def track(images: DataFrame, start: Callable[[str], Callable], config: DetectorC
     rows = images.select("video_id", "frame", "image")
     rows = rows if in_order else rows.repartition("video_id").sortWithinPartitions("video_id", "frame")
 
+    return rows.mapInArrow(_boxed(lambda batches: _track(batches, start, config), counter), _BOXES)
+
+
+def track_videos(meta: DataFrame, paths: dict[int, str], decoder: str, start: Callable[[str], Callable], config: DetectorConfig = DetectorConfig(), counter=None) -> DataFrame:
+    """boxes(video_id, frame, boxes) as of track(), of the videos of meta, whose paths are by video_id.
+
+    Each task decodes its videos itself, and tracks an image as it is decoded: no image leaves the task, and none but the decoder's own are held.
+    """
+    return meta.select("video_id", "total_frames").mapInArrow(_boxed(lambda batches: _followed(_decoded(batches, paths, decoder), start, config), counter), _BOXES)
+
+
+def _boxed(follow: Callable[[Iterator], Iterator], counter) -> Callable[[Iterator], Iterator]:
+    """What a task does with its batches: pieces of follow() as rows of _BOXES, counted as they go."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _track(batches, start, config):
+        for found in follow(batches):
             yield _table(*found)
             if counter is not None:
                 counter.add(len(found[0]))
 
-    return rows.mapInArrow(run, _BOXES)
+    return run
 
 
 def _drawn(marks: DataFrame, overlays: DataFrame) -> DataFrame:

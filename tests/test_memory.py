@@ -2,10 +2,13 @@
 
 import pandas as pd
 import pyarrow as pa
+import pytest
 
 from driftwork.operators import segments
+from driftwork.plans.video_queries import QUERIES
 from driftwork.sources import reels, video
 from driftwork.streaming.state import in_order
+from test_queries import SF
 
 
 class Big:
@@ -47,6 +50,43 @@ def test_a_tracker_s_boxes_go_on_in_pieces():
     assert video._table([1], [0], [[]]).to_pylist() == [{"video_id": 1, "frame": 0, "boxes": []}]
 
 
+class Counted:
+    """Five images of each video, decoded as they are asked for."""
+
+    given = 0
+
+    def read(self, path, first, stop):
+        for k in range(first, stop):
+            Counted.given += 1
+            yield memoryview(path.encode() * (k + 1))
+
+
+counted = Counted()
+
+
+def test_a_tracker_gets_an_image_as_it_is_decoded():
+    """No image is waiting, whatever the video's length."""
+    ahead, seen = [], []
+
+    def start(_name):
+        def call(image, **_):
+            seen.append(image)
+            ahead.append(Counted.given - len(seen))
+            return [(0, 0, 1, 1, 0.5, len(seen))] if len(seen) % 2 else None
+
+        return call
+
+    meta = pa.RecordBatch.from_pydict({"video_id": [7, 8, 9], "total_frames": [5, 0, 5]})
+    (videos, numbers, found), = video._followed(video._decoded([meta], {7: "a", 8: "b", 9: "c"}, f"{__name__}:counted"), start, video.DetectorConfig())
+    assert ahead == [0] * 10 and seen == [c * k for c in (b"a", b"c") for k in range(1, 6)]
+    assert videos == [7] * 5 + [9] * 5 and numbers == [*range(5)] * 2 and [len(b) for b in found] == [1, 0] * 5
+
+
+def test_images_stay_in_the_task_that_decodes_them(spark):
+    plan = QUERIES["video_tracked"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "image" not in plan
+
+
 def test_frames_in_order_through_a_file():
     assert list(in_order([(3, b"c"), (1, b"a"), (3, b"d"), (2, b"")])) == [(1, b"a"), (2, b""), (3, b"c"), (3, b"d")]
 
