@@ -87,6 +87,14 @@ def test_images_stay_in_the_task_that_decodes_them(spark):
     assert "MapInArrow" in plan and "image" not in plan
 
 
+def test_an_online_run_moves_no_images(spark, monkeypatch):
+    def frames(*_):
+        raise AssertionError("images as rows")
+
+    monkeypatch.setattr(video, "frames", frames)
+    assert QUERIES["run_online_n2"](spark, SF).count()
+
+
 def test_frames_in_order_through_a_file():
     assert list(in_order([(3, b"c"), (1, b"a"), (3, b"d"), (2, b"")])) == [(1, b"a"), (2, b""), (3, b"c"), (3, b"d")]
 
