@@ -17,11 +17,14 @@ Large clusters are cut into blocks; each block also holds the cluster's first do
 outside the largest component of its cluster meets the other blocks, as long as that takes SPREAD rows for a document or less. Where it takes more
 (many unlike documents in a chain of equal parts), the cluster is dealt anew by signatures: those that documents of several components share
 make groups, so a document meets only documents that it has an equal part with, and the rows grow with the documents.
+
+Whole sets are as large as the texts, so they lie in files of the shared folder, each once; rows only say where, and a task reads the sets of a group when it joins it.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from fractions import Fraction
 
 import numpy as np
@@ -44,8 +47,12 @@ MEET = 3_000_000
 BLOCK = 256
 #: Rows of a cluster's documents, by number of documents, up to which what is outside its largest component meets all blocks.
 SPREAD = 4
-#: Documents in clusters up to which their ids are broadcast (8 bytes each); beyond, the texts are shuffled to them.
+#: Documents in clusters up to which their ids are broadcast; beyond, tasks look them up in sorted files.
 BROADCAST_ROWS = 500_000
+#: Tokens of a file of sets (8 bytes each).
+FILE = 2_000_000
+#: Where a set lies.
+AT = ["file", "at", "n"]
 
 _KEY = np.uint64(0xD6E8FEB86659FD93)
 
@@ -306,18 +313,18 @@ def _meet(batches):
 
 
 def _signed(percent: int, common: np.ndarray):
-    """(sig, doc_id, m) of sets (doc_id, m, tokens): their signatures."""
+    """(sig, doc_id, m) of sets (doc_id, m, file, at, n): their signatures."""
 
     def run(batches):
         S.lean()
-        scheme = Scheme(percent)
+        scheme, spans = Scheme(percent), S.Spans()
         for batch in batches:
             at, size = 0, batch.num_rows
             while at < size:
                 keys, held = [], 0
                 begin = at
                 while at < size and (held < TOKENS or at == begin):
-                    keys.append(np.frombuffer(batch.column(2)[at].as_buffer(), np.uint64))
+                    keys.append(_set(spans, *(batch.column(k)[at].as_py() for k in (2, 3, 4))))
                     held += len(keys[-1])
                     at += 1
                 n = np.array([len(k) for k in keys], np.int64)
@@ -337,20 +344,41 @@ def _unpacked(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c.as_buffer(), np.int64)) for c in (x, y)], names=["doc_id", "n_shingles"])
 
 
-def _sets(size: int):
-    """(cluster, block, of, doc_id, m, set) of the documents of clusters; of: a guest of this block; m: what is known of its component."""
+def _sets(size: int, folder: str, index: list | None = None):
+    """(doc_id, cluster, blocks, file, at, n) of the documents of clusters, whose sets go to files. index: the documents with cluster and blocks, where texts come without."""
+
+    def members(batches):
+        keys = S.Keys(index, 3)
+        for batch in batches:
+            at, (cluster, blocks) = keys.find(batch.column(0).to_numpy(zero_copy_only=False))
+            if len(at):
+                part = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cluster), pa.array(blocks)], names=["doc_id", "text", "cluster", "blocks"])
 
     def run(batches):
-        for batch, data, at in T.blocks(batches):
+        held, count, name = [], 0, ""
+        for batch, data, at in T.blocks(batches if index is None else members(batches)):
             doc, key = shingles(T.Words(data, at), size)
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            keep = {n: batch.column(batch.schema.get_field_index(n)) for n in ("cluster", "blocks", "block", "of", "doc_id")}
-            keep["m"] = keep["doc_id"]
-            yield pa.RecordBatch.from_arrays([*keep.values(), pa.array([key[i:j].tobytes() for i, j in zip(first, first[1:], strict=False)], pa.binary())], names=[*keep, "tokens"])
+            if held and count + len(key) > FILE:
+                S.put_file(name, held)
+                held, count = [], 0
+            if not held:
+                name = f"{folder}/{uuid.uuid4().hex}"
+            keep = {n: batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "cluster", "blocks")}
+            yield pa.RecordBatch.from_arrays([*keep.values(), pa.array([name] * batch.num_rows, pa.string()), pa.array(first[:-1] + count), pa.array(np.diff(first))], names=[*keep, *AT])
+            held.append(key.tobytes())
+            count += len(key)
+        if held:
+            S.put_file(name, held)
 
     return run
 
 
+def _set(spans: S.Spans, file: str, at: int, n: int) -> np.ndarray:
+    return np.frombuffer(spans(file, 8 * at, 8 * n) if n else b"", np.uint64)
+
+
 class Forest:
     """Union by smallest; labels are positions."""
 
@@ -481,18 +509,19 @@ def _join(percent: int):
 
     def run(batches):
         S.lean()
-        now, group = None, []
+        now, group, spans = None, [], S.Spans()
         a, b = [], []
         for batch in batches:
             cluster, block, doc, of, m = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("cluster", "block", "doc_id", "of", "m"))
-            tokens = batch.column(batch.schema.get_field_index("tokens"))
+            files = batch.column(batch.schema.get_field_index("file"))
+            begin, size = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("at", "n"))
             for i in range(batch.num_rows):
                 if (cluster[i], block[i]) != now:
                     if len(group) > 1:
                         for out, x in zip((a, b), solve(group), strict=True):
                             out.append(x)
                     now, group = (cluster[i], block[i]), []
-                group.append((doc[i], of[i], np.frombuffer(tokens[i].as_py(), np.uint64), m[i]))
+                group.append((doc[i], of[i], _set(spans, files[i].as_py(), int(begin[i]), int(size[i])), m[i]))
         if len(group) > 1:
             for out, x in zip((a, b), solve(group), strict=True):
                 out.append(x)
@@ -511,7 +540,7 @@ def _met(rows: DataFrame, guests: DataFrame) -> DataFrame:
     own = rows.withColumns({"of": F.lit(False), "chunk": F.explode(F.expr("sequence(0, chunks - 1)"))})
     guests = guests.withColumns({"of": F.lit(True), "chunk": F.expr("cast(pmod(xxhash64(doc_id, 1), chunks) as int)"), "block": F.explode(F.expr("sequence(0, blocks - 1)"))})
     pair = (F.col("chunk") * F.col("blocks") + F.col("block")).cast("int").alias("block")
-    names = ["cluster", "of", "doc_id", "m", *(["tokens"] if "tokens" in rows.columns else [])]
+    names = ["cluster", "of", "doc_id", "m", *(n for n in AT if n in rows.columns)]
     return own.select(pair, *names).unionByName(guests.select(pair, *names))
 
 
@@ -523,7 +552,7 @@ def _guests(wide: DataFrame) -> DataFrame:
 def _by_signature(wide: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
     """Rows of the groups of documents that share a signature, where they are of several components. A group of more than a block is cut into blocks;
     what is outside its largest component meets them all."""
-    sets, _ = S.written(wide.dropDuplicates(["doc_id"]).select("doc_id", "m", "tokens"), "wide")
+    sets, _ = S.written(wide.dropDuplicates(["doc_id"]).select("doc_id", "m", *AT), "wide")
     rows, _ = S.written(sets.mapInArrow(_signed(percent, common), "sig long, doc_id long, m long"), "signed")
     xor = [lambda c, n=n: F.bit_xor(c).alias(n) for n in "xy"]
     each = rows.groupBy("sig", "m").agg(F.count("*").alias("count"), *(f(F.xxhash64("doc_id", F.lit(k))) for k, f in enumerate(xor)))
@@ -532,7 +561,7 @@ def _by_signature(wide: DataFrame, percent: int, common: np.ndarray) -> DataFram
     each = each.join(count.select("sig", "main"), "sig").groupBy("sig", "main").agg(F.sum("count").alias("size"), F.sum(F.expr("if(m <> main, count, 0)")).alias("minor"))
     rows = rows.join(each.select(F.col("sig"), "main", _cut("size").alias("blocks"), F.when(F.col("size") > BLOCK, _cut("minor")).otherwise(F.lit(1)).alias("chunks")), "sig")
     rows = rows.withColumnRenamed("sig", "cluster").withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
-    return _met(rows, rows.where("blocks > 1 and m <> main").drop("block")).join(sets.select("doc_id", "tokens"), "doc_id")
+    return _met(rows, rows.where("blocks > 1 and m <> main").drop("block")).join(sets.select("doc_id", *AT), "doc_id")
 
 
 def _cut(size: str):
@@ -549,13 +578,17 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    sample = rows.limit(SAMPLE).mapInArrow(_common(shingle), "token long, count long").collect()
+    total = rows.count()
+    # of the whole table, since its parts may have other passages in common
+    some = rows.where(F.expr(f"pmod(xxhash64(doc_id, 1), {max(1, total)}) < {SAMPLE}")).limit(SAMPLE)
+    with S.cleared(spark):
+        sample = some.mapInArrow(_common(shingle), "token long, count long").collect()
     common = np.array([r.token for r in sample if r.token is not None], np.int64).view(np.uint64)
     common.sort()
     # a text's signatures under both of its size classes, from the sample's tokens; where they meet moves work, never results
     texts, tokens = (sum(r["count"] for r in sample if r.token is None and (r["count"] < 0) == sign) for sign in (True, False))
     each = tokens / max(1, -texts) * 4 * (100 - percent) / (100 + percent)
-    tasks = max(1, math.ceil(rows.count() * each / MEET))
+    tasks = max(1, math.ceil(total * each / MEET))
     met, met_path = S.written(rows.mapInArrow(_sketch(shingle, percent, S.seats(spark, tasks), common), _OUT).repartition(tasks, "shard").mapInArrow(_meet, _OUT).drop("shard"), "sketch")
     same = met.where(f"kind = {_SAME}").select("a", "b")
     pairs = met.where(f"kind = {_PAIR}").select("a", "b")
@@ -566,9 +599,15 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
     member = member.join(roots.select(F.col("m").alias("cluster"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "cluster")
     member, member_path = S.written(member, "member")
     n = member.count()
-    dealt = member.withColumn("block", F.expr("if(doc_id = cluster, sequence(0, blocks - 1), array(cast(pmod(xxhash64(doc_id), blocks) as int)))")).select("cluster", "blocks", F.explode("block").alias("block"), F.lit(False).alias("of"), "doc_id")
-    dealt = dealt if n > BROADCAST_ROWS else F.broadcast(dealt)
-    sets, sets_path = S.written(rows.join(dealt, "doc_id").mapInArrow(_sets(shingle), "cluster long, blocks int, block int, of boolean, doc_id long, m long, tokens binary"), "sets")
+    folder, kind, sorted_path = S.scratch(spark, "tokens"), "doc_id long, cluster long, blocks long, file string, at long, n long", None
+    if n > BROADCAST_ROWS:
+        index, sorted_path = S.sorted_files(member.select("doc_id", "cluster", F.col("blocks").cast("long")), "sorted")
+        found = rows.mapInArrow(_sets(shingle, folder, index), kind)
+    else:
+        found = rows.join(F.broadcast(member.withColumn("blocks", F.col("blocks").cast("long"))), "doc_id").mapInArrow(_sets(shingle, folder), kind)
+    sets, sets_path = S.written(found, "sets")
+    block = F.expr("explode(if(doc_id = cluster, sequence(0, int(blocks) - 1), array(cast(pmod(xxhash64(doc_id), blocks) as int))))")
+    sets = sets.select("cluster", F.col("blocks").cast("int").alias("blocks"), block.alias("block"), F.lit(False).alias("of"), "doc_id", F.col("doc_id").alias("m"), *AT)
     links, links_path = S.written(_grouped(sets, percent), "links")
     if member.where("blocks > 1").limit(1).count():
         part, part_path = S.components(links)
@@ -585,6 +624,6 @@ def jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: s
             links = links.unionByName(more)
         S.drop(spark, part_path)
     found, _ = S.components(links.unionByName(same))
-    S.drop(spark, sets_path, member_path, cluster_path)
+    S.drop(spark, sets_path, folder, member_path, cluster_path, *([sorted_path] if sorted_path else []))
     out = met.where(f"kind = {_DOC}").select("x", "y").mapInArrow(_unpacked, "doc_id long, n_shingles long")
     return out.join(found.select(F.col("v").alias("doc_id"), "m"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("m", "doc_id").alias("component_id"))

@@ -150,3 +150,60 @@ def test_folders_of_another_store(spark, tmp_path, monkeypatch):
     S.put_file(url, [b"ab", b"cd"])
     S.put_file(url, b"abcde")
     assert bytes(S.mapped(url)) == b"abcde" and [p.name for p in (tmp_path / "deep").iterdir()] == ["x"]
+
+
+def test_near_duplicates_shuffle_no_texts_or_sets(spark, monkeypatch):
+    """However many documents there are in clusters or dropped, their texts and sets are not shuffled: ids are looked up, sets lie in files, each once."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(0, 200, 5)] + [" ".join(f"y{10 * k + j}" for j in range(60)) for k in range(40)] + [None, "", "alone"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (45, texts[45]), (None, texts[7])]
+    d = spark.createDataFrame([(i, t, "en", None, 1, {"a": i}) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, m map<string,long>")
+    want = sorted(map(repr, corpus_pipeline.one_of_each_group(spark, d, SF).collect()))
+    assert len(want) == 45
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", 0)
+    for most, block in ((0, 256), (0, 4), (500_000, 4)):
+        kinds = []
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "FILE", 500, raising=False)
+        monkeypatch.setattr(S, "KEYS", 7, raising=False)
+        monkeypatch.setattr(jaccard_join, "_grouped", lambda sets, percent, f=jaccard_join._grouped: (kinds.extend(sets.dtypes), f(sets, percent))[-1])
+        found = jaccard_join.jaccard_join(d, shingle=5, percent=80)
+        assert {r.doc_id: r.component_id for r in found.collect() if r.doc_id != r.component_id} == {i: 0 for i in range(1, 40)}
+        assert kinds and "binary" not in dict(kinds).values()
+    got = corpus_pipeline.one_of_each_group(spark, d.where("doc_id is null or doc_id not in (3, 45) or text is null"), SF)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, corpus_pipeline.one_of_each_group(spark, d, SF).collect())) == want
+
+
+def test_files_of_a_shuffle_go_when_its_table_is_written(spark):
+    import time
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: disk.getAllFiles().mkString("\n").count("/shuffle_")
+    before = files()
+    S.written(spark.range(1000).repartition(3, "id").groupBy("id").count(), "test")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before
+    assert spark.conf.get(S.CLEANUP) == "false"
+
+
+def test_looking_keys_up(spark, monkeypatch):
+    """Sorted files, mounted or not, of repeated keys that reach over several files."""
+    monkeypatch.setattr(S, "KEYS", 5)
+    monkeypatch.setattr(S, "OPEN", 2)
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-40, 40, 120)
+    index, _ = S.sorted_files(spark.createDataFrame([(int(k), i) for i, k in enumerate(keys)] + [(None, 5)], "k long, v long").repartition(3), "test")
+    asked = rng.integers(-60, 60, 70)
+    wanted = sorted((i, v) for i, a in enumerate(asked) for v in np.flatnonzero(keys == a).tolist())
+    for local in (S.local_path, lambda url: None):
+        monkeypatch.setattr(S, "local_path", local)
+        at, (values,) = S.Keys(index, 2).find(asked)
+        assert sorted(zip(at.tolist(), values.tolist(), strict=True)) == wanted
+    assert len(S.Keys([], 2).find(asked)[0]) == 0
