@@ -9,15 +9,18 @@ guests, tile by tile, by matrix products over the block's dimensions only; pairs
 vectors in double precision. A pair counts in the first block that finds it.
 
 How many dimensions the grid has is told by a bounded sample (it moves work, never results): what cells save in comparisons against what
-they cost in copies. Without a grid, which is where vectors spread alike in all directions, the blocks share one cell: each vector is sent once for
-all of them, and a pair that any block finds is verified once.
+they cost in copies; one that saves less than half is not worth its copies on disk. Without a grid, which is where vectors spread alike in all directions, the blocks share one cell, and a pair that any block finds is verified once.
 
 Equal vectors are one class with its number, so copies are never paired. Links are counted, not listed: each task adds up the links of
-its vectors and keeps a star forest of its components. Cells with many vectors are dealt to pairs of slots.
+its vectors and keeps a star forest of its components. A cell with many vectors is cut into slots, each a file in the shared folder; what is dealt to
+tasks are pairs of slots, by name, so vectors lie on disk once however many pairs there are.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +36,8 @@ SLOT, TILE = 8192, 512
 SAMPLE, COPY = 2000, 10_000
 #: Candidate pairs verified at once.
 PAIRS = 50_000
+#: Share of the comparisons without a grid that a grid may take at most, and pairs of slots of a task, as far as there are tasks enough.
+WORTH, SHARE = 0.5, 8
 
 
 def rotation(n: int) -> np.ndarray:
@@ -99,7 +104,8 @@ def plan(sample: list[np.ndarray], threshold: float, number: int) -> dict[int, i
     found = {}
     for n in {len(v) for v in sample}:
         y = _unit(np.stack([v for v in sample if len(v) == n]).astype(float)) @ rotation(n)
-        costs = [c * number + m * COPY for c, m in (work(y, threshold, g) for g in range(GRID + 1))]
+        works = [work(y, threshold, g) for g in range(GRID + 1)]
+        costs = [c * number + m * COPY if c <= WORTH * works[0][0] or not g else math.inf for g, (c, m) in enumerate(works)]
         found[n] = int(np.argmin(costs))
     return found
 
@@ -207,65 +213,142 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind_of).alias("embedding")).where("vec_id is not null")
     good = "embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
     rows = rows.withColumn("good", F.coalesce(F.expr(good), F.lit(False)))
-    # the key of a class: adding 0.0 makes both zeros one
+    # the key of a class: adding 0.0 makes both zeros one; of large tables its digest of 128 bits is shuffled instead
     keyed = rows.where("good").select("vec_id", F.transform("embedding", lambda x: x + F.lit(0).cast(kind_of[6:-1])).alias("embedding"))
-    classes, class_path = S.written(keyed.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("number")), "classes")
+    digests = keyed.select("vec_id", F.size("embedding").alias("size"), F.xxhash64(F.lit(1), "embedding").alias("d1"), F.xxhash64(F.lit(2), "embedding").alias("d2"))
+    classes, class_path = S.written(digests.groupBy("d1", "d2").agg(F.min("vec_id").alias("vec_id"), F.min("size").alias("size"), F.count("*").alias("number")), "classes")
     kind = "cell long, block int, home boolean, vec_id long, embedding " + kind_of + ", number long"
-    some = classes.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()  # SAMPLE vectors at most
-    grids = plan([np.array(r.embedding) for r in some], threshold, classes.count())
-    dealt, dealt_path = S.written(classes.select("vec_id", "embedding", "number").mapInArrow(_deal(threshold, grids), kind), "cells")
-    slots = dealt.groupBy("cell").count().select("cell", F.ceil(F.col("count") / SLOT).cast("int").alias("slots"))
-    found = dealt.join(slots, "cell").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("slots")).cast("int"))
-    found = found.withColumn("other", F.explode(F.expr("sequence(0, slots - 1)"))).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    found = found.select("cell", "lo", "hi", "block", "home", "own", "vec_id", "embedding", "number")
-    out, out_path = S.written(found.repartition(S.partitions(spark), "cell", "lo", "hi").sortWithinPartitions("cell", "lo", "hi").mapInArrow(_groups(threshold), "a long, b long, links long"), "links")
+    picked = F.broadcast(classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "d1", "d2"))  # SAMPLE vectors at most
+    some = keyed.withColumns({name: F.xxhash64(F.lit(k), "embedding") for k, name in ((1, "d1"), (2, "d2"))})
+    with S.cleared(spark):
+        some = some.join(picked, ["vec_id", "d1", "d2"]).dropDuplicates(["d1", "d2"]).select("embedding").collect()
+    number = classes.count()
+    grids = plan([np.array(r.embedding) for r in some], threshold, number)
+    wide = [n for n, g in grids.items() if not g]  # dimensions without a grid
+    whole = keyed.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("number")).select("vec_id", "embedding", "number")
+    folder, named = S.scratch(spark, "slots"), "cell long, block int, slot string, n long"
+    # one cell for all: a task's vectors are cut into slots as they come
+    alone = F.size("embedding").isin(wide) if wide else F.lit(False)
+    index = whole.where(alone).coalesce(max(1, math.ceil(number / SLOT))).mapInArrow(_deal(threshold, grids), kind).mapInArrow(_slots(folder), named)
+    out, dealt_path = [], None
+    if classes.where(~F.col("size").isin(wide) if wide else F.lit(True)).limit(1).count():
+        dealt, dealt_path = S.written(whole.where(~alone).mapInArrow(_deal(threshold, grids), kind), "cells")
+        slots = dealt.groupBy("cell").count().select("cell", F.ceil(F.col("count") / SLOT).cast("int").alias("slots"))
+        slots, _ = S.written(slots, "counts")
+        few = dealt.join(slots.where("slots = 1").select("cell"), "cell")
+        found = few.repartition(S.partitions(spark), "cell").sortWithinPartitions("cell")
+        out.append(S.written(found.mapInArrow(_groups(threshold), "a long, b long, links long"), "links")[0])
+        many = dealt.join(slots.where("slots > 1"), "cell").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("slots")).cast("int"))
+        many = many.repartition(S.partitions(spark), "cell", "own").sortWithinPartitions("cell", "own").select("cell", "block", "home", "vec_id", "embedding", "number")
+        index = index.unionByName(many.mapInArrow(_slots(folder), named))
+    index, index_path = S.written(index, "index")
+    pairs = index.join(index.select("cell", F.col("slot").alias("other")), "cell").where("slot <= other")
+    tasks = max(S.partitions(spark), min(S.SEATS, math.ceil(pairs.count() / SHARE)))
+    out.append(S.written(pairs.select("block", "slot", "other").repartition(tasks).mapInArrow(_pairs(threshold), "a long, b long, links long"), "links")[0])
+    S.drop(spark, folder, *([dealt_path] if dealt_path else []))
+    out = out[0] if len(out) < 2 else out[0].unionByName(out[1])
     counts = out.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     part, _ = S.components(out.where("b is not null").select("a", "b"))
-    S.drop(spark, dealt_path)
-    per = classes.select("vec_id", "embedding", "number").join(counts, F.col("vec_id") == F.col("rep"), "left").drop("rep").join(part.withColumnsRenamed({"v": "vec_id", "m": "root"}), "vec_id", "left")
-    per = per.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("number") - 1).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
-    linked = keyed.join(per, "embedding").select("vec_id", "n_links", "component_id")
-    alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    per = classes.select("vec_id", "d1", "d2", "number").join(counts, F.col("vec_id") == F.col("rep"), "left").drop("rep").join(part.withColumnsRenamed({"v": "vec_id", "m": "root"}), "vec_id", "left")
+    per = per.select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("number") - 1).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
+    linked = digests.join(per, ["d1", "d2"]).select("vec_id", "n_links", "component_id")
+    lone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(lone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _groups(threshold: float):
-    """Collects each (cell, lo, hi) of sorted rows and joins it."""
+def _slots(folder: str):
+    """Files of at most SLOT rows of one (cell, block), of rows that come by cells; (cell, block, file, rows) of each."""
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+
+        def put(key):
+            parts = held.pop(key)
+            rows, name = pa.Table.from_batches(parts), f"{folder}/{uuid.uuid4().hex}"
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows)
+            S.put_file(name, sink.getvalue())
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([name]), pa.array([rows.num_rows], pa.int64())], names=["cell", "block", "slot", "n"])
+
+        for batch in batches:
+            cell, block = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            change = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else []
+            for i, j in zip(change, np.append(change[1:], len(cell)), strict=True):
+                key = int(cell[i]), int(block[i])
+                for old in [k for k in held if k[1] >= 0 and k != key]:  # rows of a grid's cells come sorted
+                    yield put(old)
+                while i < j:
+                    room = SLOT - sum(p.num_rows for p in held.get(key, []))
+                    held.setdefault(key, []).append(batch.slice(i, min(room, j - i)))
+                    i += min(room, j - i)
+                    if sum(p.num_rows for p in held[key]) >= SLOT:
+                        yield put(key)
+        for key in [*held]:
+            yield put(key)
+
+    return run
+
+
+def _columns(batch: pa.RecordBatch):
+    """home, vec_id, number and the vectors, of rows of one dimension."""
+    home, ids, number = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("home", "vec_id", "number"))
+    return home, ids, number, batch.column(batch.schema.get_field_index("embedding")).flatten().to_numpy(zero_copy_only=False).astype(float)
+
+
+def _finish(solve, block, parts, lo, hi):
+    """Joins the rows (own, home, ids, number, vectors) of one cell, whose slots are lo and hi."""
+    own, home, ids, number = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    vectors = np.concatenate([p[4] for p in parts]).reshape(len(ids), -1)
+    order = np.lexsort((ids, own))
+    home, own, ids, number, vectors = home[order], own[order], ids[order], number[order], vectors[order]
+    left = np.flatnonzero(own == lo)
+    right = left if lo == hi else np.flatnonzero(own == hi)
+    count, edges = solve(block, ids, vectors, number, home, left, right, lo, hi)
+    some = np.flatnonzero(count)
+    yield _batch(ids[some], None, count[some])
+    a, b = S.contracted(*np.concatenate([np.empty((2, 0), np.int64), *edges], axis=1))
+    yield _batch(a, b, None)
+
+
+def _pairs(threshold: float):
+    """Joins each pair of slots (block, file, file), which may be the same."""
     solve = _solve(threshold)
 
-    def finish(key, held):
-        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        block, home, own, ids, number = columns[:5]
-        vectors = columns[5].reshape(len(ids), -1)
-        order = np.lexsort((ids, own))
-        home, own, ids, number, vectors = home[order], own[order], ids[order], number[order], vectors[order]
-        _, lo, hi = key
-        left = np.flatnonzero(own == lo)
-        right = left if lo == hi else np.flatnonzero(own == hi)
-        count, edges = solve(int(block[0]), ids, vectors, number, home, left, right, lo, hi)
-        some = np.flatnonzero(count)
-        yield _batch(ids[some], None, count[some])
-        a, b = S.contracted(*np.concatenate([np.empty((2, 0), np.int64), *edges], axis=1))
-        yield _batch(a, b, None)
+    def read(name):
+        table = pa.ipc.open_stream(pa.py_buffer(S.mapped(name))).read_all()
+        return [_columns(b) for b in table.to_batches()]
+
+    def run(batches):
+        S.lean()
+        for batch in batches:
+            for row in batch.to_pylist():
+                names = [row["slot"]] if row["slot"] == row["other"] else [row["slot"], row["other"]]
+                parts = [(np.full(len(p[0]), k), *p) for k, name in enumerate(names) for p in read(name)]
+                yield from _finish(solve, row["block"], parts, 0, len(names) - 1)
+
+    return run
+
+
+def _groups(threshold: float):
+    """Collects each cell of sorted rows and joins it."""
+    solve = _solve(threshold)
 
     def run(batches):
         now, held = None, []
         for batch in batches:
-            cell, lo, hi, block, home, own, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            number = batch.column(8).to_numpy(zero_copy_only=False)
-            lists = batch.column(7)
-            at = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False).astype(float)
-            change = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))) if len(cell) else []
+            cell, block = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("cell", "block"))
+            change = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else []
             for i, j in zip(change, np.append(change[1:], len(cell)), strict=True):
-                key = (cell[i], lo[i], hi[i])
+                key = int(cell[i]), int(block[i])
                 if key != now and held:
-                    yield from finish(now, held)
+                    yield from _finish(solve, now[1], held, 0, 0)
                     held = []
                 now = key
-                held.append((block[i:j], home[i:j], own[i:j], ids[i:j], number[i:j], flat[at[i] : at[j]]))
+                part = _columns(batch.slice(i, j - i))
+                held.append((np.zeros(j - i, np.int64), *part))
         if held:
-            yield from finish(now, held)
+            yield from _finish(solve, now[1], held, 0, 0)
 
     return run
 

@@ -207,3 +207,36 @@ def test_looking_keys_up(spark, monkeypatch):
         at, (values,) = S.Keys(index, 2).find(asked)
         assert sorted(zip(at.tolist(), values.tolist(), strict=True)) == wanted
     assert len(S.Keys([], 2).find(asked)[0]) == 0
+
+
+def test_vectors_lie_on_disk_once(spark, monkeypatch):
+    """However many slots there are, pairs of them are dealt by name; with cells of a grid, large and small ones, links are those of brute force."""
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((30, 12)) * [5, 5, 5, *[1] * 9]
+    vectors = [(b + rng.standard_normal(12) * s).tolist() for b in base for s in (0, 0.1, 0.4)] + [base[0].tolist()] * 9 + [None, [0.0] * 12, [1.0, 2.0], [2.0, 4.0]]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    wanted = brute(vectors, 0.9)
+    given = {}
+
+    def written(df, tag, keep=S.written):
+        found = keep(df, tag)
+        given.setdefault(tag, []).append((df._jdf.queryExecution().optimizedPlan().toString(), found[0].count()))
+        return found
+
+    monkeypatch.setattr(vector_join.S, "written", written)
+    for slot, grid in ((7, False), (7, True), (30, True), (8192, True)):
+        given.clear()
+        monkeypatch.setattr(vector_join, "SLOT", slot)
+        monkeypatch.setattr(vector_join, "COPY", 0 if grid else 1e9)
+        monkeypatch.setattr(vector_join, "WORTH", 9 if grid else 0.5, raising=False)
+        assert [(r.vec_id, r.n_links, r.component_id) for r in vector_join.vector_links(d).orderBy("vec_id").collect()] == wanted
+        if not grid:
+            assert all("embedding" not in plan for plan, _ in given["links"])
+            assert given["index"][0][1] >= 13
+        else:
+            assert "cells" in given
+
+
+def test_a_grid_saves_half():
+    """A grid that leaves most comparisons is not worth its copies on disk, however many vectors there are."""
+    assert vector_join.plan(list(np.random.default_rng(1).standard_normal((1500, 64))), 0.9, 10**8) == {64: 0}
